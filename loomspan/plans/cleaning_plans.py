@@ -259,18 +259,18 @@ def _(spark, sf):
 
 
 MONTH_SQL = f"""WITH {BARS}, r AS (SELECT Date, Ticker, ln(AdjClose) - {lag('ln(AdjClose)')} AS r FROM fx_bars),
- p AS (SELECT year(Date) AS Y, month(Date) AS M, Ticker, avg(r) AS m FROM r GROUP BY 1, 2, 3),
- s AS (SELECT Y, M, avg(m) AS m FROM p GROUP BY 1, 2)"""
+ p AS (SELECT year(Date) AS yr, month(Date) AS mon, Ticker, avg(r) AS v FROM r GROUP BY 1, 2, 3),
+ s AS (SELECT yr, mon, avg(v) AS v FROM p GROUP BY 1, 2)"""
 
 
-@query("seasonal_matrix", MONTH_SQL + " SELECT CAST(Y AS INTEGER) AS Year, " + ", ".join(
-    g(f"max(CASE WHEN M = {k} THEN m END)") + f" AS m{k:02d}" for k in range(1, 13)) + " FROM s GROUP BY Y")
+@query("seasonal_matrix", MONTH_SQL + " SELECT CAST(yr AS INTEGER) AS Year, " + ", ".join(
+    g(f"max(CASE WHEN mon = {k} THEN v END)") + f" AS m{k:02d}" for k in range(1, 13)) + " FROM s GROUP BY yr")
 def _(spark, sf):
     return publish(signals.seasonal_matrix(fx.bars(spark, sf)), ["Year"], [f"m{k:02d}" for k in range(1, 13)])
 
 
-@query("seasonal_extremes", MONTH_SQL + """, a AS (SELECT M, avg(m) AS v FROM s GROUP BY M)
- SELECT CAST(arg_max(M, v) AS INTEGER) AS best_month, CAST(arg_min(M, v) AS INTEGER) AS worst_month FROM a""")
+@query("seasonal_extremes", MONTH_SQL + """, a AS (SELECT mon, avg(v) AS v FROM s GROUP BY mon)
+ SELECT CAST(arg_max(mon, v) AS INTEGER) AS best_month, CAST(arg_min(mon, v) AS INTEGER) AS worst_month FROM a""")
 def _(spark, sf):
     return signals.seasonal_extremes(fx.bars(spark, sf))
 
@@ -321,7 +321,7 @@ def _imputed(spark, sf):
 GAPS = """SELECT Ticker, CAST(sum(CASE WHEN Missing THEN 1 ELSE 0 END) AS BIGINT) AS missing_before,
  CAST(sum(CASE WHEN Missing AND Close IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS filled,
  CAST(sum(CASE WHEN Close IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS remaining,
- CAST(sum(CASE WHEN Missing AND idx <= 3 THEN 1 ELSE 0 END) AS BIGINT) AS leading FROM imputed GROUP BY Ticker"""
+ CAST(sum(CASE WHEN Missing AND idx <= 3 THEN 1 ELSE 0 END) AS BIGINT) AS "leading" FROM imputed GROUP BY Ticker"""
 
 
 @query("gap_accounting", f"{SPARSE_ALIGNED}, {IMPUTED} {GAPS}")
@@ -329,7 +329,7 @@ def _(spark, sf):
     return cleaning.gap_accounting(_imputed(spark, sf))
 
 
-@query("sink_report_rows", f"""{SPARSE_ALIGNED}, {IMPUTED}, gaps AS ({GAPS}) SELECT Ticker, concat('{{"filled":', filled, ',"leading":', leading,
+@query("sink_report_rows", f"""{SPARSE_ALIGNED}, {IMPUTED}, gaps AS ({GAPS}) SELECT Ticker, concat('{{"filled":', filled, ',"leading":', "leading",
  ',"missing_before":', missing_before, ',"remaining":', remaining, '}}') AS report FROM gaps""")
 def _(spark, sf):
     return sinks.report_rows(cleaning.gap_accounting(_imputed(spark, sf)), "Ticker")
@@ -388,14 +388,14 @@ def _(spark, sf):
 
 ASOF_SQL = f"""WITH {BARS}, {MACRO}, c AS (SELECT DISTINCT Date FROM fx_bars WHERE Ticker = 'NO'), s AS (SELECT DISTINCT Series FROM fx_macro),
  grid AS (SELECT Date, Series FROM c CROSS JOIN s),
- asof AS (SELECT grid.Date, grid.Series, m.Value FROM grid ASOF LEFT JOIN fx_macro m ON m.Series = grid.Series AND m.Date <= grid.Date)"""
+ known AS (SELECT grid.Date, grid.Series, m.Value FROM grid ASOF LEFT JOIN fx_macro m ON m.Series = grid.Series AND m.Date <= grid.Date)"""
 
 
 def macro_grid(spark, sf):
     return cleaning.asof_backward(fx.macro(spark, sf), cleaning.trading_calendar(fx.bars(spark, sf), fx.BARS_CONFIG.benchmark))
 
 
-@query("asof_backward_macro", ASOF_SQL + f" SELECT Date, Series, {g('Value')} AS Value FROM asof")
+@query("asof_backward_macro", ASOF_SQL + f" SELECT Date, Series, {g('Value')} AS Value FROM known")
 def _(spark, sf):
     return publish(macro_grid(spark, sf), ["Date", "Series"], ["Value"])
 
