@@ -56,6 +56,13 @@ def finite(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
 
 
+def corr(x: Column, y: Column) -> Column:
+    """Pearson correlation over rows with both values, NULL for a constant side (the built-in raises in ANSI mode)."""
+    sx = F.stddev_pop(F.when(y.isNotNull(), x))
+    sy = F.stddev_pop(F.when(x.isNotNull(), y))
+    return div(F.covar_pop(x, y), sx * sy)
+
+
 def normal_pdf(x: Column, mean: Column, sd: Column) -> Column:
     z = div(x - mean, sd)
     return F.exp(-0.5 * z * z) / (sd * 2.5066282746310002)

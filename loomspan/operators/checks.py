@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.functions.expr import finite
+from loomspan.functions.expr import corr, finite
 
 
 def _compare(whole: DataFrame, part: DataFrame, cutoff: Column, columns: list[str], rtol: float, atol: float) -> DataFrame:
@@ -44,7 +44,7 @@ def label_leak_guard(features: DataFrame, columns: list[str], label: str = "Targ
                      min_pairs: int = 200) -> DataFrame:
     """(Column, Corr, Leaks) of every feature against the label, in one pass."""
     got = features.agg(F.array(*[
-        F.struct(F.lit(c).alias("Column"), F.corr(F.col(c).cast("double"), label).alias("Corr"),
+        F.struct(F.lit(c).alias("Column"), corr(F.col(c).cast("double"), F.col(label)).alias("Corr"),
                  F.count(F.col(c).cast("double") + F.col(label)).alias("Pairs")) for c in columns]).alias("x"))
     return got.select(F.explode("x").alias("x")).select("x.*").withColumn(
         "Leaks", F.coalesce((F.col("Pairs") >= min_pairs) & (F.abs("Corr") > limit), F.lit(False)))

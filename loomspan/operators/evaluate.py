@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.functions.expr import div
+from loomspan.functions.expr import corr, div
 from loomspan.operators.ranking import quantiles, rank_pct
 
 ACTUAL, PREDICTED = "Actual_Return", "Predicted_Return"
@@ -191,7 +191,7 @@ def rank_ic(predictions: DataFrame, group_bound: int | None = None) -> DataFrame
     ranked = rank_pct(ranked, keys, ACTUAL, "_a", group_bound)
     flat = (F.max("_p") == F.min("_p")) | (F.max("_a") == F.min("_a"))
     return ranked.groupBy(*keys).agg(
-        F.count("*").alias("Names"), F.when(~flat, F.corr("_p", "_a")).alias("IC"))
+        F.count("*").alias("Names"), F.when(~flat, corr(F.col("_p"), F.col("_a"))).alias("IC"))
 
 
 def rank_ic_summary(ic: DataFrame) -> DataFrame:

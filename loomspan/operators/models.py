@@ -10,7 +10,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.functions.expr import finite
+from loomspan.functions.expr import corr, finite
 from loomspan.operators.evaluate import hit
 from loomspan.operators.stats import pair_stats
 
@@ -27,11 +27,11 @@ def _candidate_pairs(df: DataFrame, columns: list[str], with_nulls: set[str]) ->
     complete = [c for c in columns if c not in with_nulls]
     found: set[tuple[str, str]] = set()
     if len(complete) > 1:
-        corr = Correlation.corr(assemble(df.select(*complete), complete), "features").head()[0].toArray()
+        matrix = Correlation.corr(assemble(df.select(*complete), complete), "features").head()[0].toArray()
         found |= {(a, b) for i, a in enumerate(complete) for j, b in enumerate(complete)
-                  if i < j and abs(corr[i, j]) > SHORTLIST}
+                  if i < j and abs(matrix[i, j]) > SHORTLIST}
     if with_nulls:
-        rows = pair_stats(df, columns, {"c": F.corr}).where(F.abs("c") > SHORTLIST).collect()
+        rows = pair_stats(df, columns, {"c": corr}).where(F.abs("c") > SHORTLIST).collect()
         found |= {(r["asset_i"], r["asset_j"]) for r in rows if {r["asset_i"], r["asset_j"]} & with_nulls}
     return sorted(found, key=lambda ab: (columns.index(ab[0]), columns.index(ab[1])))
 

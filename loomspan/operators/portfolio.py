@@ -109,7 +109,7 @@ def candidate_weights(spark: SparkSession, assets: list[str], cfg: PortfolioConf
 
     def raw(c: Column, k: int) -> Column:
         mixed = (c + 1) * (7919 + 104729 * (k + 1)) + cfg.seed * 1299709
-        return ((mixed % 10007) + 1).cast("double")
+        return ((mixed % 1000003) + 1).cast("double")
 
     c = F.col("Candidate")
     parts = F.array(*[raw(c, k) for k in range(n)])
@@ -167,7 +167,8 @@ def frontier(scored: DataFrame, cfg: PortfolioConfig = PortfolioConfig()) -> Dat
         F.max_by(F.struct("ret", "vol"), F.struct("ret", -F.col("Candidate"))).alias("b"))
     points = scored.sparkSession.range(cfg.frontier_points).select(F.col("id").cast("int").alias("i"))
     upto = Window.partitionBy(F.lit(1)).orderBy("i")
-    best = F.max(F.struct(F.col("b.ret").alias("ret"), (-F.col("b.vol")).alias("neg_vol"))).over(upto)
+    point = F.struct(F.col("b.ret").alias("ret"), (-F.col("b.vol")).alias("neg_vol"))
+    best = F.max(F.when(F.col("b").isNotNull(), point)).over(upto)
     got = points.join(binned, "i", "left").select("i", best.alias("t")).where("t is not null")
     ret, vol = F.col("t").getField("ret"), -F.col("t").getField("neg_vol")
     return got.select((0.02 + F.col("i") * 0.0055).alias("Target_Variance"), vol.alias("Volatility"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.config import EngineConfig, PortfolioConfig, RecommendConfig
-from loomspan.functions.expr import by_series, clip, div, full
+from loomspan.functions.expr import by_series, clip, corr, div, full
 from loomspan.operators.evaluate import best_model
 from loomspan.operators.portfolio import recent_rows
 from loomspan.operators.ranking import normalise, quantiles, rank_pct
@@ -239,7 +239,7 @@ def signal_contribution(rows: DataFrame) -> DataFrame:
     one = rows.agg(F.array(*[
         F.struct(F.lit(n).alias("Signal"),
                  F.avg((F.signum(c) == out).cast("double")).alias("sign_agreement"),
-                 F.corr(c, "realised").alias("corr_with_realised"))
+                 corr(F.col(c), F.col("realised")).alias("corr_with_realised"))
         for n, c in (("forecast", "Forecast"), ("risk", "Risk"))]).alias("x"))
     return one.select(F.explode("x").alias("x")).select("x.*")
 

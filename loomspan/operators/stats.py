@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.config import TRADING_DAYS
-from loomspan.functions.expr import by_series, div, normal_pdf, normal_quantile
+from loomspan.functions.expr import by_series, corr, div, normal_pdf, normal_quantile
 from loomspan.operators.ranking import quantiles
 
 BLOCK = 24
@@ -96,7 +96,7 @@ def pair_stats(wide: DataFrame, names: list[str], measures: dict[str, object], d
 
 
 def corr_matrix(wide: DataFrame, names: list[str]) -> DataFrame:
-    return pair_stats(wide, names, {"corr": F.corr})
+    return pair_stats(wide, names, {"corr": corr})
 
 
 def cov_matrix(wide: DataFrame, names: list[str]) -> DataFrame:
@@ -122,7 +122,7 @@ def beta_ols(returns: DataFrame, benchmark: str) -> DataFrame:
     bench = returns.where(F.col("Ticker") == benchmark).select("Date", F.col("r").alias("m"))
     both = returns.where(F.col("Ticker") != benchmark).join(F.broadcast(bench), "Date")
     return both.groupBy("Ticker").agg(
-        F.count("*").alias("n"), F.covar_pop("r", "m").alias("covariance"), F.corr("r", "m").alias("correlation"),
+        F.count("*").alias("n"), F.covar_pop("r", "m").alias("covariance"), corr(F.col("r"), F.col("m")).alias("correlation"),
         div(F.covar_pop("r", "m"), F.var_pop("m")).alias("beta"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomspan.functions.expr import corr
 from loomspan.operators import cleaning, context, features, labels, signals, stats
 from loomspan.operators.portfolio import drawdown_curve
 from loomspan.operators.ranking import normalise, quantiles, rank_pct
@@ -410,7 +411,7 @@ def _(spark, sf):
 @query("pair_self_join", WIDE_SQL + " " + " UNION ALL ".join(
     f"SELECT '{a}' AS asset_i, '{b}' AS asset_j, {g(f'corr({a}, {b})')} AS corr, {g(f'covar_samp({a}, {b})', 6)} AS cov, {g(f'regr_slope({b}, {a})')} AS slope, count(*) AS n FROM wr" for a, b in PAIRS))
 def _(spark, sf):
-    got = stats.pair_stats(wide(spark, sf), ASSETS, {"corr": F.corr, "cov": F.covar_samp, "slope": lambda a, b: F.regr_slope(b, a), "n": lambda a, b: F.count(a)})
+    got = stats.pair_stats(wide(spark, sf), ASSETS, {"corr": corr, "cov": F.covar_samp, "slope": lambda a, b: F.regr_slope(b, a), "n": lambda a, b: F.count(a)})
     return publish(got, ["asset_i", "asset_j", "n"], ["corr", "cov", "slope"])
 
 

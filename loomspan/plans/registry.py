@@ -98,11 +98,17 @@ NEWS = r"""fx_news AS (
  SELECT doc_id AS ArticleId, event_type AS Ticker, ts AS Timestamp, regexp_extract(text, '^[^.\n]*') AS Headline,
   substring(text, length(regexp_extract(text, '^[^.\n]*')) + 2) AS Summary, n_chars
  FROM documents JOIN events ON doc_id = event_id)"""
-PREDICTIONS = BARS + f""", fx_r AS (
+def _predictions(fixture: str, src: str) -> str:
+    return fixture + f""", fx_r AS (
  SELECT Date, Ticker, AdjClose, ln(AdjClose) - {lag('ln(AdjClose)')} AS r,
-  lead(ln(AdjClose)) OVER ({SERIES}) - ln(AdjClose) AS Actual_Return FROM fx_bars),
+  lead(ln(AdjClose)) OVER ({SERIES}) - ln(AdjClose) AS Actual_Return FROM {src}),
  fx_pred AS (SELECT Date, Ticker, AdjClose, Actual_Return, Model, r * c AS Predicted_Return
  FROM fx_r, (VALUES ('mom', 1e-1), ('rev', -1e-1), ('zero', 0e0)) m(Model, c) WHERE r IS NOT NULL AND Actual_Return IS NOT NULL)"""
+
+
+PREDICTIONS = _predictions(BARS, "fx_bars")
+CALM_PREDICTIONS = _predictions(CALM, "fx_calm")
+BAR_SENTIMENT = "fx_sent AS (SELECT Date, Ticker, coalesce((Close - Open) / nullif(High - Low, 0), 0) AS Sentiment_FinBERT FROM fx_bars)"
 WEIGHTS = "fx_weights AS (SELECT * FROM (VALUES ('AF', 4e-1, 25e-2), ('AO', 3e-1, 25e-2), ('NF', 2e-1, 25e-2), ('RF', 1e-1, 25e-2)) w(Ticker, Target_Weight, Current_Weight))"
 ALIGNED = """al_cal AS (SELECT DISTINCT Date FROM {src} WHERE Ticker = '{bench}'), al_tick AS (SELECT DISTINCT Ticker FROM {src}),
  aligned AS (SELECT c.Date, t.Ticker, p.Open, p.High, p.Low, p.Close, p.AdjClose, p.Volume

@@ -130,10 +130,18 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three forecast models over the daily log returns of the bars, with the next return as outcome."""
+    return predictions_over(bars(spark, sf_dir))
+
+
+def calm_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predictions_over(calm_bars(spark, sf_dir))
+
+
+def predictions_over(panel: DataFrame) -> DataFrame:
+    """Three forecast models over the daily log returns of a panel, with the next return as outcome."""
     lp = F.ln("AdjClose")
     r = (
-        bars(spark, sf_dir)
+        panel
         .select("Date", "Ticker", "AdjClose", (lp - F.lag(lp).over(by_series())).alias("r"),
                 (F.lead(lp).over(by_series()) - lp).alias("Actual_Return"))
         .where(F.col("r").isNotNull() & F.col("Actual_Return").isNotNull())
@@ -146,6 +154,31 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Date", "Ticker", "AdjClose", "Actual_Return", "m.Model", "m.Predicted_Return")
 
 
+def bar_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily score of each bar series: where the close sits between open and range, in [-1, 1]."""
+    span = F.nullif(F.col("High") - F.col("Low"), F.lit(0.0))
+    return bars(spark, sf_dir).select(
+        "Date", "Ticker", F.coalesce((F.col("Close") - F.col("Open")) / span, F.lit(0.0)).alias("Sentiment_FinBERT"))
+
+
+def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily panel of the event stream: one series per event type."""
+    return (
+        table(spark, sf_dir, "events")
+        .groupBy(F.to_date("ts").alias("Date"), F.col("event_type").alias("Ticker"))
+        .agg(F.max_by("value", F.struct("ts", "event_id")).alias("Close"), F.count("*").alias("Volume"))
+    )
+
+
+def labelled_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """news with a classifier label (from labels, where known) and a confidence that grows with the length."""
+    marks = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("ArticleId"),
+        F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral").alias("Label"))
+    return news(spark, sf_dir).join(marks, "ArticleId", "left").withColumn(
+        "Confidence", F.col("n_chars") / (F.col("n_chars") + 500.0))
+
+
 def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LEXICON), "token string, valence double")
 

@@ -32,9 +32,9 @@ def stream_session_sentiment(articles: DataFrame, calendar: DataFrame, close_hou
     return (
         placed.withColumn("Session", F.col("Date").cast("timestamp"))
         .withWatermark("Session", delay)
-        .groupBy(F.window("Session", "1 day"), "Ticker")
+        .groupBy("Session", "Ticker")
         .agg(F.avg("Score").alias("Sentiment"), F.count("*").alias("News_Volume"))
-        .select(F.to_date("window.start").alias("Date"), "Ticker", "Sentiment", "News_Volume")
+        .select(F.to_date("Session").alias("Date"), "Ticker", "Sentiment", "News_Volume")
     )
 
 
