@@ -1,8 +1,8 @@
 """Per-series trailing features.
 
-Every family is a set of window expressions over the same (Ticker, Date) order. They are put into four
-stages (lags, windows, windows over windows, row expressions), so the whole table costs one exchange by
-series and one sort per nesting level; columns nobody selects are pruned by the optimizer.
+Every family is a set of window expressions over the same (Ticker, Date) order. They are put into
+levels (lags, windows, windows over windows, row expressions), so the whole table costs one exchange by
+series and no further sort; columns nobody selects are pruned by the optimizer.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomspan.config import EngineConfig, FeatureConfig
 from loomspan.functions.ema import with_ema
-from loomspan.functions.expr import by_series, clip, div, finite, full, root
+from loomspan.functions.expr import by_series, clip, div, finite, root, trailing
 
 YEAR = math.sqrt(252.0)
 
@@ -54,103 +54,179 @@ def families(cfg: FeatureConfig = FeatureConfig()) -> dict[str, list[str]]:
     }
 
 
-def _lag_stage(cfg: FeatureConfig) -> dict[str, Column]:
-    w = by_series()
-    p, o, c, v = F.col("AdjClose"), F.col("Open"), F.col("Close"), F.col("Volume")
-    lp = F.ln(p)
+WIDE = 100
 
-    def diff(x: Column, k: int = 1) -> Column:
-        return x - F.lag(x, k).over(w)
 
-    out = {f"Return_{k}d": diff(lp, k) for k in cfg.return_windows}
-    out |= {
-        "_r": diff(lp), "_dp": diff(p), "_dc": diff(c), "_ret": div(c, F.lag(c).over(w)) - 1,
-        "_net21": F.abs(diff(p, 21)), "_net63": F.abs(diff(p, 63)),
-        "Return_Reversal_5d": -diff(lp, 5),
-        "Overnight_Return": F.ln(div(o, F.lag(c).over(w))),
-        "Intraday_Return": F.ln(div(c, o)),
-        "Overnight_Gap_3d": F.ln(div(o, F.lag(c, 3).over(w))),
-        "Volume_Change": div(v, F.lag(v).over(w)) - 1,
-        "_tr": F.greatest(F.abs(F.col("High") - F.col("Low")), F.abs(F.col("High") - F.lag(c).over(w)),
-                          F.abs(F.col("Low") - F.lag(c).over(w))),
-        "Log_Dollar_Volume": F.log1p(c * v),
-    }
-    out |= {f"ROC_{k}": (div(p, F.lag(p, k).over(w)) - 1) * 100.0 for k in cfg.roc_windows}
-    out |= {f"Close_Lag_{k}": F.lag(p, k).over(w) for k in cfg.lags}
-    return out
-
-
-def _window_stage(cfg: FeatureConfig) -> dict[str, Column]:
-    p, c, v, r = F.col("AdjClose"), F.col("Close"), F.col("Volume"), F.col("_r")
-    hi, lo, o = F.col("High"), F.col("Low"), F.col("Open")
-    ever = by_series().rowsBetween(Window.unboundedPreceding, 0)
-    hl2 = F.pow(F.ln(div(hi, lo)), 2.0)
-    gk = 0.5 * hl2 - (2.0 * math.log(2.0) - 1.0) * F.pow(F.ln(div(c, o)), 2.0)
-    rs = F.ln(div(hi, c)) * F.ln(div(hi, o)) + F.ln(div(lo, c)) * F.ln(div(lo, o))
-    k = cfg.stochastic[0]
-    low_min, high_max = full(F.min, lo, k), full(F.max, hi, k)
-    month = Window.partitionBy("Ticker", F.year("Date"), F.month("Date"))
-    at = F.row_number().over(month.orderBy("Date")) - 1
-    left = F.count("*").over(month) - 1 - at
-    step = F.signum(F.coalesce(F.col("_dc"), F.lit(0.0)))
-    year_hi, year_lo = full(F.max, p, cfg.year_window), full(F.min, p, cfg.year_window)
-    out: dict[str, Column] = {f"SMA_{w}": full(F.avg, p, w) for w in cfg.sma_windows}
-    out |= {f"Vol_{w}d": full(F.stddev_samp, r, w) * YEAR for w in cfg.vol_windows}
-    out |= {
-        "Return_Reversal_2d": -full(F.sum, r, 2),
-        "_gain": full(F.avg, clip(F.col("_dp"), lo=0.0), cfg.rsi_period),
-        "_loss": full(F.avg, clip(-F.col("_dp"), lo=0.0), cfg.rsi_period),
-        "Stoch_K": 100.0 * div(c - low_min, high_max - low_min),
-        "_atr": full(F.avg, F.col("_tr"), cfg.atr_period),
-        "_bb_mean": full(F.avg, p, cfg.bollinger[0]), "_bb_sd": full(F.stddev_samp, p, cfg.bollinger[0]),
-        "Vol_Parkinson": root(full(F.avg, hl2, 21) / (4.0 * math.log(2.0)) * 252.0),
-        "Vol_GarmanKlass": root(full(F.avg, gk, 21) * 252.0),
-        "Vol_RogersSatchell": root(full(F.avg, rs, 21) * 252.0),
-        "_sd10": full(F.stddev_samp, r, 10), "_sd20": full(F.stddev_samp, r, 20),
-        "_sd21": full(F.stddev_samp, r, 21), "_sd63": full(F.stddev_samp, r, 63),
-        "Drawdown_From_Peak": div(p, F.max(p).over(ever)) - 1.0,
-        "Distance_From_52w_High": div(p, year_hi) - 1.0,
-        "Position_In_52w_Range": clip(div(p - year_lo, year_hi - year_lo), -0.5, 1.5),
-        "_path21": full(F.sum, F.abs("_dp"), 21), "_path63": full(F.sum, F.abs("_dp"), 63),
-        "_v_mean": full(F.avg, v, cfg.volume_z_window), "_v_sd": full(F.stddev_samp, v, cfg.volume_z_window),
-        "Volume_MA_20": full(F.avg, v, 20),
-        "OBV": F.sum(step * v).over(ever),
-        "Signed_Volume_Flow": full(F.sum, F.signum("_ret") * v * F.abs("_ret"), 21),
-        "_impact": full(F.avg, div(F.abs("_ret"), c * v), 21),
-        "DayOfWeek": F.weekday("Date"), "Month": F.month("Date"),
-        "TurnOfMonth": ((at < cfg.month_edge) | (left < cfg.month_edge)).cast("int"),
-    }
-    out |= {f"Return_Lag_{j}": F.lag("_r", j).over(by_series()) for j in cfg.lags}
-    return out
+def _split(w: int) -> tuple[int, int]:
+    """w = m * k with m close to sqrt(w)."""
+    k = max(d for d in range(1, math.isqrt(w) + 1) if w % d == 0)
+    return w // k, k
 
 
-def _nested_stage(cfg: FeatureConfig) -> dict[str, Column]:
-    obv = F.col("OBV")
-    return {
-        "Stoch_D": full(F.avg, F.col("Stoch_K"), cfg.stochastic[1]),
-        "Vol_Of_Vol": full(F.stddev_samp, F.col("_sd21"), 63) * YEAR,
-        "OBV_Z": div(obv - full(F.avg, obv, cfg.obv_window), full(F.stddev_samp, obv, cfg.obv_window)),
-    }
+class _Levels:
+    """Window columns by nesting level, each registered once under a name and then referred to by it.
 
+    Spark evaluates a window expression as often as it is written, so a shared lag or frame must be one
+    column. A sliding frame costs one update per row it holds: very wide frames (WIDE rows and more) are
+    built from parts of about sqrt(w) rows that are merged through lags. "w non-null values" is tested
+    by the length of the current run of non-null rows, a running window shared by all widths of a column.
+    """
 
-def _row_stage(cfg: FeatureConfig) -> dict[str, Column]:
-    p, v = F.col("AdjClose"), F.col("Volume")
-    strength = div(F.col("_gain"), F.col("_loss"))
-    out: dict[str, Column] = {f"Price_to_SMA_{w}": div(p, F.col(f"SMA_{w}")) for w in cfg.sma_windows}
-    out |= {
-        f"RSI_{cfg.rsi_period}": 100.0 - 100.0 / (1.0 + strength),
-        f"ATR_{cfg.atr_period}": div(F.col("_atr"), F.col("Close")),
-        "BB_Width": div(2.0 * cfg.bollinger[1] * F.col("_bb_sd"), F.col("_bb_mean")),
+    def __init__(self) -> None:
+        self.windows: list[dict[str, Column]] = [{}, {}, {}, {}]
+        self.rows: list[list[dict[str, Column]]] = [[], [], [], []]
+        self.sums: dict[str, Column] = {}
+        self.order = by_series()
+
+    def window(self, level: int, key: str, column: Column) -> Column:
+        self.windows[level].setdefault(key, column)
+        return F.col(key)
+
+    def lag(self, level: int, name: str, k: int) -> Column:
+        return self.window(level, f"_{name}_lag{k}", F.lag(name, k).over(self.order))
+
+    def run(self, level: int, name: str) -> Column:
+        """Number of consecutive non-null rows of column `name` that end here."""
+        ever = self.order.rowsBetween(Window.unboundedPreceding, 0)
+        last_null = self.window(level, f"_null_{name}", F.max(F.when(F.col(name).isNull(), F.col("_pos"))).over(ever))
+        return F.col("_pos") - F.coalesce(last_null, F.lit(-1))
+
+    def rolling(self, level: int, kind: str, name: str, w: int) -> Column:
+        """Unguarded trailing sum, max or min over w rows."""
+        agg, merge = {"sum": (F.sum, lambda cs: sum(cs[1:], cs[0])), "max": (F.max, lambda cs: F.greatest(*cs)),
+                      "min": (F.min, lambda cs: F.least(*cs))}[kind]
+        m, k = _split(w) if w >= WIDE else (w, 1)
+        key = f"_{kind}{m}_{name}"
+        first = self.window(level, key, agg(name).over(trailing(m, self.order)))
+        return merge([first, *[self.lag(level + 1, key, j * m) for j in range(1, k)]]) if k > 1 else first
+
+    def total(self, level: int, name: str, w: int) -> Column:
+        return F.when(self.run(level, name) >= w, self.rolling(level, "sum", name, w))
+
+    def mean(self, level: int, name: str, w: int) -> Column:
+        return self.total(level, name, w) / float(w)
+
+    def extreme(self, level: int, kind: str, name: str, w: int) -> Column:
+        return F.when(self.run(level, name) >= w, self.rolling(level, kind, name, w))
+
+    def deviation(self, level: int, name: str, w: int) -> Column:
+        sd = self.window(level, f"_sd{w}_{name}", F.stddev_samp(name).over(trailing(w, self.order)))
+        return F.when(self.run(level, name) >= w, sd)
+
+    def return_deviation(self, w: int) -> Column:
+        """Sample deviation of the daily returns from sums and sums of squares over parts of 7 rows or less.
+
+        Returns scatter around zero, so the difference of squares loses no precision; a remainder at
+        rounding level counts as zero. The result is a level-2 row column.
+        """
+        m = max((d for d in range(2, 8) if w % d == 0), default=w)
+        s, q = (sum((self.lag(2, part, j) for j in range(m, w, m)), F.col(part)) for part in (
+            self.window_name(1, f"_sum{m}_{x}", F.sum(x).over(trailing(m, self.order))) for x in ("_r", "_r2")))
+        self.sums |= {f"_s{w}": s, f"_q{w}": q}
+        rest = F.col(f"_q{w}") - F.col(f"_s{w}") * F.col(f"_s{w}") / float(w)
+        sd = F.when(rest > F.col(f"_q{w}") * 1e-13, F.sqrt(rest / float(w - 1))).otherwise(0.0)
+        return F.when(self.run(1, "_r") >= w, sd)
+
+    def window_name(self, level: int, key: str, column: Column) -> str:
+        self.window(level, key, column)
+        return key
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        for windows, rows in zip(self.windows, self.rows):
+            df = df.withColumns(windows) if windows else df
+            for batch in rows:
+                df = df.withColumns(batch)
+        return df
+
+
+def _levels(cfg: FeatureConfig) -> _Levels:
+    """Level 0: lags of the panel. 1: frames over those. 2: lags of parts. 3: frames over level 2."""
+    lv = _Levels()
+    w = lv.order
+    ever = w.rowsBetween(Window.unboundedPreceding, 0)
+    p, o, c, v = F.col("AdjClose"), F.col("Open"), F.col("Close"), F.col("Volume")
+    hi, lo = F.col("High"), F.col("Low")
+
+    def back(name: str, k: int = 1) -> Column:
+        return lv.lag(0, name, k)
+
+    lv.window(0, "_pos", F.row_number().over(w) - 1)
+    before = lv.window(0, "_month_before", F.lag("_month", cfg.month_edge).over(w))
+    after = lv.window(0, "_month_after", F.lead("_month", cfg.month_edge).over(w))
+    month = F.col("_month")
+    first = {f"Return_{k}d": F.col("_lp") - back("_lp", k) for k in cfg.return_windows} | {
+        "_r": F.col("_lp") - back("_lp"), "_r2": F.pow(F.col("_lp") - back("_lp"), 2.0),
+        "_gain": clip(p - back("AdjClose"), lo=0.0), "_loss": clip(back("AdjClose") - p, lo=0.0),
+        "_step": F.abs(p - back("AdjClose")),
+        "_flow": F.signum(div(c, back("Close")) - 1) * v * F.abs(div(c, back("Close")) - 1),
+        "_impact": div(F.abs(div(c, back("Close")) - 1), c * v),
+        "_signed": F.signum(F.coalesce(c - back("Close"), F.lit(0.0))) * v,
+        "_net21": F.abs(p - back("AdjClose", 21)), "_net63": F.abs(p - back("AdjClose", 63)),
+        "_tr": F.greatest(F.abs(hi - lo), F.abs(hi - back("Close")), F.abs(lo - back("Close"))),
+        "_hl2": F.pow(F.ln(div(hi, lo)), 2.0),
+        "_gk": 0.5 * F.pow(F.ln(div(hi, lo)), 2.0) - (2.0 * math.log(2.0) - 1.0) * F.pow(F.ln(div(c, o)), 2.0),
+        "_rs": F.ln(div(hi, c)) * F.ln(div(hi, o)) + F.ln(div(lo, c)) * F.ln(div(lo, o)),
+        "Return_Reversal_5d": back("_lp", 5) - F.col("_lp"),
+        "Overnight_Return": F.ln(div(o, back("Close"))),
+        "Intraday_Return": F.ln(div(c, o)),
+        "Overnight_Gap_3d": F.ln(div(o, back("Close", 3))),
+        "Volume_Change": div(v, back("Volume")) - 1,
+        "Log_Dollar_Volume": F.log1p(c * v),
+        "DayOfWeek": F.weekday("Date"), "Month": F.month("Date"),
+        "TurnOfMonth": (~F.coalesce(before == month, F.lit(False)) | ~F.coalesce(after == month, F.lit(False))).cast("int"),
+    }
+    first |= {f"ROC_{k}": (div(p, back("AdjClose", k)) - 1) * 100.0 for k in cfg.roc_windows}
+    first |= {f"Close_Lag_{k}": back("AdjClose", k) for k in cfg.lags}
+    lv.rows[0] = [first]
+
+    peak = lv.window(1, "_peak", F.max(p).over(ever))
+    lv.window(1, "OBV", F.sum("_signed").over(ever))
+    kp, dp = cfg.stochastic
+    low, high = lv.extreme(1, "min", "Low", kp), lv.extreme(1, "max", "High", kp)
+    lv.rows[1] = [{"Stoch_K": 100.0 * div(c - low, high - low)}
+                  | {f"Return_Lag_{j}": lv.lag(1, "_r", j) for j in cfg.lags}]
+
+    vz, (bw, bk), rp = cfg.volume_z_window, cfg.bollinger, cfg.rsi_period
+    second = {f"_sd{n}": lv.return_deviation(n) for n in sorted({*cfg.vol_windows, 10, 20, 21, 63})}
+    second |= {f"SMA_{n}": lv.mean(1, "AdjClose", n) for n in cfg.sma_windows}
+    year_hi = lv.extreme(1, "max", "AdjClose", cfg.year_window)
+    year_lo = lv.extreme(1, "min", "AdjClose", cfg.year_window)
+    second |= {"_year_hi": year_hi, "_year_lo": year_lo}
+    lv.rows[2] = [lv.sums, second]
+
+    lv.window(3, "_mean_obv", F.avg("OBV").over(trailing(cfg.obv_window, w)))
+    lv.window(3, "_dev_obv", F.stddev_samp("OBV").over(trailing(cfg.obv_window, w)))
+    z = F.when(lv.run(3, "OBV") >= cfg.obv_window, div(F.col("OBV") - F.col("_mean_obv"), F.col("_dev_obv")))
+    v_mean = lv.mean(1, "Volume", vz)
+    hi52, lo52 = F.col("_year_hi"), F.col("_year_lo")
+    last = {
+        "OBV_Z": z,
+        "Stoch_D": lv.mean(3, "Stoch_K", dp),
+        "Vol_Of_Vol": lv.deviation(3, "_sd21", 63) * YEAR,
+        "Return_Reversal_2d": -lv.total(1, "_r", 2),
+        f"RSI_{rp}": 100.0 - 100.0 / (1.0 + div(lv.total(1, "_gain", rp), lv.total(1, "_loss", rp))),
+        f"ATR_{cfg.atr_period}": div(lv.mean(1, "_tr", cfg.atr_period), c),
+        "BB_Width": div(2.0 * bk * lv.deviation(1, "AdjClose", bw), lv.mean(1, "AdjClose", bw)),
+        "Vol_Parkinson": root(lv.mean(1, "_hl2", 21) / (4.0 * math.log(2.0)) * 252.0),
+        "Vol_GarmanKlass": root(lv.mean(1, "_gk", 21) * 252.0),
+        "Vol_RogersSatchell": root(lv.mean(1, "_rs", 21) * 252.0),
         "Vol_Ratio_Short_Long": div(F.col("_sd10"), F.col("_sd63")),
-        "Efficiency_Ratio_21": clip(div(F.col("_net21"), F.col("_path21")), 0.0, 1.0),
-        "Efficiency_Ratio_63": clip(div(F.col("_net63"), F.col("_path63")), 0.0, 1.0),
-        "Volume_Z": div(v - F.col("_v_mean"), F.col("_v_sd")),
-        "Volume_MA_Ratio": div(v, F.col("Volume_MA_20")),
-        "Relative_Volume_21": div(v, F.col("_v_mean")),
-        "Volume_Price_Div": F.col("OBV_Z") - div(F.col("_r"), F.col("_sd20")),
-        "Amihud_Illiquidity": F.log1p(F.col("_impact") * 1e9),
+        "Drawdown_From_Peak": div(p, peak) - 1.0,
+        "Distance_From_52w_High": div(p, hi52) - 1.0,
+        "Position_In_52w_Range": clip(div(p - lo52, hi52 - lo52), -0.5, 1.5),
+        "Efficiency_Ratio_21": clip(div(F.col("_net21"), lv.total(1, "_step", 21)), 0.0, 1.0),
+        "Efficiency_Ratio_63": clip(div(F.col("_net63"), lv.total(1, "_step", 63)), 0.0, 1.0),
+        "Volume_Z": div(v - v_mean, lv.deviation(1, "Volume", vz)),
+        "Volume_MA_20": lv.mean(1, "Volume", 20), "Volume_MA_Ratio": div(v, lv.mean(1, "Volume", 20)),
+        "Relative_Volume_21": div(v, lv.mean(1, "Volume", 21)),
+        "Volume_Price_Div": z - div(F.col("_r"), F.col("_sd20")),
+        "Signed_Volume_Flow": lv.total(1, "_flow", 21),
+        "Amihud_Illiquidity": F.log1p(lv.mean(1, "_impact", 21) * 1e9),
     }
-    return out
+    last |= {f"Price_to_SMA_{n}": div(p, F.col(f"SMA_{n}")) for n in cfg.sma_windows}
+    last |= {f"Vol_{n}d": F.col(f"_sd{n}") * YEAR for n in cfg.vol_windows}
+    lv.rows[3] = [last]
+    return lv
 
 
 def with_moving_averages(panel: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
@@ -159,9 +235,8 @@ def with_moving_averages(panel: DataFrame, cfg: FeatureConfig = FeatureConfig())
     price = F.col("AdjClose")
     wanted = {f"EMA_{w}": (price, w) for w in cfg.ema_windows}
     wanted |= {"_fast": (price, fast), "_slow": (price, slow)}
-    out = with_ema(panel, wanted).withColumn("MACD", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    return with_ema(out, {"MACD_Signal": (F.col("MACD"), signal)}).withColumn(
-        "MACD_Hist", F.col("MACD") - F.col("MACD_Signal"))
+    out = with_ema(panel, wanted, {"MACD": F.col("_fast") - F.col("_slow")}, {"MACD_Signal": (F.col("MACD"), signal)})
+    return out.drop("_fast", "_slow").withColumn("MACD_Hist", F.col("MACD") - F.col("MACD_Signal"))
 
 
 def series_features(panel: DataFrame, cfg: FeatureConfig = FeatureConfig(),
@@ -172,10 +247,7 @@ def series_features(panel: DataFrame, cfg: FeatureConfig = FeatureConfig(),
     out = panel
     if {"ema", "macd"} & set(chosen):
         out = with_moving_averages(out, cfg)
-    out = (
-        out.withColumns(_lag_stage(cfg)).withColumns(_window_stage(cfg))
-        .withColumns(_nested_stage(cfg)).withColumns(_row_stage(cfg))
-    )
+    out = _levels(cfg).apply(out.withColumns({"_lp": F.ln("AdjClose"), "_month": F.trunc("Date", "month")}))
     flags = [c for c in ("Z_Score", "Outlier_Z") if c in panel.columns]
     names = [c for f in chosen for c in table[f]]
     return out.select("Date", "Ticker", "AdjClose", "Close", "Volume", *names, *flags)
