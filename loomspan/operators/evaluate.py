@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspan.functions.expr import corr, div
-from loomspan.operators.ranking import quantiles, rank_pct
+from loomspan.operators.ordering import previous
+from loomspan.operators.ranking import WINDOW_BOUND, quantiles, rank_pct
 
 ACTUAL, PREDICTED = "Actual_Return", "Predicted_Return"
 
@@ -65,29 +66,32 @@ def naive_baseline(outcome: DataFrame) -> DataFrame:
     return got.withColumn("DirAcc", F.lit(None).cast("double"))
 
 
-def persistence_rows(outcome: DataFrame, per_ticker: bool = False) -> DataFrame:
+def persistence_rows(outcome: DataFrame, per_ticker: bool = False, group_bound: int | None = None) -> DataFrame:
     """Previous row's actual as the forecast.
 
     By default "previous" is in (Date, Ticker) order, so the predecessor is usually another series of
-    the same day. The carry from one date to the next goes through a per-session table, so no global sort
-    is needed. per_ticker=True takes the previous row of the same series.
+    the same day. With a proven bound on the series per date, a window per date and a per-session table of
+    last values suffice; without it the rows are range partitioned. per_ticker=True takes the previous row
+    of the same series.
     """
     if per_ticker:
         w = Window.partitionBy("Ticker").orderBy("Date")
         return outcome.withColumn(PREDICTED, F.lag(ACTUAL).over(w)).where(F.col(PREDICTED).isNotNull())
+    if group_bound is None or group_bound > WINDOW_BOUND:
+        return previous(outcome, ["Date", "Ticker"], ACTUAL, PREDICTED).where(F.col(PREDICTED).isNotNull())
     ends = outcome.groupBy("Date").agg(F.max_by(ACTUAL, "Ticker").alias("_end"))
     carried = ends.select("Date", F.lag("_end").over(Window.partitionBy(F.lit(1)).orderBy("Date")).alias("_carry"))
-    inside = F.lag(ACTUAL).over(Window.partitionBy("Date").orderBy("Ticker"))
-    first = F.row_number().over(Window.partitionBy("Date").orderBy("Ticker")) == 1
-    placed = outcome.withColumns({"_in": inside, "_first": first}).join(F.broadcast(carried), "Date")
+    day = Window.partitionBy("Date").orderBy("Ticker")
+    placed = outcome.withColumns({"_in": F.lag(ACTUAL).over(day), "_first": F.row_number().over(day) == 1})
     return (
-        placed.withColumn(PREDICTED, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_in")))
+        placed.join(F.broadcast(carried), "Date")
+        .withColumn(PREDICTED, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_in")))
         .where(F.col(PREDICTED).isNotNull()).drop("_in", "_first", "_carry")
     )
 
 
-def persistence_accuracy(outcome: DataFrame, per_ticker: bool = False) -> DataFrame:
-    return persistence_rows(outcome, per_ticker).agg(
+def persistence_accuracy(outcome: DataFrame, per_ticker: bool = False, group_bound: int | None = None) -> DataFrame:
+    return persistence_rows(outcome, per_ticker, group_bound).agg(
         F.avg(hit(F.col(ACTUAL), F.col(PREDICTED))).alias("DirAcc_Persistence"), F.count("*").alias("N"))
 
 

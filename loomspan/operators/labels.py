@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.config import SplitConfig
-from loomspan.operators.ranking import rank_pct
+from loomspan.operators.ordering import positions
+from loomspan.operators.ranking import WINDOW_BOUND, rank_pct
 
 
 def date_split(df: DataFrame, cfg: SplitConfig = SplitConfig()) -> DataFrame:
@@ -40,12 +41,15 @@ def splits_overlap(split_df: DataFrame) -> DataFrame:
     return split_df.groupBy("Date").agg(F.countDistinct("Split").alias("splits")).where("splits > 1")
 
 
-def global_position(df: DataFrame) -> DataFrame:
+def global_position(df: DataFrame, group_bound: int | None = None) -> DataFrame:
     """0-based position `Pos` in (Date, Ticker) order and the total `Total`, without one global sort.
 
-    Per-date counts give the offset of each date (a table of one row per session); inside a date the
-    position is a row_number over that date's rows.
+    With a proven bound on the rows per date, per-date counts give the offset of each date (a table of
+    one row per session) and a row_number orders the rows inside a date. Without a bound the rows are range
+    partitioned, which also splits a date that holds a large share of all rows.
     """
+    if group_bound is None or group_bound > WINDOW_BOUND:
+        return positions(df, ["Date", "Ticker"])
     days = df.groupBy("Date").agg(F.count("*").alias("_c"))
     order = Window.partitionBy(F.lit(1)).orderBy("Date")
     offsets = days.select(
@@ -58,13 +62,14 @@ def global_position(df: DataFrame) -> DataFrame:
         "Pos", F.col("_off") + F.row_number().over(inside) - 1).drop("_off")
 
 
-def walk_forward_folds(df: DataFrame, n_splits: int = 5, max_rows: int | None = None) -> DataFrame:
+def walk_forward_folds(df: DataFrame, n_splits: int = 5, max_rows: int | None = None,
+                       group_bound: int | None = None) -> DataFrame:
     """One row per (Fold, row) a row belongs to, with Role train or validate; expanding train window.
 
     k = max(2, min(n_splits, max(2, n // 400))) folds of max(500, n // (k + 2)) rows at the end of the
     sample; with max_rows only the tail of the sample is used. Folds cut rows, so a date may be split.
     """
-    placed = global_position(df)
+    placed = global_position(df, group_bound)
     total = F.col("Total")
     used = F.least(total, F.lit(max_rows)) if max_rows else total
     n = used.cast("long")

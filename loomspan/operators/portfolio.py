@@ -103,7 +103,8 @@ def quadratic(weights: DataFrame, mu: DataFrame, cov: DataFrame) -> DataFrame:
 def candidate_weights(spark: SparkSession, assets: list[str], cfg: PortfolioConfig = PortfolioConfig()) -> DataFrame:
     """(Candidate, w): long-only capped weight arrays from an arithmetic hash, so they can be reproduced.
 
-    Rows over the cap are clipped and rescaled up to 30 times, as an array fold inside the JVM.
+    Weights over the cap are set to it and the rest is scaled to fill the budget; each round fixes at least
+    one more asset, so as many rounds as assets suffice. The rounds are an array fold inside the JVM.
     """
     n, cap = len(assets), F.lit(cfg.cap)
 
@@ -118,13 +119,14 @@ def candidate_weights(spark: SparkSession, assets: list[str], cfg: PortfolioConf
         return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
     def rescale(w: Column, _: Column) -> Column:
-        clipped = F.transform(w, lambda x: F.least(x, cap))
-        scaled = F.transform(w, lambda x: F.least(x, cap) / total(clipped))
-        return F.when(F.array_max(w) > cap, scaled).otherwise(w)
+        capped = F.size(F.filter(w, lambda x: x >= cap))
+        free = total(F.filter(w, lambda x: x < cap))
+        spread = F.transform(w, lambda x: F.when(x >= cap, cap).otherwise(x * (1.0 - cap * capped) / free))
+        return F.when((F.array_max(w) > cap + 1e-12) & (free > 0), spread).otherwise(w)
 
     start = spark.range(cfg.candidates).withColumnRenamed("id", "Candidate").withColumn("_p", parts)
     share = start.withColumn("_p", F.transform("_p", lambda x: x / total(F.col("_p"))))
-    return share.select("Candidate", F.aggregate(F.sequence(F.lit(1), F.lit(30)), F.col("_p"), rescale).alias("w"))
+    return share.select("Candidate", F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.col("_p"), rescale).alias("w"))
 
 
 def score_candidates(candidates: DataFrame, assets: list[str], mu: DataFrame, cov: DataFrame,

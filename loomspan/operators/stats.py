@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from loomspan.config import TRADING_DAYS
 from loomspan.functions.expr import by_series, corr, div, normal_pdf, normal_quantile
 from loomspan.operators.ranking import quantiles
+from loomspan.session import materialise
 
-BLOCK = 24
+PAIRS = 64  # pair expressions that one aggregate evaluates
 
 
 def log_returns(panel: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def wide_returns(panel: DataFrame, tickers: tuple[str, ...]) -> DataFrame:
 def _pairs(names: list[str], diagonal: bool) -> list[list[tuple[str, str]]]:
     """Pairs i <= j (or i < j) in batches that one aggregate can hold."""
     every = [(a, b) for i, a in enumerate(names) for b in names[i if diagonal else i + 1:]]
-    return [every[k:k + BLOCK * BLOCK // 2] for k in range(0, len(every), BLOCK * BLOCK // 2)]
+    return [every[k:k + PAIRS] for k in range(0, len(every), PAIRS)]
 
 
 def pair_stats(wide: DataFrame, names: list[str], measures: dict[str, object], diagonal: bool = False) -> DataFrame:
@@ -83,10 +84,12 @@ def pair_stats(wide: DataFrame, names: list[str], measures: dict[str, object], d
 
     The columns of a configured universe sit side by side, so a pair statistic is one aggregate
     over the date rows with a map-side part: no self-join and no pair rows before the aggregate. A long
-    list of names is cut into batches of pairs, one aggregate each.
+    list of names is cut into batches of pairs, one aggregate each over the table written once.
     """
     out = None
-    for batch in _pairs(names, diagonal):
+    batches = _pairs(names, diagonal)
+    wide = materialise(wide.select(*[f"`{n}`" for n in names]), "pairs") if len(batches) > 1 else wide
+    for batch in batches:
         rows = [F.struct(F.lit(a).alias("asset_i"), F.lit(b).alias("asset_j"),
                          *[fn(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(m) for m, fn in measures.items()])
                 for a, b in batch]

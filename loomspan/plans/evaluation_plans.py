@@ -66,7 +66,7 @@ def _(spark, sf):
 
 @query("persistence", f"WITH {PREDICTIONS}, {OUT_SQL}, l AS (SELECT Date, Ticker, y, lag(y) OVER (ORDER BY Date, Ticker) AS p FROM oc) SELECT Date, Ticker, {g('y')} AS Actual_Return, {g('p')} AS Predicted_Return FROM l WHERE p IS NOT NULL")
 def _(spark, sf):
-    return publish(evaluate.persistence_rows(evaluate.outcomes(fx.predictions(spark, sf))), KEYS, ["Actual_Return", "Predicted_Return"])
+    return publish(evaluate.persistence_rows(evaluate.outcomes(fx.predictions(spark, sf)), group_bound=6), KEYS, ["Actual_Return", "Predicted_Return"])
 
 
 PERSIST_SQL = """SELECT {v} AS DirAcc_Persistence, count(*) AS N FROM (SELECT y, lag(y) OVER ({o}) AS p FROM oc) WHERE p IS NOT NULL"""
@@ -75,7 +75,7 @@ HIT_SQL = g("avg(CASE WHEN y <> 0 THEN CASE WHEN sign(y) = sign(p) THEN 1e0 ELSE
 
 @query("persistence_accuracy", f"WITH {PREDICTIONS}, {OUT_SQL} " + PERSIST_SQL.format(v=HIT_SQL, o="ORDER BY Date, Ticker"))
 def _(spark, sf):
-    return publish(evaluate.persistence_accuracy(evaluate.outcomes(fx.predictions(spark, sf))), ["N"], ["DirAcc_Persistence"])
+    return publish(evaluate.persistence_accuracy(evaluate.outcomes(fx.predictions(spark, sf)), group_bound=6), ["N"], ["DirAcc_Persistence"])
 
 
 @query("persistence_per_ticker", f"WITH {PREDICTIONS}, {OUT_SQL} " + PERSIST_SQL.format(v=HIT_SQL, o=SERIES))
@@ -83,6 +83,17 @@ def _(spark, sf):
     return publish(evaluate.persistence_accuracy(evaluate.outcomes(fx.predictions(spark, sf)), True), ["N"], ["DirAcc_Persistence"])
 
 
+WIDE_PRED = f"""WITH {WIDE_BARS}, oc AS (SELECT * FROM (SELECT Date, Ticker, lead({LP}) OVER ({SERIES}) - {LP} AS y FROM fx_wide) WHERE y IS NOT NULL) """
+
+
+@query("persistence_many", WIDE_PRED + PERSIST_SQL.format(v=HIT_SQL, o="ORDER BY Date, Ticker"))
+def _(spark, sf):
+    """The same rule over all supplier series; a date may hold any number of rows."""
+    rows = signals.forward_outcome(fx.wide_bars(spark, sf)).where("realised is not null")
+    out = rows.withColumn("Actual_Return", F.col("realised"))
+    return publish(evaluate.persistence_accuracy(out), ["N"], ["DirAcc_Persistence"])
+
+
 ENRICHED = ["Residual", "Predicted_Price", "Actual_Price"]
 
 
@@ -151,7 +162,7 @@ def _(spark, sf):
 def _(spark, sf):
     out = evaluate.outcomes(fx.predictions(spark, sf))
     mae = evaluate.naive_baseline(out).select("MAE").scalar()
-    acc = evaluate.persistence_accuracy(out).select("DirAcc_Persistence").scalar()
+    acc = evaluate.persistence_accuracy(out, group_bound=6).select("DirAcc_Persistence").scalar()
     return publish(evaluate.honesty_check(board(spark, sf), mae, acc), ["Beats_MAE", "Beats_Dir", "Passes"],
                    ["Best_MAE", "Best_DirAcc", "Baseline_MAE", "Baseline_DirAcc"])
 
@@ -196,7 +207,7 @@ def _(spark, sf):
  FROM ro JOIN r ON r.Date = ro.Date AND r.Ticker = ro.Ticker WHERE Role = 'validate' GROUP BY Fold""")
 def _(spark, sf):
     rows = features.forward_target(fx.bars(spark, sf)).where(F.col("Target").isNotNull())
-    out = evaluate.noskill_baseline(labels.walk_forward_folds(labels.daily_demean(rows, group_bound=6)))
+    out = evaluate.noskill_baseline(labels.walk_forward_folds(labels.daily_demean(rows, group_bound=6), group_bound=6))
     return publish(out, ["Fold", "N"], ["MAE_Relative", "MAE_Rank"])
 
 
@@ -302,7 +313,8 @@ def _(spark, sf):
 CAND = """cr AS (SELECT c, list_transform(range(4), lambda k: CAST(((c + 1) * (7919 + 104729 * (k + 1)) + 42 * 1299709) % 1000003 + 1 AS DOUBLE)) AS w FROM range(20000) t(c)),
  cs AS (SELECT c, list_transform(w, lambda x: x / list_sum(w)) AS w FROM cr),
  ci AS (SELECT c, 0 AS it, w FROM cs UNION ALL
-  SELECT c, it + 1, list_transform(w, lambda x: least(x, 4e-1) / list_sum(list_transform(w, lambda y: least(y, 4e-1)))) FROM ci WHERE it < 30 AND list_max(w) > 4e-1),
+  SELECT c, it + 1, list_transform(w, lambda x: CASE WHEN x >= 4e-1 THEN 4e-1 ELSE x * (1 - 4e-1 * len(list_filter(w, lambda y: y >= 4e-1))) / list_sum(list_filter(w, lambda y: y < 4e-1)) END)
+  FROM ci WHERE it < 30 AND list_max(w) > 4e-1 + 1e-12),
  ca AS (SELECT c AS Candidate, arg_max(w, it) AS w FROM ci GROUP BY c)"""
 SCORED = """cu AS (SELECT Candidate, w, w[1] * a + w[2] * b + w[3] * c + w[4] * d AS ret FROM ca,
   (SELECT max(CASE WHEN Ticker = 'AF' THEN mu END) AS a, max(CASE WHEN Ticker = 'AO' THEN mu END) AS b, max(CASE WHEN Ticker = 'NF' THEN mu END) AS c, max(CASE WHEN Ticker = 'RF' THEN mu END) AS d FROM hist)),
@@ -347,11 +359,13 @@ def _(spark, sf):
     return publish(portfolio.frontier(scored(spark, sf), PF), [], ["Target_Variance", "Volatility", "Return", "Sharpe"])
 
 
-@query("simplex_guard", f"WITH {WEIGHTS} SELECT {g('sum(Target_Weight)')} AS total, {g('min(Target_Weight)')} AS lowest, {g('max(Target_Weight)')} AS highest, (SELECT count(*) FROM lineitem) > 0 AS valid FROM fx_weights")
+@query("simplex_guard", f"""WITH {WIDE_BARS}, v AS (SELECT Ticker, sum(Close * Volume) AS v FROM fx_wide GROUP BY Ticker), x AS (SELECT v / (SELECT sum(v) FROM v) AS w FROM v)
+ SELECT {g('sum(w)', 4)} AS total, {g('min(w)')} AS lowest, {g('max(w)')} AS highest, abs(sum(w) - 1) <= 1e-6 AND min(w) >= -1e-6 AND max(w) <= 2e-1 + 1e-6 AS valid FROM x""")
 def _(spark, sf):
-    """Weights of the traded value of each series of the universe are not needed: the target weights are checked."""
-    rows = fx.bars(spark, sf).select("Ticker").distinct().join(fx.weights(spark), "Ticker")
-    return publish(checks.simplex_guard(rows, "Target_Weight", 0.4), ["valid"], ["total", "lowest", "highest"])
+    """Traded value shares of all series, held to the weight cap."""
+    traded = fx.wide_bars(spark, sf).groupBy("Ticker").agg(F.sum(F.col("Close") * F.col("Volume")).alias("v"))
+    out = checks.simplex_guard(portfolio.normalised_weights(traded, "v"), "w", 0.2).withColumn("_k", F.lit(1))
+    return publish(out, ["valid", "_k"], ["lowest", "highest"]).join(publish(out, ["_k"], ["total"], 4), "_k").drop("_k")
 
 
 BT = f"""{SPLIT_WR}, oos AS (SELECT * FROM ws WHERE Part = 'oos'),
@@ -674,7 +688,7 @@ def _(spark, sf):
 
 @query("walk_forward_search")
 def _(spark, sf):
-    rows = labels.walk_forward_folds(model_rows(spark, sf).where("Split = 'train'"), n_splits=2).persist()
+    rows = labels.walk_forward_folds(model_rows(spark, sf).where("Split = 'train'"), n_splits=2, group_bound=6).persist()
     log = models.walk_forward_search(rows, MODEL_COLS, "Ridge", labels.parameter_grid({"alpha": [1.0, 100.0]}))
     return spark.createDataFrame([(e["params"]["alpha"], e["mean_mae"]) for e in log], "alpha double, mean_mae double")
 

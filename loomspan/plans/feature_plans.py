@@ -302,7 +302,7 @@ FOLD_SQL = f"""WITH {BARS}, t AS (SELECT Date, Ticker, Target, row_number() OVER
 
 def folds(spark, sf):
     rows = features.forward_target(fx.bars(spark, sf)).where(F.col("Target").isNotNull())
-    return labels.walk_forward_folds(rows)
+    return labels.walk_forward_folds(rows, group_bound=6)
 
 
 @query("walk_forward_folds", FOLD_SQL + f""" SELECT CAST(Fold AS INTEGER) AS Fold, Role, count(*) AS n_rows, min(Date) AS first_date, max(Date) AS last_date,
@@ -313,6 +313,20 @@ def _(spark, sf):
     return publish(out, ["Fold", "Role", "n_rows", "first_date", "last_date"], ["target_sum"])
 
 
+@query("global_position", f"WITH {WIDE_BARS} SELECT Date, Ticker, row_number() OVER (ORDER BY Date, Ticker) - 1 AS Pos, count(*) OVER () AS Total FROM fx_wide")
+def _(spark, sf):
+    """Row positions over all supplier series; a date may hold any number of rows."""
+    return labels.global_position(fx.wide_bars(spark, sf).select(*KEYS)).select(*KEYS, F.col("Pos").cast("long").alias("Pos"), "Total")
+
+
+@query("vol_vix_correlation", MARKET_SQL + f" SELECT {g('corr(Market_Vol_21d, VIX_Level)')} AS corr, count(Market_Vol_21d + VIX_Level) AS sessions FROM ctx")
+def _(spark, sf):
+    """Realised index volatility against the volatility index, aligned on the date."""
+    m = context.market_context(fx.bars(spark, sf), CFG)
+    out = m.agg(corr(F.col("Market_Vol_21d"), F.col("VIX_Level")).alias("corr"), F.count(F.col("Market_Vol_21d") + F.col("VIX_Level")).alias("sessions"))
+    return publish(out, ["sessions"], ["corr"])
+
+
 @query("standard_scale", SPLIT_SQL + f""", q AS (SELECT b.Date, Ticker, Split, AdjClose, Volume FROM fx_bars b JOIN sp ON sp.Date = b.Date),
  s AS (SELECT avg(AdjClose) AS ma, stddev_pop(AdjClose) AS sa, avg(Volume) AS mv, stddev_pop(Volume) AS sv FROM q WHERE Split = 'train')
  SELECT Date, Ticker, {g('(AdjClose - ma) / sa')} AS AdjClose, {g('(Volume - mv) / sv')} AS Volume FROM q, s""")
