@@ -23,7 +23,8 @@ def melt_assets(wide: DataFrame, assets: list[str], value: str = "r") -> DataFra
 
 
 def historical_mu(wide: DataFrame, assets: list[str]) -> DataFrame:
-    return melt_assets(wide, assets).groupBy("Ticker").agg((F.avg("r") * TRADING_DAYS).alias("mu"))
+    means = wide.agg(*[(F.avg(f"`{a}`") * TRADING_DAYS).alias(a) for a in assets])
+    return means.unpivot([], assets, "Ticker", "mu")
 
 
 def recent_rows(df: DataFrame, days: int, as_of: Column | None = None) -> DataFrame:
@@ -165,7 +166,7 @@ def frontier(scored: DataFrame, cfg: PortfolioConfig = PortfolioConfig()) -> Dat
     """
     var = F.col("vol") * F.col("vol")
     step = F.greatest(F.lit(0), F.ceil((var - 0.02) / 0.0055 - 1e-12)).cast("int")
-    binned = scored.withColumn("i", step).where(F.col("i") < cfg.frontier_points).groupBy("i").agg(
+    binned = scored.where(F.col("vol").isNotNull()).withColumn("i", step).where(F.col("i") < cfg.frontier_points).groupBy("i").agg(
         F.max_by(F.struct("ret", "vol"), F.struct("ret", -F.col("Candidate"))).alias("b"))
     points = scored.sparkSession.range(cfg.frontier_points).select(F.col("id").cast("int").alias("i"))
     upto = Window.partitionBy(F.lit(1)).orderBy("i")

@@ -64,21 +64,26 @@ def rank_pct(df: DataFrame, by: list[str], value: str, out: str, group_bound: in
     return df.join(ranked, [*by, value], "left")
 
 
-def rank_pct_window(value: Column, by: list[str]) -> Column:
+def rank_pct_window(value: Column, by: list) -> Column:
+    """Average rank = mean of the first rank of a tie and the number of values up to it: one ordered window."""
     group = Window.partitionBy(*by)
-    tied = Window.partitionBy(*by, value)
-    rank = F.rank().over(group.orderBy(value.asc_nulls_last()))
-    n = F.count(value).over(group)
-    return F.when(value.isNotNull(), (rank + (F.count(value).over(tied) - 1) / 2.0) / n)
+    ordered = group.orderBy(value.asc_nulls_last())
+    upto = F.count(value).over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.when(value.isNotNull(), (F.rank().over(ordered) + upto) / 2.0 / F.count(value).over(group))
+
+
+def normalise_window(value: Column, by: list | None = None) -> Column:
+    """normalise as one expression, for groups with a proven bound; no `by` means one group."""
+    keys = by or [F.lit(1)]
+    group = Window.partitionBy(*keys)
+    flat = F.coalesce(F.min(value).over(group) == F.max(value).over(group), F.lit(True))
+    return F.when(flat, 0.5).otherwise(rank_pct_window(value, keys))
 
 
 def normalise(df: DataFrame, by: list[str], value: str, out: str, group_bound: int | None = None) -> DataFrame:
     """rank_pct, but 0.5 for the whole group when it has at most one distinct value."""
     if group_bound is not None and group_bound <= WINDOW_BOUND:
-        group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-        flat = F.coalesce(F.min(value).over(group) == F.max(value).over(group), F.lit(True))
-        ranked = rank_pct_window(F.col(value), by if by else [F.lit(1)])
-        return df.withColumn(out, F.when(flat, 0.5).otherwise(ranked))
+        return df.withColumn(out, normalise_window(F.col(value), by))
     spread = df.groupBy(*by).agg((F.coalesce(F.min(value) == F.max(value), F.lit(True))).alias("_flat"))
     ranked = rank_pct(df, by, value, "_rank")
     return _attach(ranked, spread, by).withColumn(

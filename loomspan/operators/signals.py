@@ -9,7 +9,7 @@ from loomspan.config import EngineConfig, PortfolioConfig, RecommendConfig
 from loomspan.functions.expr import by_series, clip, corr, div, full
 from loomspan.operators.evaluate import best_model
 from loomspan.operators.portfolio import recent_rows
-from loomspan.operators.ranking import normalise, quantiles, rank_pct
+from loomspan.operators.ranking import WINDOW_BOUND, normalise, normalise_window, quantiles, rank_pct
 
 # Parts of the explanation text.
 LEADS = {
@@ -133,27 +133,26 @@ def recommendations(predictions: DataFrame, features: DataFrame, sentiment: Data
     All ranks run over the configured universe, so they are plain windows over that many rows.
     """
     rc: RecommendConfig = cfg.recommend
-    bound = len(cfg.universe)
     own = predictions.where(F.col("Model") == best_model(predictions))
-    skill = skill_gate(predictions).scalar()
     as_of = features.agg(F.max("Date").alias("d")).scalar()
-    base = universe_default(cfg.universe, forecast_signal(own, cfg.portfolio), "Forecast")
-    base = base.join(risk_signal(features, as_of, group_bound=bound), "Ticker", "left").withColumn(
-        "Risk", F.coalesce("Risk", F.lit(0.5)))
-    if sentiment is not None:
-        base = base.join(latest_sentiment(sentiment), "Ticker", "left").withColumn(
-            "Sentiment", F.coalesce("Sentiment", F.lit(0.5)))
-    else:
-        base = base.withColumn("Sentiment", F.lit(0.5))
-    for raw, out in (("Forecast", "f"), ("Sentiment", "s"), ("Risk", "r")):
-        base = normalise(base, [], raw, out, bound)
-    base = base.withColumn("_neg", -F.col("r"))
-    for raw, out in (("f", "fc"), ("s", "sc"), ("_neg", "rc")):
-        base = centre_rank(base, raw, out, bound)
-    wf = base.withColumn("_wf", rc.forecast * skill)
+    base = (
+        universe_frame(cfg.universe, features).join(forecast_signal(own, cfg.portfolio), "Ticker", "left")
+        .join(risk_signal(features, as_of, group_bound=len(cfg.universe)), "Ticker", "left")
+        .join(F.broadcast(weights), "Ticker", "left")
+    )
+    known = latest_sentiment(sentiment) if sentiment is not None else base.select("Ticker", F.lit(0.5).alias("Sentiment"))
+    half = F.lit(0.5)
+    base = base.join(known, "Ticker", "left").select(
+        "Ticker", F.coalesce("Forecast", half).alias("Forecast"), F.coalesce("Sentiment", half).alias("Sentiment"),
+        F.coalesce("Risk", half).alias("Risk"), F.coalesce("Target_Weight", F.lit(0.0)).alias("_t"),
+        F.coalesce("Current_Weight", F.lit(0.0)).alias("_w"), (rc.forecast * skill_gate(predictions).scalar()).alias("_wf"))
+    unit = base.withColumns({
+        "f": normalise_window(F.col("Forecast")), "s": normalise_window(F.col("Sentiment")),
+        "r": normalise_window(F.col("Risk"))}).withColumn("_neg", -F.col("r"))
+    centred = unit.withColumns({
+        c: 2.0 * normalise_window(F.col(v)) - 1.0 for c, v in (("fc", "f"), ("sc", "s"), ("rc", "_neg"))})
     score = fuse([(F.col("_wf"), F.col("fc")), (F.lit(rc.sentiment), F.col("sc")), (F.lit(rc.risk), F.col("rc"))])
-    joined = wf.withColumn("_c", score).join(F.broadcast(weights), "Ticker", "left").withColumns({
-        "_t": F.coalesce("Target_Weight", F.lit(0.0)), "_w": F.coalesce("Current_Weight", F.lit(0.0))})
+    joined = centred.withColumn("_c", score)
     action = threshold_action(F.col("_c"), rc.sell, rc.buy)
     drift = F.col("_t") - F.col("_w")
     return joined.select(
@@ -207,10 +206,16 @@ def signal_outcome(forecasts: DataFrame, risk: DataFrame, outcome: DataFrame) ->
 
 def backtest_actions(rows: DataFrame, cfg: RecommendConfig, skill: float, group_bound: int | None = None) -> DataFrame:
     """Adds one action (+1, 0, -1) per arm. Signals are ranked per date; risk enters the fusion negated."""
-    ranked = normalise(rows, ["Date"], "Forecast", "f", group_bound)
-    ranked = normalise(ranked, ["Date"], "Risk", "r", group_bound).withColumn("_neg", -F.col("r"))
-    ranked = centre_rank(ranked, "f", "fc", group_bound, ["Date"])
-    ranked = centre_rank(ranked, "_neg", "rc", group_bound, ["Date"])
+    if group_bound is not None and group_bound <= WINDOW_BOUND:
+        day = ["Date"]
+        ranked = rows.withColumns({"f": normalise_window(F.col("Forecast"), day), "r": normalise_window(F.col("Risk"), day)})
+        ranked = ranked.withColumn("_neg", -F.col("r")).withColumns(
+            {c: 2.0 * normalise_window(F.col(v), day) - 1.0 for c, v in (("fc", "f"), ("rc", "_neg"))})
+    else:
+        ranked = normalise(rows, ["Date"], "Forecast", "f")
+        ranked = normalise(ranked, ["Date"], "Risk", "r").withColumn("_neg", -F.col("r"))
+        ranked = centre_rank(ranked, "f", "fc", None, ["Date"])
+        ranked = centre_rank(ranked, "_neg", "rc", None, ["Date"])
     out = ranked.withColumn("action_buy_and_hold", F.lit(1))
     for arm, gate in (("gated", skill), ("ungated", 1.0)):
         score = fuse([(F.lit(cfg.forecast * gate), F.col("fc")), (F.lit(cfg.sentiment), F.lit(0.0)),

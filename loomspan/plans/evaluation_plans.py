@@ -348,7 +348,7 @@ def _(spark, sf):
 
 @query("argmax_sharpe", SEARCH_SQL + f" SELECT arg_max(Candidate, sharpe) AS Candidate, {g('max(sharpe)')} AS sharpe FROM sc")
 def _(spark, sf):
-    out = scored(spark, sf).agg(F.max_by("Candidate", F.struct("sharpe", -F.col("Candidate"))).alias("Candidate"), F.max("sharpe").alias("sharpe"))
+    out = scored(spark, sf).agg(F.max_by("Candidate", F.when(F.col("sharpe").isNotNull(), F.struct("sharpe", -F.col("Candidate")))).alias("Candidate"), F.max("sharpe").alias("sharpe"))
     return publish(out, ["Candidate"], ["sharpe"])
 
 

@@ -259,6 +259,21 @@ def _(spark, sf):
                    [*BREADTH, "Idiosyncratic_Mean", "Beta_AF", "Idiosyncratic_RF_5d"])
 
 
+TABLE_COLS = ["Return_5d", "SMA_200", "Vol_21d", "Market_Return_1d", "Yield_Spread_10Y_3M", "Universe_Breadth", "Beta_AF", "Target", "Target_Price"]
+
+
+@query("feature_table", MARKET_SQL + ", " + XS.removeprefix(f"WITH {BARS}, ") + f""", pv AS (SELECT Date, max(CASE WHEN Ticker = 'AF' THEN Beta END) AS Beta_AF FROM idi GROUP BY Date),
+ a0 AS (SELECT *, {LP} - {lag(LP)} AS r, row_number() OVER ({SERIES}) AS rn FROM fx_bars WHERE Ticker IN ('AF','AO','NF','RF')),
+ ft AS (SELECT Date, Ticker, rn, {LP} - {lag(LP, 5)} AS Return_5d, {roll('avg', 'AdjClose', 200)} AS SMA_200, {roll('stddev_samp', 'r', 21)} * {YEAR} AS Vol_21d,
+  lead({LP}) OVER ({SERIES}) - {LP} AS Target, lead(AdjClose) OVER ({SERIES}) AS Target_Price FROM a0)
+ SELECT ft.Date, ft.Ticker, {gcols(TABLE_COLS)} FROM ft LEFT JOIN ctx ON ctx.Date = ft.Date LEFT JOIN br ON br.Date = ft.Date LEFT JOIN pv ON pv.Date = ft.Date
+ WHERE rn >= 200 AND Target IS NOT NULL AND Target_Price IS NOT NULL""")
+def _(spark, sf):
+    """The assembled model table: families, market and cross-sectional context, label, warm-up removed."""
+    p = fx.bars(spark, sf)
+    return publish(features.feature_table(p, market(spark, sf), context.cross_sectional_context(p, CFG), None, CFG), KEYS, TABLE_COLS)
+
+
 # ranks, labels and folds ------------------------------------------------------------------------------------
 
 def rank_sql(value: str, by: str, src: str) -> str:
