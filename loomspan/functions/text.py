@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,21 +37,42 @@ ABBREVIATIONS = (
 HTML = r"<[^>]+>"
 URL = r"https?://\S+|www\.\S+"
 TICKER = r"[$]([A-Z]{1,5})\b"
-SPACE = r"\s+"
 
 # Word characters, digits and spaces follow Unicode, as the texts are in several languages.
 UNICODE = "(?U)"
 
 
+def _replace(text: Column, pattern: str, replacement: str, literals: tuple[str, ...]) -> Column:
+    """regexp_replace behind a plain substring test: most texts hold none of the literals a pattern needs.
+
+    The one-element transform names the text once, so a chain of these does not copy its input expression.
+    """
+    def step(t: Column) -> Column:
+        found = t.contains(literals[0])
+        for x in literals[1:]:
+            found = found | t.contains(x)
+        return F.when(found, F.regexp_replace(t, F.lit(pattern), F.lit(replacement))).otherwise(t)
+
+    return F.element_at(F.transform(F.array(text), step), 1)
+
+
+def _literal_first(pattern: str) -> tuple[str, str]:
+    """(pattern, literal): a leading word boundary is moved behind the literal it precedes, which is found faster."""
+    literal = re.match(r"\\b([a-z]+)", pattern).group(1)
+    return pattern.replace(rf"\b{literal}", rf"{literal}(?<=\b{literal})", 1), literal
+
+
 def clean_text(text: Column) -> Column:
     """Strip markup and links, unwrap $SYMBOLS, lower-case, expand abbreviations, collapse spaces; NULL -> ''."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(UNICODE + HTML), F.lit(" "))
-    out = F.regexp_replace(out, F.lit(UNICODE + URL), F.lit(" "))
-    out = F.regexp_replace(out, F.lit(UNICODE + TICKER), F.lit("$1"))
-    out = F.lower(out)
+    out = _replace(F.coalesce(text, F.lit("")), UNICODE + HTML, " ", ("<",))
+    out = _replace(out, UNICODE + URL, " ", ("://", "www."))
+    out = F.lower(_replace(out, UNICODE + TICKER, "$1", ("$",)))
     for pattern, replacement in ABBREVIATIONS:
-        out = F.regexp_replace(out, F.lit(UNICODE + pattern), F.lit(replacement))
-    return F.trim(F.regexp_replace(out, F.lit(UNICODE + SPACE), F.lit(" ")))
+        fast, literal = _literal_first(pattern)
+        if replacement != literal:
+            out = _replace(out, UNICODE + fast, replacement, (literal,))
+    # a lone plain space already is what a run of spaces becomes
+    return F.trim(F.regexp_replace(out, F.lit(UNICODE + r"\s{2,}|[^\S ]"), F.lit(" ")))
 
 
 def concat_text(headline: Column, summary: Column) -> Column:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.session import materialise
+
 
 WINDOW_BOUND = 1_000_000
 RANGES = 64
@@ -22,6 +24,7 @@ def _counted(df: DataFrame, by: list[str], value: str, ranges: int) -> DataFrame
     counts = (
         df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
     )
+    counts = materialise(counts, "counts")  # read three times below
     probs = [i / ranges for i in range(1, ranges)]
     cuts = counts.groupBy(*by).agg(F.percentile_approx(value, probs, 1000).alias("_cuts"))
     placed = _attach(counts, cuts, by).withColumn(

@@ -58,9 +58,14 @@ def map_to_session(news: DataFrame, calendar: DataFrame, close_hour: int = 16) -
 
 
 def article_texts(news: DataFrame) -> DataFrame:
-    """Adds Text (headline and summary joined, cleaned); articles without any text are dropped."""
-    raw = concat_text(F.col("Headline"), F.col("Summary"))
-    return news.withColumn("Text", clean_text(raw)).where(F.length("Text") > 0)
+    """Adds Text (headline and summary joined, cleaned); articles without any text are dropped.
+
+    A filter on a computed column is pushed below it, which would clean every text twice; as the output of a
+    generator the text is computed once.
+    """
+    cleaned = clean_text(concat_text(F.col("Headline"), F.col("Summary")))
+    kept = F.filter(F.array(cleaned), lambda t: F.length(t) > 0)
+    return news.select("*", F.explode_outer(kept).alias("Text")).where(F.col("Text").isNotNull())
 
 
 def lexicon_polarity(news: DataFrame, lexicon: DataFrame, key: str = "ArticleId", text: str = "Text") -> DataFrame:

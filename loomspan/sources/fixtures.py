@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomspan.config import EngineConfig, PortfolioConfig
 from loomspan.functions.expr import by_series
-from loomspan.sources.readers import table
+from loomspan.sources.readers import spread, table
 
 BARS_CONFIG = EngineConfig(universe=("AF", "AO", "NF", "RF"), benchmark="NO", volatility_index="RO",
                            portfolio=PortfolioConfig(cap=0.4))
@@ -117,7 +117,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     head = F.regexp_extract("text", "^[^.\\n]*", 0)
     return (
-        table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+        spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
         .join(table(spark, sf_dir, "events").select("event_id", "ts", "event_type"),
               F.col("doc_id") == F.col("event_id"))
         .select(

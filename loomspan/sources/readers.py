@@ -32,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores (one small file) is dealt out before row-wise heavy work; a larger one is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def require_columns(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:
