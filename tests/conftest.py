@@ -11,3 +11,8 @@ from loomspan.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     return local_session("8", "4")
+
+
+@pytest.fixture(scope="session")
+def sf():
+    return "/root/testdata/sf0.001"
