@@ -1,6 +1,6 @@
 """All queries of this subpackage; importing a module registers its query."""
 
-from loomspan.llm import language, mixing, pieces  # noqa: F401
+from loomspan.llm import language, mixing, pieces, pii  # noqa: F401
 from loomspan.llm.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
