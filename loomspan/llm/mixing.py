@@ -20,7 +20,7 @@ from loomspan.llm.registry import query
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
-LOT = 20_000
+LOT = 2_000
 SEED = "mix-1"
 
 
@@ -57,17 +57,19 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, cap
     return t.withColumn("_target", F.coalesce(F.least("_cap", F.col("_w") * level), F.col("_cap"))).select("source", "_total", "_target")
 
 
-def with_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
+def with_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, size: str | None = None) -> DataFrame:
     """One row per document: _row (all its columns), _size, _total and _target of its source, _copies.
 
+    size names a column with the word counts, if they were taken before; text is then not needed.
     A null or empty text has size 0 and its copies do not matter to the totals. Repeated rows are separate documents.
     A null source is a source of its own, last in order. An empty table gives an empty result.
     """
+    count = word_count(F.col("text")) if size is None else F.col(size)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("source").alias("_source"),
-                       word_count(F.col("text")).alias("_size"), F.coalesce(F.col("doc_id").cast("string"), F.lit("n")).alias("_id"))
+                       count.alias("_size"), F.coalesce(F.col("doc_id").cast("string"), F.lit("n")).alias("_id"))
     digits = F.col("_size").cast("string")
     rows = rows.withColumn("_class", F.concat(F.length(digits).cast("string"), F.lit("."), F.substring(digits, 1, 1)))
-    classes = docs.select(F.col("source").alias("source"), word_count(F.col("text")).alias("_size"))
+    classes = docs.select(F.col("source").alias("source"), count.alias("_size"))
     digits = F.col("_size").cast("string")
     classes = (classes.withColumn("_class", F.concat(F.length(digits).cast("string"), F.lit("."), F.substring(digits, 1, 1)))
                .groupBy("source", "_class").agg(F.sum("_size").alias("_words"), F.count("*").alias("_n")))
@@ -117,7 +119,8 @@ SELECT doc_id, size, total AS source_size, target,
 
 @query("op3_mix_sources", SQL)
 def op3_mix_sources(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents", "doc_id", "text", "source")
-    return with_copies(docs).select(
+    docs = read(spark, sf_dir, "documents", "doc_id", "source", "text")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"))
+    return with_copies(sized, size="words").select(
         "_row.doc_id", F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"),
         (F.col("_size") * F.col("_copies")).cast("long").alias("taken"))
