@@ -1,6 +1,6 @@
 """All queries of this subpackage; importing a module registers its query."""
 
-from loomspan.llm import byte_repeats, language, metric_join, mixing, multi_index, pieces, pii, word_repeats  # noqa: F401
+from loomspan.llm import byte_repeats, language, metric_join, mixing, multi_index, pieces, pii, toxicity, word_repeats  # noqa: F401
 from loomspan.llm.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
