@@ -112,6 +112,12 @@ def normal_quantile(p: Column) -> Column:
     return F.when(p < 0.02425, tail_lo).when(p > 1 - 0.02425, tail_hi).otherwise(mid)
 
 
+def drawn(*parts: Column | str | int) -> Column:
+    """A whole number below 2^32, spread evenly, from the MD5 of the parts joined by colons; SQL can repeat it."""
+    text = F.concat_ws(":", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
 # Offset of the output grid: cell edges away from short decimal fractions, so that two engines that
 # differ in the last bit of a double still land in the same cell.
 GRID_OFFSET = 0.3717264

@@ -63,9 +63,11 @@ def align_calendar(prices: DataFrame, source: str) -> DataFrame:
 
     The grid is not joined. Each row, in series order, fills the sessions between its
     predecessor and itself (the last row also those up to the end), which costs one exchange by series that
-    the following per-series windows reuse.
+    the following per-series windows reuse. A calendar series without rows is an error.
     """
-    days = session_list(prices, source).scalar()
+    known = session_list(prices, source).select(F.when(F.size("sessions") > 0, F.col("sessions")).otherwise(
+        F.raise_error(F.lit(f"calendar series {source} has no rows")).cast("array<date>")).alias("sessions"))
+    days = known.scalar()
     calendar = trading_calendar(prices, source)
     placed = prices.join(F.broadcast(calendar), "Date", "left").withColumn(
         "_slot", F.coalesce("SessionIdx", F.lit(-1)))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.config import TRADING_DAYS, PortfolioConfig
-from loomspan.functions.expr import div
+from loomspan.functions.expr import div, drawn
 from loomspan.operators.stats import pair_stats
 
 YEAR = math.sqrt(TRADING_DAYS)
@@ -102,19 +102,15 @@ def quadratic(weights: DataFrame, mu: DataFrame, cov: DataFrame) -> DataFrame:
 
 
 def candidate_weights(spark: SparkSession, assets: list[str], cfg: PortfolioConfig = PortfolioConfig()) -> DataFrame:
-    """(Candidate, w): long-only capped weight arrays from an arithmetic hash, so they can be reproduced.
+    """(Candidate, w): long-only capped weight arrays from independent hashed draws, so they can be reproduced.
 
     Weights over the cap are set to it and the rest is scaled to fill the budget; each round fixes at least
     one more asset, so as many rounds as assets suffice. The rounds are an array fold inside the JVM.
     """
     n, cap = len(assets), F.lit(cfg.cap)
 
-    def raw(c: Column, k: int) -> Column:
-        mixed = (c + 1) * (7919 + 104729 * (k + 1)) + cfg.seed * 1299709
-        return ((mixed % 1000003) + 1).cast("double")
-
     c = F.col("Candidate")
-    parts = F.array(*[raw(c, k) for k in range(n)])
+    parts = F.array(*[(drawn(cfg.seed, c, k) + 1).cast("double") for k in range(n)])
 
     def total(a: Column) -> Column:
         return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -268,8 +264,8 @@ def block_bootstrap(series: DataFrame, cfg: PortfolioConfig = PortfolioConfig())
     """One row: mean, standard error and 95 % interval of the Sharpe ratio over resampled blocks.
 
     `series` is (Date, r). The sums of every possible block are computed once by a trailing window; a resample
-    then joins n/block block sums instead of n returns. Block starts follow an arithmetic rule, so
-    the resamples can be reproduced. A series no longer than one block gives NULLs.
+    then joins n/block block sums instead of n returns. Block starts are independent hashed draws, so the
+    resamples can be reproduced. A series no longer than one block gives NULLs.
     """
     spark, b = series.sparkSession, cfg.block
     order = Window.partitionBy(F.lit(1)).orderBy("Date")
@@ -282,7 +278,7 @@ def block_bootstrap(series: DataFrame, cfg: PortfolioConfig = PortfolioConfig())
     picks = (
         spark.range(cfg.resamples).withColumnRenamed("id", "b").withColumn("n", n).where(F.col("n") > b)
         .withColumn("j", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / b) - 1)))
-        .select("b", ((F.col("b") * 7919 + F.col("j") * 104729 + cfg.seed) % (F.col("n") - b + 1)).alias("start"))
+        .select("b", (drawn(cfg.seed, F.col("b"), F.col("j")) % (F.col("n") - b + 1)).alias("start"))
     )
     m = F.count("*") * b
     mean = F.sum("s1") / m

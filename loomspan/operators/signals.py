@@ -19,7 +19,7 @@ LEADS = {
     "HOLD": "Composite sits inside the no-trade band:",
 }
 NO_EDGE = (" The forecast term carries zero weight because the model shows no measured edge over the "
-           "random walk (Section 8.3).")
+           "random walk.")
 
 
 def latest_per_key(df: DataFrame, key: str = "Ticker") -> DataFrame:

@@ -154,7 +154,8 @@ def adf_fixed_lag(panel: DataFrame, lags: int = 1) -> DataFrame:
     """Unit-root t statistic per series: dy on (1, y[-1], dy[-1..-lags]).
 
     The normal equations are sums in one aggregate per series; only the (lags + 2)-sized solve
-    runs in Python, on one row per series.
+    runs in Python, on one row per series. The statistic is NULL for a series that is too short, constant or
+    without scatter around its fit.
     """
     w = by_series()
     y = F.col("AdjClose")
@@ -173,21 +174,25 @@ def adf_fixed_lag(panel: DataFrame, lags: int = 1) -> DataFrame:
         for pdf in batches:
             stats = [_adf_solve(np.asarray(s, dtype=float), k) for s in pdf["s"]]
             yield pd.DataFrame({"Ticker": pdf["Ticker"], "n": [int(s[-1]) for s in pdf["s"]],
-                                "t_stat": stats})
+                                "t_stat": pd.Series(stats, dtype=float)})
 
     solved = agg.mapInPandas(solve, "Ticker string, n long, t_stat double")
+    solved = solved.withColumn("t_stat", F.nanvl("t_stat", F.lit(None).cast("double")))
     return solved.withColumns({f"reject_{p[:-1]}pct": F.col("t_stat") < c for p, c in ADF_CRITICAL.items()})
 
 
-def _adf_solve(s: np.ndarray, k: int) -> float:
+def _adf_solve(s: np.ndarray, k: int) -> float | None:
     n_pairs = k * (k + 1) // 2
     xx = np.zeros((k, k))
     xx[np.triu_indices(k)] = s[:n_pairs]
     xx = xx + xx.T - np.diag(np.diag(xx))
     xy, yy, n = s[n_pairs:n_pairs + k], s[n_pairs + k], s[-1]
+    if n <= k or np.linalg.matrix_rank(xx) < k:
+        return None
     inv = np.linalg.inv(xx)
     coef = inv @ xy
     sigma2 = (yy - coef @ xy) / (n - k)
-    return float(coef[1] / math.sqrt(sigma2 * inv[1, 1]))
+    scatter = sigma2 * inv[1, 1]
+    return float(coef[1] / math.sqrt(scatter)) if scatter > 0 else None
 
 

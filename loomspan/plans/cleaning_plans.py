@@ -10,7 +10,7 @@ from loomspan.operators import checks, cleaning, context, features, labels, mode
 from loomspan.operators.portfolio import recent_rows
 from loomspan.operators.sentiment import coverage_gap
 from loomspan.plans.registry import (BAD, BARS, FLAGGED, IMPUTED, MACRO, NEWS, PREDICTIONS, RAW, SERIES, SPARSE,
-                                     WIDE_BARS, aligned, g, gcols, lag, publish, query, roll)
+                                     MARKET_WIDE, WIDE_BARS, aligned, g, gcols, lag, publish, query, roll)
 from loomspan.session import run_dir
 from loomspan.sources import fixtures as fx
 from loomspan.sources import readers, sinks
@@ -304,9 +304,10 @@ def _(spark, sf):
     return publish(cleaning.align_calendar(fx.sparse_bars(spark, sf), CALENDAR), KEYS, FIELDS)
 
 
-@query("calendar_align_many", f"WITH {WIDE_BARS}, {aligned('fx_wide', '1')} SELECT Date, Ticker, {gcols(FIELDS)} FROM aligned")
+@query("calendar_align_many", f"WITH {WIDE_BARS}, {MARKET_WIDE}, {aligned('fx_market', 'MARKET')} SELECT Date, Ticker, {gcols(FIELDS)} FROM aligned")
 def _(spark, sf):
-    return publish(cleaning.align_calendar(fx.wide_bars(spark, sf), "1"), KEYS, FIELDS)
+    """All supplier series on the days on which any of them trades."""
+    return publish(cleaning.align_calendar(fx.with_market(fx.wide_bars(spark, sf)), fx.MARKET), KEYS, FIELDS)
 
 
 @query("limited_ffill", f"{SPARSE_ALIGNED}, {IMPUTED} SELECT Date, Ticker, {gcols(FIELDS)} FROM imputed")

@@ -217,8 +217,7 @@ def _(spark, sf):
  FROM e JOIN q ON q.Ticker = e.Ticker AND q.Model = e.Model GROUP BY 1, 2""")
 def _(spark, sf):
     out = evaluate.forecast_band(fx.predictions(spark, sf))
-    lohi = publish(out, ["Ticker", "Model", "n"], ["lo", "hi"], 4)
-    return lohi.join(publish(out, ["Ticker", "Model"], ["coverage"]), ["Ticker", "Model"])
+    return publish(out, ["Ticker", "Model", "n"], ["lo", "hi", "coverage"], {"lo": 4, "hi": 4})
 
 
 @query("absolute_from_relative", f"""WITH {PREDICTIONS}, m AS (SELECT *, avg(Actual_Return) OVER (PARTITION BY Model, Date) + Predicted_Return AS ab FROM fx_pred)
@@ -310,7 +309,7 @@ def _(spark, sf):
                    ["expected_return", "variance", "volatility"])
 
 
-CAND = """cr AS (SELECT c, list_transform(range(4), lambda k: CAST(((c + 1) * (7919 + 104729 * (k + 1)) + 42 * 1299709) % 1000003 + 1 AS DOUBLE)) AS w FROM range(20000) t(c)),
+CAND = """cr AS (SELECT c, list_transform(range(4), lambda k: CAST(CAST('0x' || substr(md5('42:' || c || ':' || k), 1, 8) AS BIGINT) + 1 AS DOUBLE)) AS w FROM range(20000) t(c)),
  cs AS (SELECT c, list_transform(w, lambda x: x / list_sum(w)) AS w FROM cr),
  ci AS (SELECT c, 0 AS it, w FROM cs UNION ALL
   SELECT c, it + 1, list_transform(w, lambda x: CASE WHEN x >= 4e-1 THEN 4e-1 ELSE x * (1 - 4e-1 * len(list_filter(w, lambda y: y >= 4e-1))) / list_sum(list_filter(w, lambda y: y < 4e-1)) END)
@@ -364,8 +363,8 @@ def _(spark, sf):
 def _(spark, sf):
     """Traded value shares of all series, held to the weight cap."""
     traded = fx.wide_bars(spark, sf).groupBy("Ticker").agg(F.sum(F.col("Close") * F.col("Volume")).alias("v"))
-    out = checks.simplex_guard(portfolio.normalised_weights(traded, "v"), "w", 0.2).withColumn("_k", F.lit(1))
-    return publish(out, ["valid", "_k"], ["lowest", "highest"]).join(publish(out, ["_k"], ["total"], 4), "_k").drop("_k")
+    out = checks.simplex_guard(portfolio.normalised_weights(traded, "v"), "w", 0.2)
+    return publish(out, ["valid"], ["total", "lowest", "highest"], {"total": 4})
 
 
 BT = f"""{SPLIT_WR}, oos AS (SELECT * FROM ws WHERE Part = 'oos'),
@@ -435,7 +434,7 @@ def _(spark, sf):
 
 
 @query("block_bootstrap", WIDE_SQL + f""", se AS (SELECT row_number() OVER (ORDER BY Date) - 1 AS i, 4e-1 * AF + 3e-1 * AO + 2e-1 * NF + 1e-1 * RF AS r, count(*) OVER () AS n FROM wr),
- pk AS (SELECT b, j, (b * 7919 + j * 104729 + 42) % (n - 19) AS st FROM (SELECT max(n) AS n FROM se), range(1000) x(b), range(100000) y(j) WHERE j < n // 20),
+ pk AS (SELECT b, j, CAST('0x' || substr(md5('42:' || b || ':' || j), 1, 8) AS BIGINT) % (n - 19) AS st FROM (SELECT max(n) AS n FROM se), range(1000) x(b), range(100000) y(j) WHERE j < n // 20),
  sm AS (SELECT b, r FROM pk JOIN se ON se.i >= st AND se.i < st + 20),
  sh AS (SELECT b, {SHARPE_X} AS s FROM sm GROUP BY b)
  SELECT {g('avg(s)')} AS mean, {g('stddev_samp(s)')} AS std_error, {g('quantile_cont(s, 25e-3)')} AS ci_low, {g('quantile_cont(s, 975e-3)')} AS ci_high, count(*) AS n_bootstraps,

@@ -160,9 +160,8 @@ def _(spark, sf):
     out = w.select(
         "Split", "Ticker", "Date", F.size("Window").alias("length"), F.col("Window")[0][0].alias("first_value"),
         F.col("Window")[59][1].alias("last_volume"),
-        F.aggregate("Window", F.lit(0.0), lambda s, x: s + x[0]).alias("_s"), "NextTarget")
-    return publish(out, ["Split", "Ticker", "Date", "length"], ["first_value", "last_volume", "NextTarget"]).join(
-        publish(out.withColumnRenamed("_s", "window_sum"), ["Split", "Ticker", "Date"], ["window_sum"], 4), ["Split", "Ticker", "Date"])
+        F.aggregate("Window", F.lit(0.0), lambda s, x: s + x[0]).alias("window_sum"), "NextTarget")
+    return publish(out, ["Split", "Ticker", "Date", "length"], ["first_value", "last_volume", "window_sum", "NextTarget"], {"window_sum": 4})
 
 
 # context -------------------------------------------------------------------------------------------------

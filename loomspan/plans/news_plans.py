@@ -114,7 +114,7 @@ def _(spark, sf):
 
 DAILY_SQL = f"""{NEWS_TEXT}, {NEWS_CAL}, {EVENT_SESSIONS}, {POLARITY}, {LABELLED},
  dy AS (SELECT es.Date, es.Ticker, avg(fb.Sentiment_FinBERT) AS Sentiment_FinBERT, avg(vd.Sentiment_VADER) AS Sentiment_VADER, count(*) AS News_Volume
-  FROM articles a JOIN es ON es.event_id = a.ArticleId JOIN vd ON vd.ArticleId = a.ArticleId JOIN fb ON fb.ArticleId = a.ArticleId GROUP BY 1, 2),
+  FROM articles a JOIN fx_news f ON f.ArticleId = a.ArticleId JOIN es ON es.event_id = f.EventId JOIN vd ON vd.ArticleId = a.ArticleId JOIN fb ON fb.ArticleId = a.ArticleId GROUP BY 1, 2),
  dm AS (SELECT *, avg(Sentiment_FinBERT) OVER (PARTITION BY Ticker ORDER BY Date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS Sentiment_3d_Mom,
   avg(News_Volume) OVER (PARTITION BY Ticker ORDER BY Date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS Vol_Avg FROM dy)"""
 
@@ -123,8 +123,8 @@ def daily(spark, sf):
     """Articles -> text -> both scores -> session -> daily aggregates."""
     rows = articles(spark, sf).withColumn(
         "Sentiment_FinBERT", sentiment.label_polarity(F.col("Label"), F.col("Confidence")))
-    score = sentiment.batch_scorer(lexicon_scorer)
-    placed = sentiment.map_to_session(rows.withColumn("Sentiment_VADER", score(F.col("Text"))), fx.news_calendar(spark, sf))
+    scored = rows.join(sentiment.lexicon_polarity(rows, fx.lexicon(spark)), "ArticleId")
+    placed = sentiment.map_to_session(scored, fx.news_calendar(spark, sf))
     return sentiment.aggregate_daily(placed)
 
 
@@ -161,7 +161,7 @@ def _(spark, sf):
 
 # streaming ---------------------------------------------------------------------------------------------------
 
-@query("stream_news_ingest", f"""WITH {NEWS} SELECT Ticker, strftime(Timestamp, '%Y-%m-%d %H:%M:%S') AS seen, trim(Headline) AS Headline
+@query("stream_news_ingest", f"""WITH {NEWS} SELECT DISTINCT Ticker, strftime(Timestamp, '%Y-%m-%d %H:%M:%S') AS seen, trim(Headline) AS Headline
  FROM fx_news WHERE length(trim(Headline)) > 0""")
 def _(spark, sf):
     """Every chunk file arrives twice; each article must come out once."""
@@ -173,23 +173,25 @@ def _(spark, sf):
 
 
 def event_stream(spark, sf):
-    schema = table(spark, sf, "events").schema
-    return streams.read_file_stream(spark, f"{sf}/events*.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    """The events as four files that arrive in the order of their days, one in a micro-batch."""
+    events = table(spark, sf, "events")
+    path = run_dir(spark, "stream-events-in")
+    for part in range(4):
+        events.where(F.floor((F.dayofmonth("ts") - 1) / 8) == part).coalesce(1).write.mode("append").parquet(path)
+    return streams.read_file_stream(spark, path, events.schema, 1).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("stream_session_sentiment", f"""WITH {NEWS_CAL}, {EVENT_SESSIONS} SELECT Date, Ticker, {g('avg(value)')} AS Sentiment, count(*) AS News_Volume FROM es
- WHERE Date <= (SELECT max(Date) FROM es) - 3 GROUP BY Date, Ticker""")
+@query("stream_session_sentiment", f"""WITH {NEWS_CAL}, {EVENT_SESSIONS} SELECT Date, Ticker, {g('avg(value)')} AS Sentiment, count(*) AS News_Volume FROM es GROUP BY Date, Ticker""")
 def _(spark, sf):
     scored = event_stream(spark, sf).select(F.col("event_type").alias("Ticker"), F.col("ts").alias("Timestamp"), F.col("value").alias("Score"))
-    out = streams.drain(streams.stream_session_sentiment(scored, fx.news_calendar(spark, sf)), "stream-sentiment")
+    out = streams.drain_updates(streams.stream_session_sentiment(scored, fx.news_calendar(spark, sf)), "stream-sentiment", KEYS)
     return publish(out, ["Date", "Ticker", "News_Volume"], ["Sentiment"])
 
 
 @query("stream_bars", f"""WITH w AS (SELECT *, date_trunc('hour', ts) AS Start FROM events),
  b AS (SELECT Start, event_type AS Ticker, arg_min(value, ts) AS Open, max(value) AS High, min(value) AS Low, arg_max(value, ts) AS Close, count(*) AS Volume FROM w GROUP BY 1, 2)
- SELECT strftime(Start, '%Y-%m-%d %H:%M:%S') AS Start, Ticker, Volume, {gcols(['Open', 'High', 'Low', 'Close'])} FROM b
- WHERE b.Start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+ SELECT strftime(Start, '%Y-%m-%d %H:%M:%S') AS Start, Ticker, Volume, {gcols(['Open', 'High', 'Low', 'Close'])} FROM b""")
 def _(spark, sf):
     ticks = event_stream(spark, sf).select("ts", F.col("event_id").alias("id"), F.col("event_type").alias("Ticker"), F.col("value").alias("price"))
-    out = streams.drain(streams.stream_bars(ticks), "stream-bars").withColumn("Start", F.date_format("Start", "yyyy-MM-dd HH:mm:ss"))
+    out = streams.drain_updates(streams.stream_bars(ticks), "stream-bars", ["Start", "Ticker"]).withColumn("Start", F.date_format("Start", "yyyy-MM-dd HH:mm:ss"))
     return publish(out, ["Start", "Ticker", "Volume"], ["Open", "High", "Low", "Close"])

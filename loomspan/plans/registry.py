@@ -31,9 +31,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Runner], Runner]:
     return register
 
 
-def publish(df: DataFrame, keys: list[str], values: list[str], digits: int = 6) -> DataFrame:
-    """Key columns as they are, value columns on a fixed decimal grid."""
-    return df.select(*keys, *[grid(F.col(v).cast("double"), digits).alias(v) for v in values])
+def publish(df: DataFrame, keys: list[str], values: list[str], digits: int | dict[str, int] = 6) -> DataFrame:
+    """Key columns as they are, value columns on a fixed decimal grid; digits may name those of single columns (else 6)."""
+    of = digits if isinstance(digits, dict) else dict.fromkeys(values, digits)
+    return df.select(*keys, *[grid(F.col(v).cast("double"), of.get(v, 6)).alias(v) for v in values])
 
 
 # SQL text helpers -------------------------------------------------------------------------------
@@ -79,6 +80,8 @@ def _bars(ticker: str) -> str:
 
 BARS = f"fx_bars AS {_bars('concat(l_returnflag, l_linestatus)')}"
 WIDE_BARS = f"fx_wide AS {_bars('CAST(l_suppkey AS VARCHAR)')}"
+MARKET_WIDE = """fx_market AS (SELECT * FROM fx_wide UNION ALL
+ SELECT Date, 'MARKET', avg(Open), avg(High), avg(Low), avg(Close), avg(AdjClose), sum(Volume) FROM fx_wide GROUP BY Date)"""
 CALM = BARS + """, fx_calm AS (SELECT Date, Ticker, Open, High, Low, Close, 100 * pow(AdjClose, 2e-2) AS AdjClose, Volume FROM fx_bars)"""
 SPARSE = """fx_sparse AS (
  SELECT CAST(o_orderdate AS DATE) AS Date, o_orderpriority AS Ticker, arg_min(o_totalprice / 1e3, o_orderkey) AS Open,
@@ -95,9 +98,9 @@ MACRO = """fx_macro AS (
  FROM orders GROUP BY 1, 2)"""
 NEWS_CAL = """fx_cal AS (SELECT DISTINCT CAST(ts AS DATE) AS Date FROM events WHERE isodow(ts) <= 5)"""
 NEWS = r"""fx_news AS (
- SELECT doc_id AS ArticleId, event_type AS Ticker, ts AS Timestamp, regexp_extract(text, '^[^.\n]*') AS Headline,
+ SELECT doc_id AS ArticleId, event_id AS EventId, event_type AS Ticker, ts AS Timestamp, regexp_extract(text, '^[^.\n]*') AS Headline,
   substring(text, length(regexp_extract(text, '^[^.\n]*')) + 2) AS Summary, n_chars
- FROM documents JOIN events ON doc_id = event_id)"""
+ FROM (SELECT documents.*, doc_id * 7919 % n AS number FROM documents, (SELECT count(*) AS n FROM events)) JOIN events ON number = event_id)"""
 def _predictions(fixture: str, src: str) -> str:
     return fixture + f""", fx_r AS (
  SELECT Date, Ticker, AdjClose, ln(AdjClose) - {lag('ln(AdjClose)')} AS r,

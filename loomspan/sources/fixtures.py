@@ -102,6 +102,16 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MARKET = "MARKET"
+
+
+def with_market(panel: DataFrame) -> DataFrame:
+    """The panel and a series that trades on every day on which any series does: mean prices, all volume."""
+    prices = ("Open", "High", "Low", "Close", "AdjClose")
+    market = panel.groupBy("Date").agg(*[F.avg(c).alias(c) for c in prices], F.sum("Volume").alias("Volume"))
+    return panel.unionByName(market.withColumn("Ticker", F.lit(MARKET)))
+
+
 def news_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session days for the news: event days without weekends."""
     return (
@@ -111,15 +121,17 @@ def news_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles: each document is published at the time and under the type of the event of its number.
+    """Articles: each document is published at the time and under the type of one event, all over the events' span.
 
+    Document d takes event d * 7919 modulo the number of events, another one for each as long as there are more events.
     Headline is the text up to the first period or line end, Summary the whole rest.
     """
     head = F.regexp_extract("text", "^[^.\\n]*", 0)
+    events = table(spark, sf_dir, "events")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
     return (
-        spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
-        .join(table(spark, sf_dir, "events").select("event_id", "ts", "event_type"),
-              F.col("doc_id") == F.col("event_id"))
+        docs.withColumn("_number", F.col("doc_id") * 7919 % events.agg(F.count("*")).scalar())
+        .join(events.select("event_id", "ts", "event_type"), F.col("_number") == F.col("event_id"))
         .select(
             F.col("doc_id").alias("ArticleId"), F.col("event_type").alias("Ticker"),
             F.col("ts").alias("Timestamp"), head.alias("Headline"),

@@ -14,19 +14,23 @@ from loomspan.sources.readers import NEWS_CHUNK_SCHEMA, shape_news_chunks
 
 
 def stream_news_ingest(spark: SparkSession, path: str, delay: str = "30 days", per_trigger: int = 100) -> DataFrame:
-    """Articles from arriving chunk files, repeats by (ticker, url-or-title) dropped within the watermark."""
+    """Articles from arriving chunk files, without repeats within the watermark.
+
+    A repeat has the ticker and the url-or-title of an earlier article, or its ticker, time and headline.
+    """
     chunks = (
         spark.readStream.schema(NEWS_CHUNK_SCHEMA).option("maxFilesPerTrigger", per_trigger).json(path)
     )
-    return shape_news_chunks(chunks).withWatermark("Timestamp", delay).dropDuplicatesWithinWatermark(["Ticker", "ArticleKey"])
+    seen = shape_news_chunks(chunks).withWatermark("Timestamp", delay)
+    return seen.dropDuplicatesWithinWatermark(["Ticker", "ArticleKey"]).dropDuplicatesWithinWatermark(["Ticker", "Timestamp", "Headline"])
 
 
 def stream_session_sentiment(articles: DataFrame, calendar: DataFrame, close_hour: int = 16,
                              delay: str = "3 days") -> DataFrame:
     """Mean score and article count per (session, ticker) of a stream of scored articles.
 
-    The session is the event time, so a (session, ticker) is emitted once the watermark has passed it;
-    later articles are dropped. The calendar is static, small and must reach beyond the stream.
+    The session is the event time; articles behind the watermark are dropped. Appended output has a (session, ticker)
+    once the watermark has passed it, updates (see drain_updates) have the open ones too. The calendar is static, small and must reach beyond the stream.
     """
     placed = map_to_session(articles, calendar, close_hour)
     return (
@@ -53,8 +57,9 @@ def stream_bars(ticks: DataFrame, width: str = "1 hour", delay: str = "10 minute
     )
 
 
-def read_file_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+def read_file_stream(spark: SparkSession, path: str, schema: T.StructType, per_trigger: int = 100) -> DataFrame:
+    """Files in the order of their arrival, so many in a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
 def drain(stream: DataFrame, label: str) -> DataFrame:
@@ -68,3 +73,27 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def drain_updates(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """Run an aggregating stream over everything available and return the latest row of each key.
+
+    Groups that the watermark has not closed yet are included. Every micro-batch writes its updates to a folder of its own,
+    which a repeated batch overwrites.
+    """
+    spark = stream.sparkSession
+    base = run_dir(spark, label)
+    out, mark = os.path.join(base, "rows"), os.path.join(base, "checkpoint")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={number}"))
+
+    query = (
+        stream.writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", mark).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    values = [c for c in stream.columns if c not in keys]
+    updates = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(out)
+    latest = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_latest"))
+    return latest.select(*keys, *[F.col("_latest")[c].alias(c) for c in values]).select(*stream.columns)
