@@ -88,3 +88,8 @@ def tokens(text: Column) -> Column:
 
 def mood_label(score: Column, bullish: float, bearish: float) -> Column:
     return F.when(score > bullish, "Bullish").when(score < bearish, "Bearish").otherwise("Neutral")
+
+
+def contains_any_case(text: Column, term: str) -> Column:
+    """Whether a text holds a literal term, whatever the case of either; NULL for NULL."""
+    return F.contains(F.lower(text), F.lit(term.lower()))

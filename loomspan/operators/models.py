@@ -14,25 +14,35 @@ from loomspan.functions.expr import corr, finite
 from loomspan.operators.evaluate import hit
 from loomspan.operators.stats import pair_stats
 
-SHORTLIST = 1.0 - 1e-9
+NOISE = 5e-5  # residual spread, relative to the column's, that rounding in a correlation can hide
 
 
 def assemble(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol=out, handleInvalid="skip").transform(df)
 
 
-def _candidate_pairs(df: DataFrame, columns: list[str], with_nulls: set[str]) -> list[tuple[str, str]]:
-    """Column pairs with |correlation| of practically 1. Complete columns need one pass (a Gram matrix);
-    columns with missing values are paired by pairwise-complete aggregates."""
+def _candidate_pairs(df: DataFrame, columns: list[str], with_nulls: set[str], spread: dict[str, float],
+                     allowed: dict[str, float]) -> list[tuple[str, str]]:
+    """Column pairs whose largest residual can stay below what is allowed for the later column.
+
+    The root mean square residual, spread * sqrt(1 - r^2), is at most the largest one, so no pair that passes the
+    residual test is left out. Complete columns need one pass (a Gram matrix); columns with missing values are
+    paired by pairwise-complete aggregates."""
     complete = [c for c in columns if c not in with_nulls]
     found: set[tuple[str, str]] = set()
+
+    def close(r: float | None, later: str) -> bool:
+        return r is not None and spread[later] * math.sqrt(max(0.0, 1.0 - r * r)) <= allowed[later] + NOISE * spread[later]
+
     if len(complete) > 1:
         matrix = Correlation.corr(assemble(df.select(*complete), complete), "features").head()[0].toArray()
         found |= {(a, b) for i, a in enumerate(complete) for j, b in enumerate(complete)
-                  if i < j and abs(matrix[i, j]) > SHORTLIST}
+                  if i < j and close(float(matrix[i, j]), b)}
     if with_nulls:
-        rows = pair_stats(df, columns, {"c": corr}).where(F.abs("c") > SHORTLIST).collect()
-        found |= {(r["asset_i"], r["asset_j"]) for r in rows if {r["asset_i"], r["asset_j"]} & with_nulls}
+        for r in pair_stats(df, columns, {"c": corr}).where(F.col("c").isNotNull()).collect():
+            a, b = sorted((r["asset_i"], r["asset_j"]), key=columns.index)
+            if {a, b} & with_nulls and close(r["c"], b):
+                found.add((a, b))
     return sorted(found, key=lambda ab: (columns.index(ab[0]), columns.index(ab[1])))
 
 
@@ -45,11 +55,14 @@ def collinearity_filter(df: DataFrame, columns: list[str], tol: float = 1e-8, mi
     """
     data = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in columns])
     stats = data.agg(F.count("*").alias("_rows"), *[
-        e for c in columns for e in (F.count(c).alias(f"n_{c}"), F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))
+        e for c in columns for e in (F.count(c).alias(f"n_{c}"), F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"),
+                                  F.stddev_pop(c).alias(f"sd_{c}"))
     ]).head().asDict()
     usable = [c for c in columns if stats[f"n_{c}"] >= min_rows and stats[f"lo_{c}"] < stats[f"hi_{c}"]]
     partial = {c for c in usable if stats[f"n_{c}"] < stats["_rows"]}
-    pairs = _candidate_pairs(data, usable, partial) if len(usable) > 1 else []
+    spread = {c: stats[f"sd_{c}"] for c in usable}
+    allowed = {c: tol * max(1.0, abs(stats[f"lo_{c}"]), abs(stats[f"hi_{c}"])) for c in usable}
+    pairs = _candidate_pairs(data, usable, partial, spread, allowed) if len(usable) > 1 else []
     if not pairs:
         return list(columns)
     fits = data.agg(*[e for i, (a, b) in enumerate(pairs) for e in (

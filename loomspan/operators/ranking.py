@@ -16,7 +16,8 @@ from loomspan.session import materialise
 
 
 WINDOW_BOUND = 1_000_000
-RANGES = 64
+RANGES = 64  # parts that one round of cutting makes of a group or range
+RANGE_ROWS = 200_000  # distinct values in a sorted range, about
 
 
 def _counted(df: DataFrame, by: list[str], value: str, ranges: int) -> DataFrame:
@@ -26,9 +27,14 @@ def _counted(df: DataFrame, by: list[str], value: str, ranges: int) -> DataFrame
     )
     counts = materialise(counts, "counts")  # read three times below
     probs = [i / ranges for i in range(1, ranges)]
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, probs, 1000).alias("_cuts"))
-    placed = _attach(counts, cuts, by).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    largest = counts.groupBy(*by).agg(F.count("*").alias("_d")).agg(F.max("_d")).first()[0] or 0
+    placed, made = counts.withColumn("_range", F.lit(0).cast("long")), 1
+    while made == 1 or made * RANGE_ROWS < largest:  # each round cuts every range again, so ranges follow the data
+        cuts = placed.groupBy(*by, "_range").agg(F.percentile_approx(value, probs, 1000).alias("_cuts"))
+        placed = placed.join(cuts, [*by, "_range"]) if made > 1 else _attach(placed, cuts.drop("_range"), by)
+        placed = placed.withColumn(
+            "_range", F.col("_range") * ranges + F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+        made *= ranges
     per_range = placed.groupBy(*by, "_range").agg(F.sum("_c").alias("_rc"))
     group = Window.partitionBy(*[F.col(b) for b in by]) if by else Window.partitionBy(F.lit(1))
     before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -57,14 +63,18 @@ def rank_pct(df: DataFrame, by: list[str], value: str, out: str, group_bound: in
              ranges: int = RANGES) -> DataFrame:
     """Percentile rank with average ties over the non-null values of each group, NULL for NULL.
 
+    Without a bound the rows are written once, for the counts and for the join back; NULL rows stay out of both.
+
     `group_bound` is the proven maximum of rows per group (e.g. the size of a configured universe);
     with it the rank is one window, without it the ranged plan above.
     """
     if group_bound is not None and group_bound <= WINDOW_BOUND:
         return df.withColumn(out, rank_pct_window(F.col(value), by))
-    ranked = _counted(df, by, value, ranges).select(
+    rows = materialise(df, "ranked")
+    ranked = _counted(rows, by, value, ranges).select(
         *by, value, ((F.col("_before") + (F.col("_c") + 1) / 2.0) / F.col("_n")).alias(out))
-    return df.join(ranked, [*by, value], "left")
+    known = rows.where(F.col(value).isNotNull()).join(ranked, [*by, value], "left")
+    return known.unionByName(rows.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def rank_pct_window(value: Column, by: list) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspan.functions.expr import TIME
-from loomspan.functions.text import concat_text
+from loomspan.functions.text import concat_text, contains_any_case
 from loomspan.operators import checks, cleaning, context, features, labels, models, signals
 from loomspan.operators.portfolio import recent_rows
 from loomspan.operators.sentiment import coverage_gap
@@ -184,7 +184,10 @@ def _(spark, sf):
     return publish(features.drop_missing(_required(spark, sf), REQUIRED), KEYS, [*REQUIRED, "Target"])
 
 
-@query("feature_select", "SELECT concat('e', CAST(i AS VARCHAR)) AS \"Column\" FROM range(64) t(i)")
+@query("feature_select", """WITH u AS (SELECT vec_id, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+ c AS (SELECT concat('e', CAST(a.i AS VARCHAR)) AS x, concat('e', CAST(b.i AS VARCHAR)) AS y, abs(corr(a.v, b.v)) AS r
+  FROM u a JOIN u b ON a.vec_id = b.vec_id AND concat('e', CAST(a.i AS VARCHAR)) < concat('e', CAST(b.i AS VARCHAR)) GROUP BY 1, 2)
+ SELECT DISTINCT concat('e', CAST(i AS VARCHAR)) AS "Column" FROM u WHERE concat('e', CAST(i AS VARCHAR)) NOT IN (SELECT y FROM c WHERE r > 1 - 1e-9)""")
 def _(spark, sf):
     m = fx.embedding_matrix(spark, sf).drop("vec_id")
     kept = models.collinearity_filter(m, sorted(features.numeric_columns(m)))
@@ -227,6 +230,12 @@ def _(spark, sf):
     return publish(context.rebased_price(fx.bars(spark, sf)), KEYS, ["Rebased"])
 
 
+@query("text_contains", f"""WITH {NEWS} SELECT ArticleId, contains(lower(Headline), 'the') AS Here FROM fx_news""")
+def _(spark, sf):
+    """Headlines with a term in any case."""
+    return fx.news(spark, sf).select("ArticleId", contains_any_case(F.col("Headline"), "ThE").alias("Here"))
+
+
 @query("concat_text", f"""WITH {NEWS} SELECT ArticleId, trim(concat(coalesce(Headline, ''), '. ', coalesce(Summary, ''))) AS Text FROM fx_news""")
 def _(spark, sf):
     return fx.news(spark, sf).select("ArticleId", concat_text(F.col("Headline"), F.col("Summary")).alias("Text"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomspan.functions.expr import corr
+from loomspan.functions.expr import ERF_A, ERF_P, corr, div, normal_cdf
 from loomspan.operators import cleaning, context, features, labels, signals, stats
 from loomspan.operators.portfolio import drawdown_curve
 from loomspan.operators.ranking import normalise, quantiles, rank_pct
@@ -467,6 +468,24 @@ def _quantile_sql(p: str) -> str:
             f"ELSE {poly(a, r)} * {q} / ({poly(b, r)} * {r} + 1) END)")
 
 
+def _cdf_sql(z: str) -> str:
+    t = f"(1e0 / (1e0 + {ERF_P}e0 * abs({z}) / 1.4142135623730951e0))"
+    poly = "0e0"
+    for a in reversed(ERF_A):
+        poly = f"(({poly} + {a}e0) * {t})"
+    return f"(5e-1 * (1 + sign({z}) * (1 - {poly} * exp(-({z}) * ({z}) / 2))))"
+
+
+@query("normal_probability", RETURNS + f""", zs AS (SELECT Ticker, Date, (r - avg(r) OVER (PARTITION BY Ticker)) / nullif(stddev_samp(r) OVER (PARTITION BY Ticker), 0) AS z FROM rr)
+ SELECT Ticker, Date, {g(_cdf_sql('z'))} AS probability FROM zs""")
+def _(spark, sf):
+    """Chance of a return no larger than that of the day, were returns of the series normal."""
+    by = Window.partitionBy("Ticker")
+    z = div(F.col("r") - F.avg("r").over(by), F.stddev_samp("r").over(by))
+    rows = returns(spark, sf).withColumn("_z", z)
+    return publish(rows.withColumn("probability", normal_cdf(F.col("_z"))), ["Ticker", "Date"], ["probability"])
+
+
 @query("qq_points", RETURNS + f""", o AS (SELECT Ticker, r, row_number() OVER (PARTITION BY Ticker ORDER BY r, Date) AS i, count(*) OVER (PARTITION BY Ticker) AS n FROM rr),
  m AS (SELECT *, CASE WHEN i = n THEN pow(5e-1, 1e0 / n) WHEN i = 1 THEN 1 - pow(5e-1, 1e0 / n) ELSE (i - 3175e-4) / (n + 365e-3) END AS p FROM o),
  t AS (SELECT *, {_quantile_sql('p')} AS theoretical FROM m),
