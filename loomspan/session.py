@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_RUN_DIRS: list[str] = []
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder named by the cluster in spark.checkpoint.dir; a temp folder only on a local master."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -17,13 +22,26 @@ def work_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="loomspan-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
 
 def run_dir(spark: SparkSession, label: str) -> str:
-    """A fresh sub-folder for one run."""
-    return os.path.join(work_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A fresh sub-folder for one run, forgotten by drop_run_dirs."""
+    _RUN_DIRS.append(os.path.join(work_dir(spark), f"{label}-{uuid.uuid4().hex}"))
+    return _RUN_DIRS[-1]
+
+
+def drop_run_dirs(spark: SparkSession) -> int:
+    """Deletes the run folders made in this session, in whatever store they are; call it when no result is read any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for made in _RUN_DIRS:
+        path = jvm.org.apache.hadoop.fs.Path(made)
+        path.getFileSystem(conf).delete(path, True)
+    count = len(_RUN_DIRS)
+    _RUN_DIRS.clear()
+    return count
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
