@@ -268,8 +268,9 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray) -> Scorer:
     if not toxic or toxic == total:
         return Scorer({}, math.log((toxic + 0.5) / (total - toxic + 0.5)))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("label sample")), F.lit(1 << 30)) / float(1 << 30)
+    # the drawn ids are about SAMPLE small rows whatever the corpus; the limit proves the bound of the broadcast
     sample = Work(spark, "toxicity").keep(
-        docs.join(marks.where(draw < min(1.0, SAMPLE / total)), "doc_id").where("text IS NOT NULL").groupBy("text", F.col("toxic").cast("int").alias("toxic"))
+        docs.join(F.broadcast(marks.where(draw < min(1.0, SAMPLE / total)).limit(4 * SAMPLE)), "doc_id").where("text IS NOT NULL").groupBy("text", F.col("toxic").cast("int").alias("toxic"))
         .agg(F.min(F.col("doc_id").cast("long")).alias("doc_id")).select("doc_id", "text", "toxic"), "sample")
     sent = spark.sparkContext.broadcast(model)
 
