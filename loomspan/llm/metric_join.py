@@ -122,8 +122,8 @@ def near_vectors(embeddings: DataFrame, least: float = MIN_COSINE) -> DataFrame:
                 yield some.iloc[at].assign(cell=cell, home=cell == home[at])[["label", "width", "cell", "home", "rep", "alike", "raw"]]
 
     placed = work.keep(classes.mapInPandas(place, "label long, width int, cell int, home boolean, rep long, alike long, raw binary"), "placed")
-    blocks = placed.groupBy("label", "width", "cell").agg(
-        F.ceil(F.sum(F.col("home").cast("int")) / float(BLOCK)).alias("_h"), F.ceil(F.sum((~F.col("home")).cast("int")) / float(BLOCK)).alias("_g"))
+    blocks = work.keep(placed.groupBy("label", "width", "cell").agg(
+        F.ceil(F.sum(F.col("home").cast("int")) / float(BLOCK)).alias("_h"), F.ceil(F.sum((~F.col("home")).cast("int")) / float(BLOCK)).alias("_g")), "blocks")
     one = F.xxhash64("rep", F.lit("block"))
     spread = placed.join(blocks, ["label", "width", "cell"]).withColumn("_b", F.pmod(one, F.when(F.col("home"), F.col("_h")).otherwise(F.col("_g"))).cast("int"))
     h, g = F.col("_h").cast("int"), F.col("_g").cast("int")
