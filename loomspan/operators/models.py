@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loomspan.functions.expr import corr, finite
 from loomspan.operators.evaluate import hit
 from loomspan.operators.stats import pair_stats
+from loomspan.session import materialise
 
 NOISE = 5e-5  # residual spread, relative to the column's, that rounding in a correlation can hide
 
@@ -124,21 +125,20 @@ def predict(model, df: DataFrame, columns: list[str], name: str) -> DataFrame:
 
 
 def walk_forward_search(folds: DataFrame, columns: list[str], name: str, grid: list[dict], label: str = "Target") -> list[dict]:
-    """Mean validation error of each parameter set; the scaler is refit inside each fold.
+    """Mean validation error of each parameter set; the scaler is fitted and the rows are written once per fold.
 
     `folds` has Fold and Role per row; the loop is over the few (fold, parameter set) pairs, each fit
     is a distributed job. Sorted by error, best first.
     """
     ids = sorted(r["Fold"] for r in folds.select("Fold").distinct().collect())
-    log = []
-    for params in grid:
-        errors = []
-        for k in ids:
-            part = standard_scale(folds.where(F.col("Fold") == k), columns, F.col("Role") == "train")
+    errors: list[list[float]] = [[] for _ in grid]
+    for k in ids:
+        part = materialise(standard_scale(folds.where(F.col("Fold") == k), columns, F.col("Role") == "train"), "fold")
+        for of, params in zip(errors, grid, strict=True):
             model = FITTERS[name](part.where("Role = 'train'"), columns, label=label, **params)
             scored = predict(model, part.where("Role = 'validate'"), columns, name)
-            errors.append(scored.agg(F.avg(F.abs(F.col(label) - F.col("Predicted_Return")))).head()[0])
-        log.append({"params": params, "fold_mae": errors, "mean_mae": sum(errors) / len(errors)})
+            of.append(scored.agg(F.avg(F.abs(F.col(label) - F.col("Predicted_Return")))).head()[0])
+    log = [{"params": p, "fold_mae": e, "mean_mae": sum(e) / len(e)} for p, e in zip(grid, errors, strict=True)]
     return sorted(log, key=lambda e: e["mean_mae"])
 
 
@@ -165,8 +165,6 @@ def ablation(df: DataFrame, base: list[str], extra: list[str], min_sessions: int
             F.avg(hit(F.col(label), F.col("Predicted_Return"))).alias("acc")).head()
     w, o = scores["with"], scores["without"]
     d_mae, d_acc = w["mae"] - o["mae"], w["acc"] - o["acc"]
-    verdict = ("Sentiment improved MAE and directional accuracy on this window." if d_mae < 0 and d_acc > 0
-               else "Sentiment improved MAE but did not improve directional accuracy." if d_mae < 0
-               else "Sentiment did NOT improve MAE on this window.")
+    verdict = "no smaller error" if d_mae >= 0 else "smaller error, better direction" if d_acc > 0 else "smaller error, no better direction"
     return spark.createDataFrame(
         [("COMPLETED", len(days), o["mae"], w["mae"], o["acc"], w["acc"], d_mae, d_acc, verdict)], schema)

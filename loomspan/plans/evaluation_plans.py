@@ -9,6 +9,7 @@ from loomspan.plans.cleaning_plans import KEYS
 from loomspan.plans.feature_plans import ASSETS, CFG, FOLD_SQL, WIDE_SQL, rank_sql, wide
 from loomspan.plans.registry import (BAR_SENTIMENT, BARS, CALM, CALM_PREDICTIONS, PREDICTIONS, SERIES, WEIGHTS, WIDE_BARS, g, gcols,
                                      lag, over0, publish, query, roll)
+from loomspan.session import materialise
 from loomspan.sources import fixtures as fx
 
 LP = "ln(AdjClose)"
@@ -653,6 +654,7 @@ def _(spark, sf):
 
 # model fitting ------------------------------------------------------------------------------------------------
 
+RIDGE_GRID = {"alpha": [1.0, 10.0, 100.0, 1000.0, 10_000.0]}
 MODEL_COLS = ["Return_1d", "Return_5d", "Price_to_SMA_20", "Vol_21d", "Volume_Z"]
 
 
@@ -664,7 +666,7 @@ def model_rows(spark, sf):
 
 def _fitted(spark, sf, name, **params):
     """Fit on scaled train rows, score the test rows: one metrics row."""
-    rows = models.standard_scale(model_rows(spark, sf), MODEL_COLS, F.col("Split") == "train").persist()
+    rows = materialise(models.standard_scale(model_rows(spark, sf), MODEL_COLS, F.col("Split") == "train"), "model-rows")
     model = models.FITTERS[name](rows.where("Split = 'train'"), MODEL_COLS, **params)
     scored_rows = models.predict(model, rows.where("Split = 'test'"), MODEL_COLS, name).withColumn("Actual_Return", F.col("Target"))
     return evaluate.regression_metrics(scored_rows)
@@ -687,13 +689,38 @@ def _(spark, sf):
 
 @query("walk_forward_search")
 def _(spark, sf):
-    rows = labels.walk_forward_folds(model_rows(spark, sf).where("Split = 'train'"), n_splits=2, group_bound=6).persist()
-    log = models.walk_forward_search(rows, MODEL_COLS, "Ridge", labels.parameter_grid({"alpha": [1.0, 100.0]}))
+    rows = materialise(labels.walk_forward_folds(model_rows(spark, sf).where("Split = 'train'"), n_splits=5, group_bound=6), "folds")
+    log = models.walk_forward_search(rows, MODEL_COLS, "Ridge", labels.parameter_grid(RIDGE_GRID))
     return spark.createDataFrame([(e["params"]["alpha"], e["mean_mae"]) for e in log], "alpha double, mean_mae double")
 
 
 @query("ablation")
 def _(spark, sf):
-    rows = model_rows(spark, sf).join(fx.bar_sentiment(spark, sf), KEYS).persist()
+    rows = materialise(model_rows(spark, sf).join(fx.bar_sentiment(spark, sf), KEYS), "ablation-rows")
     return models.ablation(rows, MODEL_COLS, ["Sentiment_FinBERT"], rounds=4, depth=3)
 
+
+
+@query("model_run")
+def _(spark, sf):
+    """All features -> split -> redundant columns dropped -> ridge search over five folds -> fits on train -> test forecasts ->
+    ensemble -> scores of every model on the test rows, best first."""
+    feats = features.series_features(fx.bars(spark, sf))
+    names = sorted(features.numeric_columns(feats))
+    rows = labels.with_split(features.drop_missing(features.forward_target(feats), names))
+    rows = materialise(rows.select(*KEYS, "AdjClose", "Split", *names, "Target"), "model-table")
+    train = rows.where("Split = 'train'")
+    columns = models.collinearity_filter(train, names)
+    splits = max(2, min(5, train.count() // 600 - 1))  # five, unless folds of 500 rows would leave nothing to train on
+    folds = materialise(labels.walk_forward_folds(train, n_splits=splits, group_bound=6), "model-folds")
+    best = models.walk_forward_search(folds, columns, "Ridge", labels.parameter_grid(RIDGE_GRID))[0]["params"]
+    scaled = materialise(models.standard_scale(rows, columns, F.col("Split") == "train"), "model-scaled")
+    test = scaled.where("Split = 'test'")
+    settings = {"Ridge": best, "RandomForest": {"trees": 150, "depth": 6}, "GradientBoosting": {"rounds": 200, "depth": 3}}
+    forecasts = []
+    for name, params in settings.items():
+        model = models.FITTERS[name](scaled.where("Split = 'train'"), columns, **params)
+        forecasts.append(models.predict(model, test, columns, name).select(*KEYS, "AdjClose", "Model", "Predicted_Return", F.col("Target").alias("Actual_Return")))
+    every = materialise(evaluate.union_blocks(forecasts), "model-forecasts")
+    mean = evaluate.ensemble_mean(every, list(settings)).select(*every.columns)
+    return evaluate.leaderboard([evaluate.regression_metrics(every.unionByName(mean))])
