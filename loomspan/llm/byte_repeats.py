@@ -25,8 +25,8 @@ LENGTHS = (100, 200, 300, 350, 400)
 BYTES = Units(words=False)
 
 
-def remove_byte_repeats(docs: DataFrame, window: int = WINDOW, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of every row.
+def remove_byte_repeats(docs: DataFrame, window: int = WINDOW, lengths: tuple[int, ...] = LENGTHS, digest_only: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left; null if digest_only) of every row.
 
     Null counts as empty and has the hash of the empty string; texts shorter than a window lose nothing; equal rows are
     different places. Matches do not cross documents; they may cut a character, so what is kept is binary.
@@ -42,7 +42,7 @@ def remove_byte_repeats(docs: DataFrame, window: int = WINDOW, lengths: tuple[in
                 removed = covered(*run_arrays(found), window, len(text))
                 kept = np.frombuffer(text, np.uint8)[~removed].tobytes()
                 n_removed, n_spans = int(removed.sum()), int((np.diff(removed.astype(np.int8), prepend=0) == 1).sum())
-            for column, value in zip(columns, (len(text), n_removed, n_spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):
+            for column, value in zip(columns, (len(text), n_removed, n_spans, hashlib.sha256(kept).hexdigest(), None if digest_only else kept), strict=True):
                 column.append(value)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
@@ -69,4 +69,4 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN l USING (r)"""
 
 @query("op9_byte_repeats", SQL)
 def op9_byte_repeats(spark, sf_dir):
-    return remove_byte_repeats(read(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+    return remove_byte_repeats(read(spark, sf_dir, "documents", "doc_id", "text"), digest_only=True).drop("kept")

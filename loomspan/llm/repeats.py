@@ -7,11 +7,12 @@ repeated go on to the next length; at the last level the part is the window itse
   anchor are one row, so a level has about 2 / (window - h + 2) rows per symbol instead of one per position.
 * A run whose anchor occurs once is unique and leaves. A run whose whole stretch of symbols occurs again is repeated
   at once and leaves as covered; one run of each such stretch stays as a witness if others share its anchor.
-* What is left carries its stretch along, so texts are read again only once, after the first level.
+* The stretches of what is left after the first level are kept once; later levels cut their runs from them, so texts are read
+  again only once, and what is counted and joined are a few numbers for each run.
 
-Everything is keyed by names: counts have a map-side part, joins are on names with the large side splittable by AQE, and no
-group is gathered but the runs of one document. Each level is written to the shared folder, so a lost executor costs a part
-of one level.
+Everything is keyed by names: counts have a map-side part and are written before they are joined, so that both sides of a join
+come straight from an exchange and AQE can split a hot name; no group is gathered but the runs of one document. Each level is
+written to the shared folder, so a lost executor costs a part of one level.
 """
 
 from __future__ import annotations
@@ -68,12 +69,12 @@ def unpacked(blob: bytes | None) -> bytes | None:
     return None if blob is None else zstandard.ZstdDecompressor().decompress(blob)
 
 
-def _chunks(keys, starts, units, size):
+def _chunks(sequences):
     """Consecutive sequences (key, start, units) in chunks of about CHUNK symbols."""
     held, total = [], 0
-    for item in zip(keys, starts, units, strict=True):
+    for item in sequences:
         held.append(item)
-        total += size(item[2])
+        total += len(item[2])
         if total >= CHUNK:
             yield held
             held, total = [], 0
@@ -81,7 +82,7 @@ def _chunks(keys, starts, units, size):
         yield held
 
 
-def _runs(items, units: Units, window: int, length: int, bodies: bool):
+def _runs(items, units: Units, window: int, length: int) -> list[pa.Array]:
     """Arrow arrays of the runs of some sequences (key, start, units)."""
     lengths = np.array([len(u) for _, _, u in items], np.int64)
     flat = [w for _, _, u in items for w in u] if units.words else b"".join(u for _, _, u in items)
@@ -93,88 +94,96 @@ def _runs(items, units: Units, window: int, length: int, bodies: bool):
     wide = 8 if units.words else 1
     digest = xxhash.xxh3_64_intdigest
     stretch = np.fromiter((digest(raw[p * wide:(p + n + window - 1) * wide]) for p, n in zip(place.tolist(), count.tolist(), strict=True)), np.uint64, len(place))
-    out = [pa.array(keys[sequence]), pa.array((starts[sequence] + at).astype(np.int32)), pa.array(count.astype(np.int32)),
-           pa.array(anchor.view(np.int64)), pa.array(stretch.view(np.int64))]
-    if bodies:
-        out.append(pa.array([units.joined(flat[p:p + n + window - 1]) for p, n in zip(place.tolist(), count.tolist(), strict=True)], pa.binary()))
-    return out
+    return [pa.array(keys[sequence]), pa.array((starts[sequence] + at).astype(np.int32)), pa.array(count.astype(np.int32)),
+            pa.array(anchor.view(np.int64)), pa.array(stretch.view(np.int64))]
 
 
-def _map_runs(df: DataFrame, read: Callable, units: Units, window: int, length: int, bodies: bool) -> DataFrame:
-    """Runs of the sequences that read(batch) gives as (keys, starts, units)."""
-    names = ["_key", "start", "count", "anchor", "stretch", *["body"] * bodies]
-
+def _map_runs(df: DataFrame, read: Callable, units: Units, window: int, length: int) -> DataFrame:
+    """Runs of the sequences (key, start, units) that read(batch) gives one after the other."""
     def run(batches):
         for batch in batches:
-            for items in _chunks(*read(batch), len):
-                arrays = _runs(items, units, window, length, bodies)
+            for items in _chunks(read(batch)):
+                arrays = _runs(items, units, window, length)
                 if len(arrays[0]):
-                    yield pa.RecordBatch.from_arrays(arrays, names=names)
-    return df.mapInArrow(run, RUN + ", body binary" * bodies)
+                    yield pa.RecordBatch.from_arrays(arrays, names=["_key", "start", "count", "anchor", "stretch"])
+    return df.mapInArrow(run, RUN)
 
 
 def _sort_out(rows: DataFrame, work: Work, label: str, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """Covered runs (_key, start, count), and the rows that go on to the next level."""
-    again = rows.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor")
+    again = work.keep(rows.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor"), f"{label}-again")
     shared = work.keep(rows.join(again, "anchor", "left_semi"), f"{label}-shared")
     alike = shared.groupBy("anchor", "stretch").agg(F.count("*").alias("_n"), F.min(F.struct("_key", "start")).alias("_first"))
     if last:
-        repeated = alike.where("_n > 1").select("anchor", "stretch")
+        repeated = work.keep(alike.where("_n > 1").select("anchor", "stretch"), f"{label}-repeated")
         return shared.join(repeated, ["anchor", "stretch"], "left_semi").select("_key", "start", "count"), None
-    open_anchors = alike.groupBy("anchor").agg(F.min("_n").alias("_least")).where("_least = 1").select("anchor", F.lit(True).alias("_open"))
-    state = alike.join(open_anchors, "anchor", "left")
+    alike = work.keep(alike, f"{label}-alike")
+    undecided = work.keep(alike.groupBy("anchor").agg(F.min("_n").alias("_least")).where("_least = 1").select("anchor", F.lit(True).alias("_open")), f"{label}-open")
+    state = alike.join(undecided, "anchor", "left")
     marked = work.keep(shared.join(state, ["anchor", "stretch"]).select(
-        *[c for c in shared.columns if c not in ("anchor", "stretch")],
-        (F.col("_n") > 1).alias("_done"),
+        "_key", "start", "count", (F.col("_n") > 1).alias("_done"),
         ((F.col("_n") == 1) | (F.coalesce("_open", F.lit(False)) & (F.col("_first._key") == F.col("_key")) & (F.col("_first.start") == F.col("start")))).alias("_on"),
     ), f"{label}-marked")
-    return marked.where("_done").select("_key", "start", "count"), marked.where("_on").drop("_done", "_on")
+    return marked.where("_done").select("_key", "start", "count"), marked.where("_on").select("_key", "start", "count")
 
 
 def repeated_windows(docs: DataFrame, units: Units, window: int, lengths: tuple[int, ...], work: Work) -> DataFrame:
     """Runs (_key, start, count) of the windows that start more than once in docs; lengths rise and end at window."""
     def texts(batch):
-        column = [units.split(t) for t in binary_rows(batch, "text")]
-        return batch.column(2).to_pylist(), [0] * len(column), column
-
-    first = work.keep(_map_runs(keyed(docs), texts, units, window, lengths[0], False), "level-0")
-    done, rows = _sort_out(first, work, "level-0", lengths[0] == window)
-    found = [done]
-    if rows is not None:
-        lists = rows.groupBy("_key").agg(F.collect_list(F.struct("start", "count")).alias("_runs"))
-        held = packed(docs).join(lists, "_key").select("_key", "packed", "_runs")
-
-        def stretches(batch):
-            keys, starts, parts = [], [], []
-            for key, blob, runs in zip(batch.column(0).to_pylist(), binary_rows(batch, "packed"), batch.column(2).to_pylist(), strict=True):
-                whole = units.split(unpacked(blob))
-                for r in runs:
-                    keys.append(key)
-                    starts.append(r["start"])
-                    parts.append(whole[r["start"]:r["start"] + r["count"] + window - 1])
-            return keys, starts, parts
-
-        def bodies(batch):
-            return batch.column(0).to_pylist(), batch.column(1).to_pylist(), [units.split(b) for b in binary_rows(batch, "body")]
-
-        source, read = held, stretches
-        for i, length in enumerate(lengths[1:], 1):
-            last = length == window
-            level = work.keep(_map_runs(source, read, units, window, length, not last), f"level-{i}")
-            done, rows = _sort_out(level, work, f"level-{i}", last)
-            found.append(done)
-            if not last:
-                source, read = rows.select("_key", "start", "count", "body"), bodies
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
+        for key, text in zip(batch.column(2).to_pylist(), binary_rows(batch, "text"), strict=True):
+            yield key, 0, units.split(text)
+
+    first = work.keep(_map_runs(keyed(docs), texts, units, window, lengths[0]), "level-0")
+    found, rows = _sort_out(first, work, "level-0", lengths[0] == window)
+    if rows is None:
+        return found
+
+    def cut(batch):
+        """Stretches of the runs that one text has left, each with a name of its own."""
+        columns = [[] for _ in range(4)]
+        for key, blob, runs in zip(batch.column(0).to_pylist(), binary_rows(batch, "packed"), batch.column(2).to_pylist(), strict=True):
+            whole = units.split(unpacked(blob))
+            for r in runs:
+                at, stop = r["start"], r["start"] + r["count"] + window - 1
+                name = xxhash.xxh3_64_intdigest(b"%d:%d" % (key, at)) >> 1
+                for column, value in zip(columns, (name, key, at, units.joined(whole[at:stop])), strict=True):
+                    column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "text_key", "text_start", "body"])
+
+    def whole_parts(batch):
+        for key, body in zip(batch.column(0).to_pylist(), binary_rows(batch, "body"), strict=True):
+            yield key, 0, units.split(body)
+
+    def runs_of_parts(batch):
+        for key, body, runs in zip(batch.column(0).to_pylist(), binary_rows(batch, "body"), batch.column(2).to_pylist(), strict=True):
+            body = units.split(body)
+            for r in runs:
+                yield key, r["start"], body[r["start"]:r["start"] + r["count"] + window - 1]
+
+    held = packed(docs).join(_lists(rows), "_key").select("_key", "packed", "runs")
+    parts = work.keep(map_batches(held, cut, "part long, text_key long, text_start int, body binary"), "parts")
+    source, read, later = parts.select("part", "body"), whole_parts, None
+    for i, length in enumerate(lengths[1:], 1):
+        last = length == window
+        level = work.keep(_map_runs(source, read, units, window, length), f"level-{i}")
+        done, rows = _sort_out(level, work, f"level-{i}", last)
+        later = done if later is None else later.unionByName(done)
+        if not last:
+            source, read = parts.join(_lists(rows), F.col("part") == F.col("_key")).select("part", "body", "runs"), runs_of_parts
+    placed = later.join(parts.select("part", "text_key", "text_start"), F.col("_key") == F.col("part")).select(
+        F.col("text_key").alias("_key"), (F.col("text_start") + F.col("start")).alias("start"), "count")
+    return found.unionByName(placed)
+
+
+def _lists(runs: DataFrame) -> DataFrame:
+    """The runs of each key in one row; a key is one text or a part of one."""
+    return runs.groupBy("_key").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
 
 
 def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """doc_id, packed text and the list of covered runs (null: none) of every row of docs."""
-    lists = runs.groupBy("_key").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
-    return packed(docs).join(lists, "_key", "left").select("doc_id", "packed", "runs")
+    return packed(docs).join(_lists(runs), "_key", "left").select("doc_id", "packed", "runs")
 
 
 def run_arrays(runs) -> tuple[np.ndarray, np.ndarray]:

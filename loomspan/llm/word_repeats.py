@@ -24,8 +24,8 @@ LENGTHS = (9, 18, 35)
 WORDS = Units(words=True)
 
 
-def remove_word_repeats(docs: DataFrame, window: int = WINDOW, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept (the words left, joined by one blank) of every row.
+def remove_word_repeats(docs: DataFrame, window: int = WINDOW, lengths: tuple[int, ...] = LENGTHS, digest_only: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and kept (the words left, joined by one blank; null if digest_only) of every row.
 
     Null and empty texts have no words and the hash of the empty string; texts shorter than a window lose nothing; equal
     rows are different places, so they repeat each other. Windows are judged on the input.
@@ -38,7 +38,7 @@ def remove_word_repeats(docs: DataFrame, window: int = WINDOW, lengths: tuple[in
             words = WORDS.split(unpacked(blob))
             removed = covered(*run_arrays(found), window, len(words)) if found else np.zeros(len(words), bool)
             kept = b" ".join(words[i] for i in np.flatnonzero(~removed)) if found else b" ".join(words)
-            for column, value in zip(columns, (len(words), int(removed.sum()), hashlib.sha256(kept).hexdigest(), kept), strict=True):
+            for column, value in zip(columns, (len(words), int(removed.sum()), hashlib.sha256(kept).hexdigest(), None if digest_only else kept), strict=True):
                 column.append(value)
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
         arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
@@ -60,4 +60,4 @@ FROM d LEFT JOIN l USING (r)"""
 
 @query("op8_word_repeats", SQL)
 def op8_word_repeats(spark, sf_dir):
-    return remove_word_repeats(read(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+    return remove_word_repeats(read(spark, sf_dir, "documents", "doc_id", "text"), digest_only=True).drop("kept")
