@@ -31,13 +31,14 @@ def may_learn(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS != 0, F.lit(False))
 
 
-def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function from batch to batch."""
+def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 2048) -> DataFrame:
+    """mapInArrow with a function from batch to batch; at most so many rows at once bound a worker's memory."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = step(batch) if batch.num_rows else None
-            if out is not None and out.num_rows:
-                yield out
+            for begin in range(0, batch.num_rows, rows):
+                out = step(batch.slice(begin, rows))
+                if out.num_rows:
+                    yield out
     return df.mapInArrow(run, schema)
 
 

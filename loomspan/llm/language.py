@@ -105,7 +105,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
         at = np.flatnonzero(total)
         return pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], seen))], names=["bucket", "n"])
 
-    rows = map_batches(texts.select("text"), count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = map_batches(texts.select("text"), count, "bucket long, n long", rows=1 << 30).groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out, seen = np.zeros(BUCKETS, np.int64), 0
     for bucket, n in rows:
         if bucket < 0:

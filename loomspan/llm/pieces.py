@@ -26,7 +26,7 @@ from loomspan.llm.registry import query
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0  # below the least score of any piece
-CACHE = 300_000  # chunks in a generation of the cache; two generations are kept
+CACHE = 100_000  # chunks in a generation of the cache; two generations are kept
 LONG_CHUNK = 64  # longer ones are not kept
 _CHUNK = re.compile(rb" +[^ ]*|[^ ]+")
 

@@ -73,7 +73,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["code", "n"])
 
     out = np.zeros(SIZE ** 3, np.int64)
-    for code, n in map_batches(docs.select("text"), count, "code long, n long").groupBy("code").agg(F.sum("n")).collect():
+    for code, n in map_batches(docs.select("text"), count, "code long, n long", rows=1 << 30).groupBy("code").agg(F.sum("n")).collect():
         out[code] = n
     return out
 

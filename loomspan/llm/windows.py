@@ -12,7 +12,7 @@ import xxhash
 U = np.uint64
 _A, _B, _C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93)
 BYTE_SYMBOLS = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], dtype=U)
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 200_000
 
 
 class WordSymbols(dict):
