@@ -20,7 +20,7 @@ RANGES = 64  # parts that one round of cutting makes of a group or range
 RANGE_ROWS = 200_000  # distinct values in a sorted range, about
 
 
-def _counted(df: DataFrame, by: list[str], value: str, ranges: int) -> DataFrame:
+def counted_ranks(df: DataFrame, by: list[str], value: str, ranges: int = RANGES) -> DataFrame:
     """(by, value, _c, _before, _n): copies of each value, rows below it and rows in the group."""
     counts = (
         df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
@@ -71,7 +71,7 @@ def rank_pct(df: DataFrame, by: list[str], value: str, out: str, group_bound: in
     if group_bound is not None and group_bound <= WINDOW_BOUND:
         return df.withColumn(out, rank_pct_window(F.col(value), by))
     rows = materialise(df, "ranked")
-    ranked = _counted(rows, by, value, ranges).select(
+    ranked = counted_ranks(rows, by, value, ranges).select(
         *by, value, ((F.col("_before") + (F.col("_c") + 1) / 2.0) / F.col("_n")).alias(out))
     known = rows.where(F.col(value).isNotNull()).join(ranked, [*by, value], "left")
     return known.unionByName(rows.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double")))
@@ -108,7 +108,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
     """Exact linearly interpolated quantiles per group, one column per entry of `probs`."""
     if group_bound is not None and group_bound <= WINDOW_BOUND:
         return df.groupBy(*by).agg(*[F.percentile(value, p).alias(o) for o, p in probs.items()])
-    counted = _counted(df, by, value, ranges)
+    counted = counted_ranks(df, by, value, ranges)
     aggs = []
     for o, p in probs.items():
         pos = (F.col("_n") - 1) * F.lit(float(p))

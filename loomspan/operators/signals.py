@@ -9,7 +9,7 @@ from loomspan.config import EngineConfig, PortfolioConfig, RecommendConfig
 from loomspan.functions.expr import by_series, clip, corr, div, full
 from loomspan.operators.evaluate import best_model
 from loomspan.operators.portfolio import recent_rows
-from loomspan.operators.ranking import WINDOW_BOUND, normalise, normalise_window, quantiles, rank_pct
+from loomspan.operators.ranking import WINDOW_BOUND, counted_ranks, normalise, normalise_window, quantiles, rank_pct
 from loomspan.session import materialise
 
 # Parts of the explanation text.
@@ -207,18 +207,37 @@ def signal_outcome(forecasts: DataFrame, risk: DataFrame, outcome: DataFrame) ->
     )
 
 
+def ranked_signals(rows: DataFrame, signals: tuple[str, ...]) -> DataFrame:
+    """(Date, Signal, Value, _place, _n): average rank of each value among those of its date and signal, and their number."""
+    pairs = F.array(*[F.struct(F.lit(s).alias("Signal"), F.col(s).alias("Value")) for s in signals])
+    long = rows.select("Date", F.explode(pairs).alias("p")).select("Date", "p.Signal", "p.Value")
+    return counted_ranks(long, ["Date", "Signal"], "Value").select("Date", "Signal", "Value", (F.col("_before") + (F.col("_c") + 1) / 2.0).alias("_place"), "_n")
+
+
 def backtest_actions(rows: DataFrame, cfg: RecommendConfig, skill: float, group_bound: int | None = None) -> DataFrame:
-    """Adds one action (+1, 0, -1) per arm. Signals are ranked per date; risk enters the fusion negated."""
+    """Adds one action (+1, 0, -1) per arm. Signals are ranked per date; risk enters the fusion negated.
+
+    Ranking a rank again changes nothing, and the rank of a negated value is that of the value from the other end, so
+    without a bound both signals are ranked once, in one table of (date, signal, value, count).
+    """
     if group_bound is not None and group_bound <= WINDOW_BOUND:
         day = ["Date"]
         ranked = rows.withColumns({"f": normalise_window(F.col("Forecast"), day), "r": normalise_window(F.col("Risk"), day)})
         ranked = ranked.withColumn("_neg", -F.col("r")).withColumns(
             {c: 2.0 * normalise_window(F.col(v), day) - 1.0 for c, v in (("fc", "f"), ("rc", "_neg"))})
     else:
-        ranked = normalise(rows, ["Date"], "Forecast", "f")
-        ranked = normalise(ranked, ["Date"], "Risk", "r").withColumn("_neg", -F.col("r"))
-        ranked = centre_rank(ranked, "f", "fc", None, ["Date"])
-        ranked = centre_rank(ranked, "_neg", "rc", None, ["Date"])
+        rows = materialise(rows, "outcomes")
+        places = materialise(ranked_signals(rows, ("Forecast", "Risk")), "places")
+
+        def side(signal: str, place: str, last: str) -> DataFrame:
+            return places.where(F.col("Signal") == signal).select("Date", F.col("Value").alias(signal), F.col("_place").alias(place), F.col("_n").alias(last))
+
+        flat = rows.groupBy("Date").agg(*[F.coalesce(F.min(c) == F.max(c), F.lit(True)).alias(f"_{c}") for c in ("Forecast", "Risk")])
+        ranked = (rows.join(side("Forecast", "f", "_nf"), ["Date", "Forecast"], "left").join(side("Risk", "r", "_nr"), ["Date", "Risk"], "left")
+                  .join(flat, "Date").withColumns({
+                      "fc": F.when(F.col("_Forecast"), 0.0).otherwise(2.0 * (F.col("f") / F.col("_nf")) - 1.0),
+                      "rc": F.when(F.col("_Risk"), 0.0).otherwise(2.0 * ((F.col("_nr") + 1.0 - F.col("r")) / F.col("_nr")) - 1.0)})
+                  .drop("_nf", "_nr", "_Forecast", "_Risk").withColumn("_neg", F.lit(0.0)).select(*rows.columns, "f", "r", "_neg", "fc", "rc"))
     out = ranked.withColumn("action_buy_and_hold", F.lit(1))
     for arm, gate in (("gated", skill), ("ungated", 1.0)):
         score = fuse([(F.lit(cfg.forecast * gate), F.col("fc")), (F.lit(cfg.sentiment), F.lit(0.0)),

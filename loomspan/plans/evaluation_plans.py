@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomspan.operators import checks, evaluate, features, labels, models, portfolio, signals, stats
 from loomspan.plans.cleaning_plans import KEYS
 from loomspan.plans.feature_plans import ASSETS, CFG, FOLD_SQL, WIDE_SQL, rank_sql, wide
-from loomspan.plans.registry import (BAR_SENTIMENT, BARS, CALM, CALM_PREDICTIONS, PREDICTIONS, SERIES, WEIGHTS, WIDE_BARS, g, gcols,
+from loomspan.plans.registry import (BAR_SENTIMENT, BARS, CALM, CALM_PREDICTIONS, PREDICTIONS, SERIES, WEIGHTS, WIDE_BARS, WIDE_PREDICTIONS, g, gcols,
                                      lag, over0, publish, query, roll)
 from loomspan.session import materialise
 from loomspan.sources import fixtures as fx
@@ -599,11 +599,15 @@ def _(spark, sf):
     return publish(signals.trailing_risk(fx.wide_bars(spark, sf)), KEYS, ["Risk"])
 
 
-SO = f"""{risk_sql('fx_bars')}, fw AS (SELECT Date, Ticker, lead({LP}) OVER ({SERIES}) - {LP} AS realised FROM fx_bars),
+def outcome_sql(src: str) -> str:
+    return f"""{risk_sql(src)}, fw AS (SELECT Date, Ticker, lead({LP}) OVER ({SERIES}) - {LP} AS realised FROM {src}),
  so AS (SELECT p.Date, p.Ticker, p.Predicted_Return AS Forecast, rk.Risk, fw.realised FROM fx_pred p JOIN rk ON rk.Date = p.Date AND rk.Ticker = p.Ticker
   JOIN fw ON fw.Date = p.Date AND fw.Ticker = p.Ticker WHERE Model = 'rev' AND Risk IS NOT NULL AND realised IS NOT NULL)"""
 
 
+SO = outcome_sql("fx_bars")
+
+
 def outcome_rows(spark, sf):
     p = fx.bars(spark, sf)
     return signals.signal_outcome(fx.predictions(spark, sf).where("Model = 'rev'"), signals.trailing_risk(p, group_bound=6), signals.forward_outcome(p))
@@ -638,6 +642,19 @@ def _(spark, sf):
     return acted(spark, sf).select(*KEYS, "action_buy_and_hold", "action_gated", "action_ungated")
 
 
+@query("backtest_actions_many", f"""WITH {WIDE_PREDICTIONS}, {outcome_sql('fx_wide')},
+ n1 AS (SELECT *, (rank() OVER (PARTITION BY Date ORDER BY Forecast) + (count(*) OVER (PARTITION BY Date, Forecast) - 1) / 2e0) AS pf,
+  (rank() OVER (PARTITION BY Date ORDER BY Risk) + (count(*) OVER (PARTITION BY Date, Risk) - 1) / 2e0) AS pr, count(*) OVER (PARTITION BY Date) AS n,
+  min(Forecast) OVER (PARTITION BY Date) = max(Forecast) OVER (PARTITION BY Date) AS ff, min(Risk) OVER (PARTITION BY Date) = max(Risk) OVER (PARTITION BY Date) AS fr FROM so),
+ n2 AS (SELECT *, CASE WHEN ff THEN 5e-1 ELSE pf / n END AS f2, CASE WHEN fr THEN 5e-1 ELSE (n + 1 - pr) / n END AS r2 FROM n1)
+ SELECT Date, Ticker, 1 AS action_buy_and_hold, {_act('15e-2')} AS action_gated, {_act('5e-1')} AS action_ungated FROM n2""")
+def _(spark, sf):
+    """The same actions over all supplier series, without a bound on the series per date."""
+    p = fx.wide_bars(spark, sf)
+    rows = signals.signal_outcome(fx.predictions_over(p).where("Model = 'rev'"), signals.trailing_risk(p), signals.forward_outcome(p))
+    return signals.backtest_actions(rows, CFG.recommend, 0.3).select(*KEYS, "action_buy_and_hold", "action_gated", "action_ungated")
+
+
 @query("rec_backtest", ACT_SQL + f""", lo AS (SELECT 'buy_and_hold' AS Arm, action_buy_and_hold AS a, realised FROM act UNION ALL SELECT 'gated', action_gated, realised FROM act UNION ALL SELECT 'ungated', action_ungated, realised FROM act)
  SELECT Arm, {g('avg(CASE WHEN a <> 0 THEN CASE WHEN sign(a) = sign(realised) THEN 1e0 ELSE 0e0 END END)')} AS hit_rate, count(CASE WHEN a <> 0 THEN 1 END) AS n_calls,
  count(CASE WHEN a = 0 THEN 1 END) AS n_held, count(CASE WHEN a = 1 THEN 1 END) AS n_buys, count(CASE WHEN a = -1 THEN 1 END) AS n_sells FROM lo GROUP BY Arm""")

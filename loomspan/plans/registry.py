@@ -110,6 +110,7 @@ def _predictions(fixture: str, src: str) -> str:
 
 
 PREDICTIONS = _predictions(BARS, "fx_bars")
+WIDE_PREDICTIONS = _predictions(WIDE_BARS, "fx_wide")
 CALM_PREDICTIONS = _predictions(CALM, "fx_calm")
 BAR_SENTIMENT = "fx_sent AS (SELECT Date, Ticker, coalesce((Close - Open) / nullif(High - Low, 0), 0) AS Sentiment_FinBERT FROM fx_bars)"
 WEIGHTS = "fx_weights AS (SELECT * FROM (VALUES ('AF', 4e-1, 25e-2), ('AO', 3e-1, 25e-2), ('NF', 2e-1, 25e-2), ('RF', 1e-1, 25e-2)) w(Ticker, Target_Weight, Current_Weight))"
