@@ -7,9 +7,10 @@ of the XOR of two bitmaps estimates the similarity, precisely so when it is high
 settles most of the rest. What both leave possible is confirmed on the full sets.
 
 No bucket emits all its pairs. First every class is compared with its LEADERS most frequent bucket leaders, and confirmed links
-give components. Then only pairs of different components in a bucket are left to compare; a bucket of any size is cut into
-blocks, two blocks at a time are compared by their bitmaps as arrays in a task, and pairs that could link are emitted once, in
-their first common bucket. A pair within a component needs no test, since it can not change the result.
+give components. Then only pairs of different components in a bucket are left to compare, since a pair within a component can not
+change the result: a bucket of any size is cut into blocks, and two blocks at a time are compared by their bitmaps as arrays in
+a task. A first pass gives each class's most similar partner alone, which joins most components that belong together; a second
+one gives all pairs that could still link, once each, in their first common bucket.
 
 With 40 bands of 4 a pair at the bound is in no common bucket with a probability of 3e-7, and the filters leave five standard errors.
 """
@@ -17,7 +18,6 @@ With 40 bands of 4 a pair at the bound is in no common bucket with a probability
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -98,8 +98,9 @@ def differences(xor_count: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarra
     usable = share > 0.05
     safe = np.where(usable, share, 1.0)
     d = -bits / 2.0 * np.log(safe)
-    error = np.sqrt(bits / 4.0 * np.maximum(0.0, 1.0 - safe ** 2)) / safe
-    return np.where(usable, d, 0.0), np.where(usable, error + 1.0, np.inf)
+    # the count's variance when d balls fall on so many bits: that of independent bits, less what a fixed d takes away
+    error = np.sqrt(np.maximum(1.0, bits / 4.0 * (1.0 - safe ** 2) - d * safe ** 2)) / safe
+    return np.where(usable, d, 0.0), np.where(usable, error, np.inf)
 
 
 def may_link(sketch_xor, parity_xor, n_a, n_b) -> np.ndarray:
@@ -114,12 +115,15 @@ def may_link(sketch_xor, parity_xor, n_a, n_b) -> np.ndarray:
     return possible & (d - ERRORS * error <= (n_a + n_b) * (1.0 - bound) / (1.0 + bound))
 
 
-def popcount(bitmaps: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(bitmaps).sum(axis=-1, dtype=np.int64)
+def similarity(sketch_xor, parity_xor, n_a, n_b) -> np.ndarray:
+    """Estimated similarity, from the whole sets' bitmaps or, where those are full, from the samples'."""
+    d, error = differences(parity_xor, PARITY_BITS)
+    rough, _ = differences(sketch_xor, SKETCH_BITS)
+    return np.where(np.isfinite(error), (n_a + n_b - d) / (n_a + n_b + d), 1.0 - rough / (2.0 * SAMPLES))
 
 
-def bitmaps(column) -> np.ndarray:
-    return np.frombuffer(b"".join(bytes(x) for x in column), np.uint64).reshape(len(column), -1)
+def popcount(bitmaps: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bitmaps).sum(axis=-1, dtype=np.int64)
 
 
 def links(a: np.ndarray, b: np.ndarray) -> bool:
@@ -171,38 +175,85 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b"), step, "a long, b long")
 
 
-def _cross_pairs(classes: DataFrame, roots: DataFrame, shared: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and may link, each once."""
-    state = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    rows = _buckets(state, "class", "root", "n", "sketch", "parity", "bands")
-    mixed_buckets = (_buckets(state.select("bands", "root"), "root").join(shared, "bucket", "left_semi").groupBy("bucket")
-                     .agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_size")).where("_low < _high")
-                     .select("bucket", F.ceil(F.col("_size") / float(BLOCK)).cast("int").alias("_blocks")))
-    rows = rows.join(mixed_buckets, "bucket").withColumn("block", F.pmod(F.xxhash64("class", F.lit("block")), F.col("_blocks")).cast("int"))
+def _cross_pairs(classes: DataFrame, roots: DataFrame, members: DataFrame, work: Work, label: str, best_only: bool) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and may link, each once; members are the rows of shared buckets.
+
+    best_only: of these, only the most similar partner of each class.
+    """
+    placed = work.keep(members.join(roots.withColumnRenamed("node", "class"), "class", "left").select("bucket", "band", "class", F.coalesce("root", "class").alias("root")), f"{label}-placed")
+    mixed_buckets = work.keep(placed.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_size"))
+                              .where("_low < _high").select("bucket", F.ceil(F.col("_size") / float(BLOCK)).cast("int").alias("_blocks")), f"{label}-mixed")
+    rows = placed.join(mixed_buckets, "bucket").join(classes.select("class", "n", "sketch", "parity", "bands"), "class")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("class", F.lit("block")), F.col("_blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    dealt = rows.withColumn("_p", F.explode(pairs)).select("bucket", "_p.i", "_p.j", "block", "band", "class", "root", "n", "sketch", "parity", "bands")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        first, band = group["block"].to_numpy() == group["i"].iloc[0], int(group["band"].iloc[0])
-        one = np.flatnonzero(first)
-        two = one if group["i"].iloc[0] == group["j"].iloc[0] else np.flatnonzero(~first)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        if len(one) and len(two):
-            ids, root, n = group["class"].to_numpy(), group["root"].to_numpy(), group["n"].to_numpy()
-            sketch, parity, bands = bitmaps(group["sketch"]), bitmaps(group["parity"]), bitmaps(group["bands"])
-            for x in one.tolist():
-                others = two[(root[two] != root[x]) & (two > x if two is one else True)]
-                if not len(others):
+    dealt = (rows.withColumn("_p", F.explode(pairs)).select("bucket", "_p.i", "_p.j", "block", "band", "class", "root", "n", "sketch", "parity", "bands")
+             .repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"))
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            ends = _group_ends(rows)
+            rest = rows.slice(ends[-1])  # the last pair of blocks may go on in the next batch
+            yield _compared(rows, ends, best_only)
+        if rest is not None:
+            yield _compared(rest, [*_group_ends(rest), rest.num_rows], best_only)
+
+    found = dealt.mapInArrow(run, "a long, b long, likeness double")
+    if not best_only:
+        return found.select("a", "b")
+    one_each = found.groupBy("a").agg(F.max_by("b", F.struct("likeness", "b")).alias("b"))
+    return one_each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _group_ends(rows: pa.RecordBatch) -> list[int]:
+    """Starts of the groups of equal (bucket, i, j)."""
+    new = np.ones(rows.num_rows, bool)
+    keys = [rows.column(c).to_numpy() for c in range(3)]
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new).tolist()
+
+
+def _compared(rows: pa.RecordBatch, ends: list[int], best_only: bool) -> pa.RecordBatch:
+    """Pairs that may link from the groups between ends; a group holds one or two blocks of a bucket.
+
+    best_only: for each class of a group (as a) its most similar partner (as b), whatever bucket they share first.
+    """
+    first = rows.column(1).to_numpy() == rows.column(3).to_numpy()
+    one_block = rows.column(1).to_numpy() == rows.column(2).to_numpy()
+    band, ids, root, n = (rows.column(c).to_numpy() for c in range(4, 8))
+    sketch, parity, bands = (np.frombuffer(b"".join(binary_rows(rows, c)), np.uint64).reshape(rows.num_rows, -1) for c in ("sketch", "parity", "bands"))
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for begin, end in zip(ends, ends[1:]):
+        if (root[begin:end] == root[begin]).all():
+            continue
+        if one_block[begin]:
+            x, y = np.triu_indices(end - begin, 1)
+            blocks = [(x + begin, y + begin)]
+        else:
+            ones, twos = begin + np.flatnonzero(first[begin:end]), begin + np.flatnonzero(~first[begin:end])
+            blocks = [(np.repeat(x, len(twos)), np.tile(twos, len(x))) for x in np.array_split(ones, max(1, len(ones) // 64))]
+        for x, y in blocks:
+            crossing = root[x] != root[y]
+            x, y = x[crossing], y[crossing]
+            for part in range(0, len(x), 1 << 16):
+                p, q = x[part:part + (1 << 16)], y[part:part + (1 << 16)]
+                counts = popcount(sketch[p] ^ sketch[q]), popcount(parity[p] ^ parity[q])
+                fit = may_link(*counts, n[p], n[q])
+                if not fit.any():
                     continue
-                fit = others[may_link(popcount(sketch[others] ^ sketch[x]), popcount(parity[others] ^ parity[x]), n[others], n[x])]
-                if len(fit):
-                    common = bands[fit] == bands[x]
-                    fit = fit[common.argmax(axis=1) == band]
-                    out.append((np.minimum(ids[fit], ids[x]), np.maximum(ids[fit], ids[x])))
-        a, b = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2
-        return pd.DataFrame({"a": a, "b": b})
-
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
+                likeness = similarity(*(c[fit] for c in counts), n[p][fit], n[q][fit])
+                p, q = p[fit], q[fit]
+                if best_only:
+                    x2, y2, like = np.concatenate([p, q]), np.concatenate([q, p]), np.tile(likeness, 2)
+                    order = np.lexsort((ids[y2], like, x2))
+                    top = order[np.append(x2[order][1:] != x2[order][:-1], True)]
+                    out.append((ids[x2[top]], ids[y2[top]], like[top]))
+                else:
+                    here = (bands[p] == bands[q]).argmax(axis=1) == band[p]
+                    out.append((np.minimum(ids[p], ids[q])[here], np.maximum(ids[p], ids[q])[here], likeness[here]))
+    a, b, likeness = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2 + (np.empty(0),)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(likeness, pa.float64())], names=["a", "b", "likeness"])
 
 
 def near_documents(docs: DataFrame) -> DataFrame:
@@ -219,11 +270,12 @@ def near_documents(docs: DataFrame) -> DataFrame:
         F.first("sketch").alias("sketch"), F.first("parity").alias("parity")), "classes")
     buckets = _buckets(classes, "class")
     shared = work.keep(buckets.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("class").alias("leader")).where("_n > 1").select("bucket", "leader"), "shared")
-    led = work.keep(buckets.join(shared, "bucket").groupBy("class", "leader").agg(F.count("*").alias("times")), "led")
+    members = work.keep(buckets.join(shared, "bucket"), "members")
+    led = members.groupBy("class", "leader").agg(F.count("*").alias("times"))
     order = Window.partitionBy("class").orderBy(F.col("times").desc(), "leader")
     first = (led.where("class != leader").withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= LEADERS)
              .select(F.col("class").alias("b"), F.col("leader").alias("a")))
-    wanted = classes.join(led.select("class").distinct(), "class", "left_semi").select("class", "_key")
+    wanted = classes.join(members.select("class").distinct(), "class", "left_semi").select("class", "_key")
     texts = work.keep(packed(docs).join(wanted, "_key").groupBy("class").agg(F.first("packed").alias("packed")), "texts")
 
     brief = classes.select("class", "n", "sketch", "parity")
@@ -239,19 +291,23 @@ def near_documents(docs: DataFrame) -> DataFrame:
 
     found = work.keep(_confirmed(map_batches(looked, estimate, "a long, b long"), texts), "links-0")
     roots = components(found, work, "first")
-    crossing = work.keep(_cross_pairs(classes, roots, shared), "crossing")
-    more = work.keep(_confirmed(crossing, texts), "links-1")
+    nearest = work.keep(_cross_pairs(classes, roots, members, work, "nearest", True), "nearest")
+    found = found.union(work.keep(_confirmed(nearest, texts), "links-1"))
+    roots = components(found, work, "second")
+    crossing = work.keep(_cross_pairs(classes, roots, members, work, "crossing", False), "crossing")
+    more = work.keep(_confirmed(crossing, texts), "links-2")
     ids = roots.select(F.col("node").alias("class"), "root")
     bridges = (more.join(ids.select(F.col("class").alias("a"), F.col("root").alias("root_a")), "a", "left")
                .join(ids.select(F.col("class").alias("b"), F.col("root").alias("root_b")), "b", "left")
                .select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
-    final = components(bridges, work, "second").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    final = components(bridges, work, "third").select(F.col("node").alias("root"), F.col("root").alias("top"))
     tops = (classes.select("class", "rep").join(ids, "class", "left").withColumn("root", F.coalesce("root", "class"))
             .join(final, "root", "left").select("class", "rep", F.coalesce("top", "root").alias("top")))
     least = tops.groupBy("top").agg(F.min("rep").alias("component_id"))
     answer = tops.join(least, "top").select("class", "component_id")
-    return rows.select("doc_id", "_key", F.col("n").alias("n_shingles"), "class").join(answer, "class", "left").select(
-        "doc_id", "_key", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows = rows.select("doc_id", "_key", F.col("n").alias("n_shingles"), "class")
+    found = rows.where("class IS NOT NULL").join(answer, "class").select("doc_id", "_key", "n_shingles", "component_id")
+    return found.unionByName(rows.where("class IS NULL").select("doc_id", "_key", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
