@@ -109,21 +109,24 @@ def _map_runs(df: DataFrame, read: Callable, units: Units, window: int, length:
     return df.mapInArrow(run, RUN)
 
 
-def _sort_out(rows: DataFrame, work: Work, label: str, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Covered runs (_key, start, count), and the rows that go on to the next level."""
-    again = work.keep(rows.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor"), f"{label}-again")
-    shared = work.keep(rows.join(again, "anchor", "left_semi"), f"{label}-shared")
-    alike = shared.groupBy("anchor", "stretch").agg(F.count("*").alias("_n"), F.min(F.struct("_key", "start")).alias("_first"))
+def _sort_out(rows: DataFrame, work: Work, label: str, last: bool, many_unique: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Covered runs (_key, start, count), and the runs that go on to the next level.
+
+    many_unique drops rows with an anchor of their own first, which pays while most rows are such.
+    """
+    if many_unique:
+        again = work.keep(rows.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor"), f"{label}-again")
+        rows = work.keep(rows.join(again, "anchor", "left_semi"), f"{label}-shared")
+    alike = rows.groupBy("anchor", "stretch").agg(F.count("*").alias("_n"), F.min(F.struct("_key", "start")).alias("_first"))
     if last:
         repeated = work.keep(alike.where("_n > 1").select("anchor", "stretch"), f"{label}-repeated")
-        return shared.join(repeated, ["anchor", "stretch"], "left_semi").select("_key", "start", "count"), None
+        return rows.join(repeated, ["anchor", "stretch"], "left_semi").select("_key", "start", "count"), None
     alike = work.keep(alike, f"{label}-alike")
-    undecided = work.keep(alike.groupBy("anchor").agg(F.min("_n").alias("_least")).where("_least = 1").select("anchor", F.lit(True).alias("_open")), f"{label}-open")
-    state = alike.join(undecided, "anchor", "left")
-    marked = work.keep(shared.join(state, ["anchor", "stretch"]).select(
-        "_key", "start", "count", (F.col("_n") > 1).alias("_done"),
-        ((F.col("_n") == 1) | (F.coalesce("_open", F.lit(False)) & (F.col("_first._key") == F.col("_key")) & (F.col("_first.start") == F.col("start")))).alias("_on"),
-    ), f"{label}-marked")
+    anchors = work.keep(alike.groupBy("anchor").agg(F.sum("_n").alias("_all"), (F.min("_n") == 1).alias("_open")).where("_all > 1").select("anchor", "_open"), f"{label}-anchors")
+    state = alike.join(anchors, "anchor").where("_open OR _n > 1")
+    first = (F.col("_first._key") == F.col("_key")) & (F.col("_first.start") == F.col("start"))
+    marked = work.keep(rows.join(state, ["anchor", "stretch"]).select(
+        "_key", "start", "count", (F.col("_n") > 1).alias("_done"), ((F.col("_n") == 1) | (F.col("_open") & first)).alias("_on")), f"{label}-marked")
     return marked.where("_done").select("_key", "start", "count"), marked.where("_on").select("_key", "start", "count")
 
 
@@ -134,7 +137,7 @@ def repeated_windows(docs: DataFrame, units: Units, window: int, lengths: tuple[
             yield key, 0, units.split(text)
 
     first = work.keep(_map_runs(keyed(docs), texts, units, window, lengths[0]), "level-0")
-    found, rows = _sort_out(first, work, "level-0", lengths[0] == window)
+    found, rows = _sort_out(first, work, "level-0", lengths[0] == window, many_unique=True)
     if rows is None:
         return found
 
