@@ -9,7 +9,7 @@ settles most of the rest. What both leave possible is confirmed on the full sets
 No bucket emits all its pairs. First every class is compared with its LEADERS most frequent bucket leaders, and confirmed links
 give components. Then only pairs of different components in a bucket are left to compare, since a pair within a component can not
 change the result: a bucket of any size is cut into blocks, and two blocks at a time are compared by their bitmaps as arrays in
-a task. A first pass gives each class's most similar partner alone, which joins most components that belong together; a second
+a task. A first pass over some bands gives each class's most similar partner alone, which joins most components that belong together; a second
 one gives all pairs that could still link, once each, in their first common bucket.
 
 With 40 bands of 4 a pair at the bound is in no common bucket with a probability of 3e-7, and the filters leave five standard errors.
@@ -37,6 +37,7 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 PARITY_BITS = 2048
 LEADERS = 2
+NEAREST_BANDS = 10  # bands whose buckets the pass for best partners looks at; the pass after it looks at all
 BLOCK = 800
 ERRORS = 5.0  # standard errors that an estimate may fall short of the bound
 
@@ -178,8 +179,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _cross_pairs(classes: DataFrame, roots: DataFrame, members: DataFrame, work: Work, label: str, best_only: bool) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and may link, each once; members are the rows of shared buckets.
 
-    best_only: of these, only the most similar partner of each class.
+    best_only: of these, only the most similar partner of each class in the first NEAREST_BANDS bands.
     """
+    members = members.where(F.col("band") < NEAREST_BANDS) if best_only else members
     placed = work.keep(members.join(roots.withColumnRenamed("node", "class"), "class", "left").select("bucket", "band", "class", F.coalesce("root", "class").alias("root")), f"{label}-placed")
     mixed_buckets = work.keep(placed.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_size"))
                               .where("_low < _high").select("bucket", F.ceil(F.col("_size") / float(BLOCK)).cast("int").alias("_blocks")), f"{label}-mixed")
