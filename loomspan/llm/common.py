@@ -39,6 +39,7 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch],
                 out = step(batch.slice(begin, rows))
                 if out.num_rows:
                     yield out
+        pa.default_memory_pool().release_unused()  # the worker process goes on to other tasks
     return df.mapInArrow(run, schema)
 
 
