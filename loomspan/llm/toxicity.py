@@ -33,7 +33,8 @@ PRECISION = 0.5  # share of toxic ones among the texts with a candidate feature,
 PREFIXES = (4, 5, 6, 7, 8)
 CANDIDATES = 20_000
 STEPS = 400
-LONGEST = 24  # characters of a token that is restored; longer ones are codes, not words
+LONGEST = 48  # bytes of a word that is a feature as a whole
+CACHED = 64  # characters of a stretch whose restoration is remembered
 
 #: Letters that a sign stands for.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "€": "e", "+": "t", "(": "c"}
@@ -94,16 +95,21 @@ _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*]{1,2}[^\W_](?![^\W_])){2,}")
 _SIGNS = frozenset(LOOKS_LIKE) | {"*"}
 _ANY_SIGN = re.compile(r"[0-9@$!|€+(*]")
 _EDGES = ".,;:?!\"'()[]{}<>"
+_CODE = re.compile(r"[$€+(-]*[0-9][0-9.,:;/()%+\-*$€]*|\*+")  # numbers, prices, dates, addresses; stars alone say nothing
 _LETTERS = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)])
+_NARROW = re.compile(r"[^\W_][ .\-_*][^\W_]")
 _REPEATED = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
 
 SIGN_COST, ANY_COST, KEEP_COST, DROP_COST, DOUBLE_COST = 0.7, math.log(26.0), 5.0, 1.0, 0.7
-BEAM = 64  # paths kept after each unit
+WIDE = 200  # paths times choices from which steps are taken for all states at once
+BLOCK = 256  # such steps before their paths are written out
 
 
 def lattice(token: str, spaced: bool) -> list[list[tuple[str, float]]]:
     """For each unit of a token what it may stand for, with its cost."""
     out, i = [], 0
+    # two blanks part words if other signs or single blanks part the letters
+    wide = spaced and "  " in token and _NARROW.search(token) is not None
     while i < len(token):
         c = token[i]
         run = i + 1
@@ -114,11 +120,15 @@ def lattice(token: str, spaced: bool) -> list[list[tuple[str, float]]]:
             out.append([(c, 0.0 if n != 2 else DOUBLE_COST), (c + c, 0.0 if n == 2 else DOUBLE_COST)] if n > 1 else [(c, 0.0)])
             i = run
             continue
+        if wide and c == " " and run > i + 1:
+            out.append([(" ", 0.0), ("", KEEP_COST)])
+            i = run
+            continue
         choices = [(letter, SIGN_COST) for letter in LOOKS_LIKE.get(c, "")]
         if c == "*":
             choices += [(letter, ANY_COST) for letter in ALPHABET[1:27]]
         if spaced and c in " .-_*":
-            choices += [("", 0.0), (" ", 2 * DROP_COST)]
+            choices += [("", 0.0), (" ", 2 * KEEP_COST if wide else 2 * DROP_COST)]
         elif c in ".-_*'":
             choices += [("", 2 * DROP_COST), (c, KEEP_COST if c == "*" else 0.0)]
         else:
@@ -128,13 +138,60 @@ def lattice(token: str, spaced: bool) -> list[list[tuple[str, float]]]:
     return out
 
 
+def wide_steps(paths: dict, units: list, model: np.ndarray) -> dict:
+    """What steps of decode give, over arrays, for choices of at most one character."""
+    used = sorted({s for state in paths for s in state} | {SYMBOL_OF.get(w, OTHER) for choices in units for w, _ in choices if w})
+    place, n = {s: i for i, s in enumerate(used)}, len(used)
+    chances = model[np.ix_(used, used, used)].astype(float)
+    scores, trail = np.full((n, n), -np.inf), []
+    for (p, q), (score, _) in paths.items():
+        scores[place[p], place[q]] = score
+    for choices in units:
+        costs, which, drop = np.full(n, np.inf), [""] * n, np.inf
+        for written, cost in choices:
+            s = place[SYMBOL_OF.get(written, OTHER)] if written else -1
+            if s < 0:
+                drop = min(drop, cost)
+            elif cost < costs[s]:
+                costs[s], which[s] = cost, written
+        totals = scores[:, :, None] + chances
+        first = totals.argmax(axis=0)
+        after = np.take_along_axis(totals, first[None], 0)[0] - costs
+        stays = scores - drop > after
+        trail.append((first, stays, which))
+        scores = np.where(stays, scores - drop, after)
+    ends = [(int(p), int(q)) for p, q in zip(*np.nonzero(scores > -np.inf), strict=True)]
+    before: list[dict] = []  # for each step, latest first: state -> (state before, what was written)
+    wanted = set(ends)
+    for first, stays, which in reversed(trail):
+        before.append({(p, q): ((p, q), "") if stays[p, q] else ((int(first[p, q]), p), which[q]) for p, q in wanted})
+        wanted = {state for state, _ in before[-1].values()}
+    chains = {state: paths[used[state[0]], used[state[1]]][1] for state in wanted}
+    for step in reversed(before):
+        chains = {state: (chains[old], written) if written else chains[old] for state, (old, written) in step.items()}
+    return {(used[p], used[q]): (float(scores[p, q]), chains[p, q]) for p, q in ends}
+
+
 def decode(token: str, model: np.ndarray, spaced: bool = False) -> str:
-    """The likeliest original of a lower-cased token between blanks."""
-    paths: dict[tuple[int, int], tuple[float, str]] = {(BLANK, BLANK): (0.0, "")}
-    for choices in [*lattice(token, spaced), [(" ", 0.0)]]:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in paths.items():
-            for written, cost in choices:
+    """The likeliest original of a lower-cased token between blanks.
+
+    A state is two symbols, so that work grows with the length only; a path is a chain of (path before, what was written).
+    """
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(BLANK, BLANK): (0.0, None)}
+    units, at = [*lattice(token, spaced), [(" ", 0.0)]], 0
+    while at < len(units):
+        if len(paths) * len(units[at]) > WIDE:
+            end = at
+            while end < min(len(units), at + BLOCK) and all(len(written) < 2 for written, _ in units[end]):
+                end += 1
+                if len(units[end - 1]) == 1:
+                    break
+            if end > at:
+                paths, at = wide_steps(paths, units[at:end], model), end
+                continue
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in paths.items():
+            for written, cost in units[at]:
                 p, q, total = a, b, score - cost
                 for c in written:
                     s = SYMBOL_OF.get(c, OTHER)
@@ -142,24 +199,31 @@ def decode(token: str, model: np.ndarray, spaced: bool = False) -> str:
                     p, q = q, s
                 known = after.get((p, q))
                 if known is None or total > known[0]:
-                    after[p, q] = (total, text + written)
-        paths = after if len(after) <= BEAM else dict(sorted(after.items(), key=lambda x: -x[1][0])[:BEAM])
-    return max(paths.values())[1].strip()
+                    after[p, q] = (total, (path, written) if written else path)
+        paths, at = after, at + 1
+    path, out = max(paths.values(), key=lambda x: x[0])[1], []
+    while path is not None:
+        path, written = path
+        out.append(written)
+    return "".join(reversed(out)).strip()
 
 
 class Restorer:
     """Restores texts under a language model; remembers a bounded number of tokens."""
 
     def __init__(self, model: np.ndarray):
-        self.decode = lru_cache(maxsize=100_000)(lambda token, spaced: decode(token, model, spaced))
+        self.model = model
+        self.known = lru_cache(maxsize=100_000)(lambda token, spaced: decode(token, model, spaced))
+
+    def decode(self, token: str, spaced: bool) -> str:
+        return self.known(token, spaced) if len(token) <= CACHED else decode(token, self.model, spaced)
 
     def _token(self, token: str) -> str:
         core = token.strip(_EDGES)
         lead = token[: len(token) - len(token.lstrip(_EDGES))]
         if lead[-1:] in ("(", "!") and core:
             core = lead[-1] + core
-        letters = sum(map(str.isalpha, core))
-        if not 3 <= len(core) <= LONGEST or _SIGNS.isdisjoint(core) or 5 * letters < 2 * len(core) or core.count("*") > 2 or core.count(".") > 2:
+        if len(core) < 3 or _SIGNS.isdisjoint(core) or _CODE.fullmatch(core):
             return token
         return self.decode(core, False)
 
@@ -168,14 +232,15 @@ class Restorer:
         low = text.lower()
         letter = _LETTERS[np.frombuffer(low.encode(), np.uint8)]
         if len(letter) > 4:
-            edge = np.zeros(len(letter) + 2, bool)
-            edge[1:-1] = letter
-            alone = letter & ~edge[:-2] & ~edge[2:]
             raw = np.frombuffer(low.encode(), np.uint8)
+            sign = letter | (raw >= 48) & (raw <= 57)
+            edge = np.zeros(len(sign) + 2, bool)
+            edge[1:-1] = sign
+            alone = sign & ~edge[:-2] & ~edge[2:]
             if (alone[:-4] & alone[2:-2] & alone[4:]).any() or (alone[:-3] & alone[3:]).any():
-                low = _SPACED.sub(lambda m: self.decode(m[0], True) if len(m[0]) <= 3 * LONGEST else m[0], low)
+                low = _SPACED.sub(lambda m: self.decode(m[0], True) if any(map(str.isalpha, m[0])) else m[0], low)
             if (letter[2:] & (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2])).any():
-                low = _REPEATED.sub(lambda m: self.decode(m[0], False) if len(m[0]) <= 2 * LONGEST else m[0], low)
+                low = _REPEATED.sub(lambda m: self.decode(m[0], False), low)
         if _ANY_SIGN.search(low):
             low = " ".join(t if _SIGNS.isdisjoint(t) else self._token(t) for t in low.split())
         return low
@@ -192,12 +257,12 @@ def words(restored: str) -> set[bytes]:
 
 def beginnings(found: set[bytes], n: int) -> Counter:
     """How many distinct words have each beginning of n bytes and go on behind it."""
-    return Counter(w[:n] for w in found if n < len(w) <= 2 * LONGEST)
+    return Counter(w[:n] for w in found if n < len(w))
 
 
 def features(found: set[bytes]) -> set[bytes]:
     """Words of three and more bytes; b"beginning*1", *2 and *3 for beginnings of at least so many distinct words."""
-    out = {w for w in found if 3 <= len(w) <= 2 * LONGEST}
+    out = {w for w in found if 3 <= len(w) <= LONGEST}
     for n in PREFIXES:
         for begin, times in beginnings(found, n).items():
             out.update(b"%s*%d" % (begin, k) for k in range(1, min(times, 3) + 1))

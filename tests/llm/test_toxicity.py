@@ -32,6 +32,28 @@ def test_restores_disguises(learned):
         assert restorer.restore(text) == text
 
 
+def test_restores_whatever_the_length_and_share_of_letters(learned):
+    restorer = toxicity.Restorer(learned[2])
+    for disguised, plain in {"57up1d": "stupid", "7r45h": "trash", "p47h371c": "pathetic", "l053r": "loser", "455h0l3": "asshole", "1 d 1 0 t": "idiot",
+                             "st*p*d": "stupid", "i.d.i.0.t": "idiot", "idi" + "o" * 100 + "t": "idiot"}.items():
+        assert plain in restorer.restore(f"of the {disguised} and that").split(), disguised
+    assert "***" not in restorer.restore("of onor*** f*** and")
+    spaced = "  ".join(" ".join(w) for w in "that pathetic loser said the other stupid idiot was here and that".split())
+    assert len(spaced) > 72 and {"loser", "idiot", "pathetic", "stupid"} <= set(restorer.restore(spaced).split())
+    long = restorer.restore("i" * 30 + "d" * 30 + "i" * 30 + "o" * 30 + "t" * 30)
+    assert len(long) <= 10
+    for text in ("12:30 $1,000.50 (2024-01-05) 1 2 3 4 *****", "a" + " a" * 5000):
+        assert len(restorer.restore(text)) == len(text)
+
+
+def test_array_steps_find_the_same_paths(learned, monkeypatch):
+    for token in ("f***", "id**t", "*b*o1*0", "a**", "x$*.*-o", "****o", "s**t h*r*"):
+        found = toxicity.decode(token, learned[2])
+        with monkeypatch.context() as m:
+            m.setattr(toxicity, "WIDE", 1 << 60)
+            assert toxicity.decode(token, learned[2]) == found, token
+
+
 def test_held_out_accuracy(learned):
     docs, labels, model, scorer = learned
     rows = toxicity.score(docs, model, scorer).join(labels, "doc_id").where("held_out").select("toxic", "score", "predicted").toPandas()
