@@ -3,7 +3,8 @@
 A text becomes a normalised TF-IDF vector of its lower-cased byte 1-, 2- and 3-grams, hashed into BUCKETS places; what is
 no letter counts as one blank. Each language has up to CLUSTERS centroids, found by spherical k-means over a bounded
 sample of its labelled texts. A text gets the language of the centroid with the largest cosine; it is rejected when its
-distance (1 - cosine) exceeds the largest one that any sampled text has from its own centroid, plus SLACK.
+cosine is under SHARE of what nearly all sampled texts of that language and of about its length have with their own centroid.
+Length counts in powers of two of distinct grams, as cosines grow with it.
 
 Document frequencies are counted over all texts that may be learned from, as (bucket, count) rows with a part per batch.
 The driver holds the BUCKETS frequencies and languages x CLUSTERS centroids, whatever the size of the corpus; the number of
@@ -25,7 +26,11 @@ BUCKETS = 1 << 14
 CLUSTERS = 4
 SAMPLE = 1500  # labelled texts of a language that its centroids are fitted on, about
 MAX_LANGUAGES = 1000
-SLACK = 0.05
+QUANTILE = 0.05  # of the cosines of sampled texts of one language and length
+SHARE = 0.5  # of that quantile, which a text must reach
+FEWEST = 10  # sampled texts that a quantile is taken of; with fewer those of all languages, then the next shorter length
+FLOOR = 0.05  # least accepted cosine of texts shorter than any length with enough sampled texts
+LENGTHS = BUCKETS.bit_length()
 UNKNOWN = "und"
 
 #: Bytes of letters as they are (capitals made small, all of non-ASCII text), everything else a blank.
@@ -60,7 +65,7 @@ def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cluster(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit centroids by spherical k-means, and the least cosine of any member; starts at texts far apart."""
+    """Unit centroids by spherical k-means, and the cosine of each text with its own; starts at texts far apart."""
     chosen = [vectors.sum(axis=0)]
     while len(chosen) < k:
         near = np.max(vectors @ np.stack([c / max(np.linalg.norm(c), 1e-12) for c in chosen]).T, axis=1)
@@ -71,16 +76,36 @@ def cluster(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         mine = np.argmax(vectors @ centroids.T, axis=1)
         centroids = np.stack([vectors[mine == c].sum(axis=0) if (mine == c).any() else centroids[c] for c in range(k)])
     centroids = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
-    scores = vectors @ centroids.T
-    mine = np.argmax(scores, axis=1)
-    least = np.array([scores[mine == c, c].min() if (mine == c).any() else 1.0 for c in range(k)])
-    return centroids, least
+    return centroids, (vectors @ centroids.T).max(axis=1)
+
+
+def length(n_grams: int) -> int:
+    """Class of length of a text with so many distinct grams."""
+    return n_grams.bit_length() - 1
+
+
+def least_accepted(lengths: dict[str, np.ndarray], scores: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """For each language the least accepted cosine by class of length, from those of its sampled texts."""
+    every, all_scores = np.concatenate(list(lengths.values())), np.concatenate(list(scores.values()))
+    out = {}
+    for lang in lengths:
+        bars = np.full(LENGTHS, FLOOR)
+        for k in range(LENGTHS):
+            found = scores[lang][lengths[lang] == k]
+            if len(found) < FEWEST:
+                found = all_scores[every == k]
+            if len(found) >= FEWEST:
+                bars[k] = max(FLOOR, SHARE * float(np.quantile(found, QUANTILE)))
+            elif k:
+                bars[k] = bars[k - 1]
+        out[lang] = bars
+    return out
 
 
 class Model:
-    """Centroids as columns, with the language of each and the least accepted cosine."""
+    """Centroids as columns, with the language of each and its least accepted cosines by class of length."""
 
-    def __init__(self, idf: np.ndarray, languages: list[str], centroids: np.ndarray, least: float):
+    def __init__(self, idf: np.ndarray, languages: list[str], centroids: np.ndarray, least: list[np.ndarray]):
         self.idf, self.languages, self.columns, self.least = idf, languages, np.ascontiguousarray(centroids.T), least
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
@@ -91,7 +116,7 @@ class Model:
         scores = values @ self.columns[at]
         best = int(np.argmax(scores))
         score = min(1.0, max(0.0, float(scores[best])))
-        return self.languages[best], score, score < self.least
+        return self.languages[best], score, score < self.least[best][length(len(at))]
 
 
 def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
@@ -122,7 +147,7 @@ def fit(docs: DataFrame) -> Model:
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
-        return Model(np.zeros(BUCKETS), [], np.zeros((0, BUCKETS)), 0.0)
+        return Model(np.zeros(BUCKETS), [], np.zeros((0, BUCKETS)), [])
     seen, frequency = document_frequencies(train)
     idf = np.log((1.0 + seen) / (1.0 + frequency)) + 1.0
 
@@ -133,18 +158,24 @@ def fit(docs: DataFrame) -> Model:
     def centroids(rows: pd.DataFrame) -> pd.DataFrame:
         texts = [t for _, t in sorted(zip(rows["doc_id"], rows["text"], strict=True)) if has_letter(t)][: 2 * SAMPLE]
         if not texts:
-            return pd.DataFrame({"lang": [], "least": [], "centroid": []})
-        vectors = np.zeros((len(texts), BUCKETS), np.float32)
+            return pd.DataFrame({"lang": [], "lengths": [], "scores": [], "centroids": []})
+        lengths, vectors = np.zeros(len(texts), np.uint8), np.zeros((len(texts), BUCKETS), np.float32)
         for i, text in enumerate(texts):
             at, values = vector(text, idf)
-            vectors[i, at] = values
-        found, least = cluster(vectors, min(CLUSTERS, len(texts)))
-        return pd.DataFrame({"lang": rows["lang"].iloc[0], "least": least.astype(float), "centroid": [c.astype("<f4").tobytes() for c in found]})
-
-    rows = sample.groupBy("lang").applyInPandas(centroids, "lang string, least double, centroid binary").collect()
-    rows = sorted(rows, key=lambda r: (r["lang"], bytes(r["centroid"])))
-    stacked = np.stack([np.frombuffer(bytes(r["centroid"]), "<f4") for r in rows]) if rows else np.zeros((0, BUCKETS))
-    return Model(idf, [r["lang"] for r in rows], stacked, min([r["least"] for r in rows], default=0.0) - SLACK)
+            lengths[i], vectors[i, at] = length(len(at)), values
+        found, scores = cluster(vectors, min(CLUSTERS, len(texts)))
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "lengths": [lengths.tobytes()], "scores": [scores.astype("<f4").tobytes()],
+                             "centroids": [found.astype("<f4").tobytes()]})
+
+    # a row per language: one byte and one float for each sampled text beside the centroids
+    rows = sorted(sample.groupBy("lang").applyInPandas(centroids, "lang string, lengths binary, scores binary, centroids binary").collect())
+    if not rows:
+        return Model(idf, [], np.zeros((0, BUCKETS)), [])
+    stacked = [np.frombuffer(bytes(r["centroids"]), "<f4").reshape(-1, BUCKETS) for r in rows]
+    stacked = [c[sorted(range(len(c)), key=lambda i: c[i].tobytes())] for c in stacked]
+    least = least_accepted({r["lang"]: np.frombuffer(bytes(r["lengths"]), np.uint8) for r in rows}, {r["lang"]: np.frombuffer(bytes(r["scores"]), "<f4") for r in rows})
+    names = [r["lang"] for r, c in zip(rows, stacked, strict=True) for _ in c]
+    return Model(idf, names, np.concatenate(stacked), [least[name] for name in names])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,5 +1,7 @@
 """Language identification: held-out accuracy, odd texts, empty input."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from loomspan.llm import language
@@ -42,3 +44,20 @@ def test_nothing_to_learn_from(spark):
     model = language.fit(empty)
     assert language.identify(empty, model).count() == 0
     assert model.predict("some words") == ("und", 0.0, True)
+
+
+def test_rejects_long_texts_of_other_languages_and_gibberish(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    dutch = ("De snelle bruine vos springt over de luie hond en gaat daarna naar huis om te slapen. Het regende de hele dag, maar niemand "
+             "wilde binnen blijven omdat het feest buiten was. Wij hebben gisteren een nieuw boek gekocht bij de winkel aan de overkant.")
+    italian = ("La mattina presto il vecchio pescatore usciva con la sua barca e tornava soltanto quando il sole era alto. Nella piazza del "
+               "paese i bambini giocavano a pallone mentre le nonne parlavano sedute davanti alle case.")
+    random.seed(3)
+    gibberish = [" ".join("".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(2, 9))) for _ in range(n)) for n in (20, 100, 2000)]
+    # one text of two letters must not lower the bar of the others
+    short = spark.createDataFrame([(i, "De.", "fr") for i in range(10**6, 10**6 + 5)], "doc_id long, text string, lang string")
+    for model in (language.fit(docs), language.fit(docs.select("doc_id", "text", "lang").unionByName(short))):
+        for text in (dutch, dutch * 5, italian, italian * 5, *gibberish):
+            assert model.predict(text)[2], text[:60]
+        found = language.identify(docs, model)
+        assert found.where("rejected").count() <= 0.005 * found.count()
