@@ -113,7 +113,8 @@ _WIDE = "！-～\U0001d400-\U0001d7ff①-⒛²³¹⁰-₉٠-٩۰-۹०-९"
 _ODD = re.compile(f"[{''.join(map(re.escape, LOOKALIKES))}{INVISIBLE}{_WIDE}]")
 _DOT = "dot|punkt|point|punto"
 _NUMBER = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?<![^\W_])(?:plus|{_NUMBER}|[0-9]+)(?:[ .,-]{{1,2}}(?:{_NUMBER}|[0-9]+|{_DOT}|dash)(?![^\W_])){{3,}}", re.I)
+_PART = rf"(?:[ .,-]{{1,2}}(?:{_NUMBER}|[0-9]+|{_DOT}|dash)(?![^\W_]))"
+_SPELLED = re.compile(rf"(?<![^\W_])(?:plus{_PART}+|(?:{_NUMBER}|[0-9]+){_PART}{{3,}})", re.I)
 _SPELLED_PART = re.compile(rf"plus|{_NUMBER}|[0-9]+|{_DOT}|dash", re.I)
 _BRACKETED = re.compile(rf"[ \t]?[\[({{<][ \t]?(at|arroba|@|{_DOT}|\.)[ \t]?[\])}}>][ \t]?", re.I)
 _BRACKET_SIGN = re.compile(rf"[\[({{<][ \t]?(?:at|arroba|@|{_DOT}|\.)[ \t]?[\])}}>]")
@@ -121,19 +122,38 @@ _NAME = r"[A-Za-z0-9_%+-]+"
 _SPACED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?: (?:{_DOT}) |\.){_NAME})*(?: (?:at|arroba) | ?@ ?)[A-Za-z0-9-]+(?:(?: (?:{_DOT}) |\.)[A-Za-z0-9-]+)+", re.I)
 _SPACED_PART = re.compile(rf" ({_DOT}|at|arroba) | ?(@) ?|(\.)", re.I)
 _DOT_WORD = re.compile(rf" (?:{_DOT}) ", re.I)
-#: Endings after which "name at domain.ending" is read as an address without a spelled dot.
-_ENDING = re.compile(r"\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk)\Z")
+#: An ending after which "name at domain.ending" is read as an address without a spelled dot.
+_ENDING = re.compile(r"\.([a-z]{2,6})\Z", re.I)
+#: Endings that follow any name; words that open a sentence behind "at home.", of which those of two letters are endings of countries;
+#: what is often behind "at", and before it, in running text.
+_COMMON_ENDINGS = frozenset("com org net edu gov info io de fr es uk".split())
+_OPENERS = frozenset(
+    "a ab aber al als also am an and any are as at auf aus away back be bei bis but by can car come dann das de del den der des did die do does don each el "
+    "elle en er es et for from go had has have he her here his how i if il ils in is it its je just la las le les let lo los ma mais man many may me mit more "
+    "most my no nor not now of off oft oh ok on one only or our out over pero por quand que she sie so some soon still such tell than that the their them then "
+    "there these they this those to too two un und une up us very was we well went were what when where which while who why wie will wir with would yes yet "
+    "you your".split())
+_PLACES = frozenset(
+    "all anchor bay best breakfast church college court dawn day dinner dusk ease end first gate hand heart home hospital hotel house issue large last least "
+    "length lunch midnight most night noon odds office once party peace present random rest risk school sea sight stake station table that them this times "
+    "university us war will work".split())
+_BEFORE_AT = frozenset(
+    "all and angry are arrive arrived be been being but called came am eat ended everyone fell good he held her here him i is it laugh laughed left live lived "
+    "look looked looking looks me meet met not now off only or out sat shop shout she shown sleep start started stay stayed staying stop stopped that them there "
+    "they this time up us wait waited was we were while who work worked working works you".split())
 _AT_DOMAIN = re.compile(r" (?:at|arroba) [a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]")
 _DOTTED_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?: (?:{_DOT}) | ?[\[(]\.[\])] ?)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _DOT_WORDS = frozenset(_DOT.split("|"))
 _NUMBER_WORDS = frozenset(DIGIT_WORDS) | {"plus"}
+_RUN_WORDS = _NUMBER_WORDS | _DOT_WORDS | {"dash"}
+_WORDS = re.compile(r"[^\W_]+")
 
 
 def _number_run(words: list[str]) -> bool:
-    """Whether four words in a row are numbers, spelled or not."""
+    """Whether "plus" and a part of a number, or four parts in a row, may be what _SPELLED takes: numbers, spelled or not, dots and dashes."""
     run = 0
     for w in words:
-        run = run + 1 if w in _NUMBER_WORDS or w in _DOT_WORDS or w.isdigit() else 0
+        run = (4 if w == "plus" else run + 1) if w in _RUN_WORDS or w.isdigit() else 0
         if run >= 4:
             return True
     return False
@@ -144,9 +164,11 @@ def maybe_disguised(text: str) -> bool:
     if not text.isascii() and _ODD.search(text):
         return True
     low = text.lower()
+    if not text.isascii():
+        low = low.replace("\u017f", "s").replace("i\u0307", "i")  # letters that patterns without case take for s and i
     if " @" in low or "@ " in low or _BRACKET_SIGN.search(low) or _AT_DOMAIN.search(low):
         return True
-    words = low.replace(".", " ").replace(",", " ").replace("-", " ").split()
+    words = _WORDS.findall(low)
     if not _NUMBER_WORDS.isdisjoint(words) and _number_run(words):
         return True
     return not _DOT_WORDS.isdisjoint(words)
@@ -190,11 +212,11 @@ def look_alikes(tape: Tape) -> Tape:
 
 
 def spelled_digits(tape: Tape) -> Tape:
-    """Runs of at least four spelled digits or numbers, with at least one spelled, to digits."""
+    """Runs of at least four spelled digits or numbers, or of "plus" and what follows, with at least one spelled, to digits."""
     edits = []
     for run in _SPELLED.finditer(tape.text):
         parts = list(_SPELLED_PART.finditer(run[0]))
-        if not any(p[0].lower() in DIGIT_WORDS for p in parts):
+        if not any(p[0].lower() in _NUMBER_WORDS for p in parts):
             continue
         written = ""
         for p in parts:
@@ -209,11 +231,22 @@ def bracketed_signs(tape: Tape) -> Tape:
     return tape.rewrite([(m.start(), m.end(), _SIGN_WORDS.get(m[1].lower(), m[1])) for m in _BRACKETED.finditer(tape.text)])
 
 
+def plain_address(address: str) -> bool:
+    """Whether "name at domain.ending" is an address: by a common ending, a name with digits or signs, or words unlike running text."""
+    found = _ENDING.search(address)
+    if not found:
+        return False
+    ending, name, place = found[1].lower(), address[: address.index(" ")].lower(), address[address.rindex(" ") + 1 : found.start()].lower()
+    if ending in _COMMON_ENDINGS or not name.isalpha():
+        return True
+    return name not in _BEFORE_AT and (ending not in _OPENERS or len(ending) == 2 and place not in _PLACES)
+
+
 def spaced_signs(tape: Tape) -> Tape:
     """ " at " and " dot " inside what then is an address, and blanks around its signs."""
     edits = []
     for address in _SPACED.finditer(tape.text):
-        if " " not in address[0] or not ("@" in address[0] or _DOT_WORD.search(address[0]) or _ENDING.search(address[0])):
+        if " " not in address[0] or not ("@" in address[0] or _DOT_WORD.search(address[0]) or plain_address(address[0])):
             continue
         for p in _SPACED_PART.finditer(address[0]):
             sign = (p[1] or p[2] or p[3]).lower()

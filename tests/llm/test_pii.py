@@ -67,6 +67,34 @@ def test_disguised_forms():
     assert added("a@b.com and bob at gmail.com") == [("email", "bob at gmail.com")]
 
 
+def test_dashes_plus_and_endings():
+    cases = {
+        "call plus four nine dash three zero dash one two three dash four five six ok": ("phone", "plus four nine dash three zero dash one two three dash four five six"),
+        "plus 49 30 1234567": ("phone", "plus 49 30 1234567"),
+        "(plus 49 301234567)": ("phone", "plus 49 301234567"),
+        "mail anna at uni.it now": ("email", "anna at uni.it"),
+        "jan at firma.nl": ("email", "jan at firma.nl"),
+        "urs at werk.ch": ("email", "urs at werk.ch"),
+        "ana at casa.co": ("email", "ana at casa.co"),
+        "j.doe at site.museum": ("email", "j.doe at site.museum"),
+    }
+    for text, want in cases.items():
+        assert added(text) == [want], text
+    for text in ("we look at home.it was late", "two plus one is three", "they met at noon.then", "bob at home.so what"):
+        assert added(text) == [], text
+
+
+def test_shortcut_agrees_with_the_transducers(monkeypatch):
+    random.seed(4)
+    parts = ["plus", "four", "Nine", "sieben", "zéro", "dash", "dot", "punkt", "49", "030", "1234567", "at", "bob", "mail", "x.org", "uni.it", "@", "[at]", "(dot)", "(", "!", "_", "ſix", "·"]
+    texts = ["".join(random.choice(parts) + random.choice((" ", " ", " ", "-", ", ", ".", "")) for _ in range(random.randint(3, 16))) for _ in range(20_000)]
+    texts += ["plus " + "".join(random.choice(("one", "two", "3", "nine")) + random.choice((" ", " dash ", "-")) for _ in range(12)) for _ in range(2_000)]
+    quick = [pii.scan(t) for t in texts]
+    monkeypatch.setattr(pii, "maybe_disguised", lambda text: True)
+    assert quick == [pii.scan(t) for t in texts]
+    assert sum(len(more) > 0 for _, more in quick) > 1000
+
+
 def test_odd_rows(spark):
     texts = [None, "", "me@x.org", "me@x.org", "9" * 50_000, "@" * 20_000, "+1" * 5_000, "1.2.3.4" + "x" * 100_000, "é 😀 me@x.org"]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
