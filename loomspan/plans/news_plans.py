@@ -172,19 +172,34 @@ def _(spark, sf):
     return out.select("Ticker", F.date_format("Timestamp", "yyyy-MM-dd HH:mm:ss").alias("seen"), "Headline")
 
 
+PARTS = 4
+
+
 def event_stream(spark, sf):
-    """The events as four files that arrive in the order of their days, one in a micro-batch."""
+    """The events in the order of their times as a stream, and what lets the quarters of their time span arrive one by one.
+
+    Events without a time come with the last quarter, as their session is the last one.
+    """
     events = table(spark, sf, "events")
     path = run_dir(spark, "stream-events-in")
-    for part in range(4):
-        events.where(F.floor((F.dayofmonth("ts") - 1) / 8) == part).coalesce(1).write.mode("append").parquet(path)
-    return streams.read_file_stream(spark, path, events.schema, 1).withColumn("ts", F.col("ts").cast("timestamp"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(micros), F.max(micros)).first()
+    width = (last - first) // PARTS + 1 if first is not None else 1
+    part = F.coalesce(F.floor((micros - F.lit(first or 0)) / F.lit(width)), F.lit(PARTS - 1))
+
+    def arrival(number):
+        return lambda: events.where(part == number).write.mode("append").parquet(path)
+
+    events.limit(0).write.parquet(path)
+    stream = streams.read_file_stream(spark, path, events.schema, None).withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream, [arrival(number) for number in range(PARTS)]
 
 
 @query("stream_session_sentiment", f"""WITH {NEWS_CAL}, {EVENT_SESSIONS} SELECT Date, Ticker, {g('avg(value)')} AS Sentiment, count(*) AS News_Volume FROM es GROUP BY Date, Ticker""")
 def _(spark, sf):
-    scored = event_stream(spark, sf).select(F.col("event_type").alias("Ticker"), F.col("ts").alias("Timestamp"), F.col("value").alias("Score"))
-    out = streams.drain_updates(streams.stream_session_sentiment(scored, fx.news_calendar(spark, sf)), "stream-sentiment", KEYS)
+    events, arrivals = event_stream(spark, sf)
+    scored = events.select(F.col("event_type").alias("Ticker"), F.col("ts").alias("Timestamp"), F.col("value").alias("Score"))
+    out = streams.drain_updates(streams.stream_session_sentiment(scored, fx.news_calendar(spark, sf)), "stream-sentiment", KEYS, arrivals)
     return publish(out, ["Date", "Ticker", "News_Volume"], ["Sentiment"])
 
 
@@ -192,6 +207,11 @@ def _(spark, sf):
  b AS (SELECT Start, event_type AS Ticker, arg_min(value, ts) AS Open, max(value) AS High, min(value) AS Low, arg_max(value, ts) AS Close, count(*) AS Volume FROM w GROUP BY 1, 2)
  SELECT strftime(Start, '%Y-%m-%d %H:%M:%S') AS Start, Ticker, Volume, {gcols(['Open', 'High', 'Low', 'Close'])} FROM b""")
 def _(spark, sf):
-    ticks = event_stream(spark, sf).select("ts", F.col("event_id").alias("id"), F.col("event_type").alias("Ticker"), F.col("value").alias("price"))
-    out = streams.drain_updates(streams.stream_bars(ticks), "stream-bars", ["Start", "Ticker"]).withColumn("Start", F.date_format("Start", "yyyy-MM-dd HH:mm:ss"))
+    """Events without a time fall in no window; they are the bar without a start and with neither first nor last price."""
+    events, arrivals = event_stream(spark, sf)
+    ticks = events.select("ts", F.col("event_id").alias("id"), F.col("event_type").alias("Ticker"), F.col("value").alias("price"))
+    bars = streams.drain_updates(streams.stream_bars(ticks), "stream-bars", ["Start", "Ticker"], arrivals)
+    timeless = table(spark, sf, "events").where("ts IS NULL").groupBy(F.col("event_type").alias("Ticker")).agg(
+        F.max("value").alias("High"), F.min("value").alias("Low"), F.count("*").alias("Volume"))
+    out = bars.unionByName(timeless, allowMissingColumns=True).withColumn("Start", F.date_format("Start", "yyyy-MM-dd HH:mm:ss"))
     return publish(out, ["Start", "Ticker", "Volume"], ["Open", "High", "Low", "Close"])

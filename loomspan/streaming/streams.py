@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,9 +58,10 @@ def stream_bars(ticks: DataFrame, width: str = "1 hour", delay: str = "10 minute
     )
 
 
-def read_file_stream(spark: SparkSession, path: str, schema: T.StructType, per_trigger: int = 100) -> DataFrame:
-    """Files in the order of their arrival, so many in a micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+def read_file_stream(spark: SparkSession, path: str, schema: T.StructType, per_trigger: int | None = 100) -> DataFrame:
+    """Files in the order of their arrival, so many in a micro-batch, or all that are there."""
+    reader = spark.readStream.schema(schema)
+    return (reader if per_trigger is None else reader.option("maxFilesPerTrigger", per_trigger)).parquet(path)
 
 
 def drain(stream: DataFrame, label: str) -> DataFrame:
@@ -75,11 +77,12 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def drain_updates(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
+def drain_updates(stream: DataFrame, label: str, keys: list[str], arrivals: Sequence[Callable[[], None]] = ()) -> DataFrame:
     """Run an aggregating stream over everything available and return the latest row of each key.
 
     Groups that the watermark has not closed yet are included. Every micro-batch writes its updates to a folder of its own,
-    which a repeated batch overwrites.
+    which a repeated batch overwrites. Arrivals write files one after the other; after each the stream goes on from its checkpoint
+    over all files that are there, so that any number of files written at once are one step of the event time.
     """
     spark = stream.sparkSession
     base = run_dir(spark, label)
@@ -88,11 +91,13 @@ def drain_updates(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={number}"))
 
-    query = (
-        stream.writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", mark).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    for arrive in arrivals or (lambda: None,):
+        arrive()
+        query = (
+            stream.writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", mark).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
     values = [c for c in stream.columns if c not in keys]
     updates = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(out)
     latest = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_latest"))
