@@ -27,7 +27,7 @@ from loomspan.llm.registry import query
 from loomspan.llm.tokens import BYTE_BPE, PIECE_BPE, byte_bpe, piece_bpe
 from loomspan.llm.work import Work
 
-BLOCK = 1 << 22  # bytes of the texts in a block, about
+BLOCK = 1 << 21  # bytes of the texts in a block, about
 BLOCK_ROWS = 20_000
 
 BLOCKS = "block long, doc_ids array<long>, sizes binary, digests array<string>, links binary, pairs array<struct<pair:long,n:long>>, same array<struct<a:int,n:long>>"
