@@ -8,8 +8,8 @@ Everything here works on the histogram, at most capacity numbers, so it costs th
   weights start at length / capacity; each step prices the best pattern by knapsack dynamic programming, takes it until one of its
   lengths is covered once more and lowers the weights of what it covers, until every length is covered TIMES times.
 * Amounts of patterns are rounded down to whole bins, the fullest first, and none is taken beyond the pieces there are. What the
-  rounding leaves is dealt into groups again, CYCLES times in all. The rest and the short lengths go where they fit best, longest first, a
-  whole group of equal bins at a time; new bins are opened last.
+  rounding leaves is dealt into groups again, once for each of CYCLES. The rest and the short lengths go where they fit best, longest first, a
+  whole group of equal bins at a time; new bins are opened last. This is done after every cycle, and the fewest bins count.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-SMALL, ITEMS, TIMES, CYCLES, EPSILON = 8, 64, 4, 2, 0.1
-SPARE = 512  # patterns with more than capacity / SPARE of room left are not taken; the best fit does better
+SMALL, ITEMS, TIMES, EPSILON = 8, 64, 4, 0.1
+CYCLES = (512, 128)  # a cycle takes patterns with at most this part of the capacity left as room
 
 
 @dataclass
@@ -115,15 +115,17 @@ def configurations(histogram: dict[int, int], capacity: int) -> list[Bins]:
     left = Counter({n: c for n, c in histogram.items() if c})
     whole = left.pop(capacity, 0)
     bins = [Bins(whole, 0, Counter({capacity: 1}))] if whole else []
-    for _ in range(CYCLES):
+    found = [_best_fit(bins, left, capacity)] if not any(n > capacity // SMALL for n in left) else []
+    for part in () if found else CYCLES:
         for lengths, counts in _dealt(left, capacity // SMALL):
             program = linear_program(lengths, counts, capacity)
             for pattern, amount in sorted(program.items(), key=lambda x: (-sum(lengths[i] * k for i, k in x[0]), -x[1], x[0])):
-                if capacity - sum(lengths[i] * k for i, k in pattern) > capacity // SPARE:
+                if capacity - sum(lengths[i] * k for i, k in pattern) > capacity // part:
                     break
                 copies = min(int(amount + 1e-9), *(left[lengths[i]] // k for i, k in pattern))
                 if copies:
                     holds = Counter({lengths[i]: k for i, k in pattern})
                     left -= Counter({n: k * copies for n, k in holds.items()})
                     bins.append(Bins(copies, capacity - sum(n * k for n, k in holds.items()), holds))
-    return [b for b in _best_fit(bins, left, capacity) if b.count]
+        found.append(_best_fit(bins, left, capacity))
+    return min(found, key=lambda x: sum(b.count for b in x))
