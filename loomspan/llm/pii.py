@@ -54,7 +54,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 def ips(text: str) -> list[tuple[int, int]]:
     """Four dotted numbers; a run of digits is tried from its start only: a match from inside it would fail as well."""
-    return [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    return [m.span() for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
 
 
 def luhn(digits: str) -> bool:

@@ -107,3 +107,30 @@ def test_odd_rows(spark):
     assert redacted.schema == docs.schema
     assert {r.doc_id: r.text for r in redacted.collect()}[2] == "[EMAIL]"
     assert pii.find(docs.limit(0)).count() == 0
+
+
+def test_long_runs_of_every_kind_of_character():
+    """Runs of thousands of one character, alone and between identifiers, end and agree with the plain patterns."""
+    random.seed(7)
+    pieces = ["0", "1", "9", "a", "é", " ", ".", "-", "+", "@", "(", "４", "\u200b", "а", "one ", "zwei-", "dot ", " at ", "[at]", "1.", "0.", "4 ", "a.", "\n", "😀"]
+    for piece in pieces:
+        for n in (40, 5000):
+            for text in (piece * n, "1.2.3." + piece * n + "1", "+4930 " + piece * n, "x@y." + piece * n, piece * n + "@b.de", "4111 1111 1111 1111" + piece * n):
+                base, more = pii.scan(text)
+                if n == 40:
+                    assert base == brute(text)
+                assert all(0 <= s < e <= len(text) for s, _, e in [*base, *more])
+    assert pii.scan("1.2.3." + "0" * 5000 + "1")[0] == [(0, 1, 5007)]
+    assert pii.scan("1.2.3." + "0" * 5000)[0] == [(0, 1, 5006)]
+
+
+def test_random_texts_end_without_an_error():
+    random.seed(8)
+    words = ["one", "zwei", "dot", "at", "plus", "dash", "1.2.3.4", "0000", "255", "256", "a@b.c", "4111", "+49", "(0)", "\u200b", "а", "４", "[dot]", "{at}", "is", "home", "it"]
+    for i in range(30_000):
+        text = "".join(random.choice(words) + random.choice(["", " ", ".", "-", " . "]) for _ in range(random.randint(0, 14)))
+        base, more = pii.scan(text)
+        assert all(0 <= s < e <= len(text) for s, _, e in [*base, *more])
+        if i % 10 == 0:
+            assert base == brute(text)
+            pii.redacted(text)
