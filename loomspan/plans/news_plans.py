@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomspan.functions.text import ABBREVIATIONS, clean_text, concat_text
 from loomspan.operators import sentiment
@@ -187,8 +188,12 @@ def event_stream(spark, sf):
     width = (last - first) // PARTS + 1 if first is not None else 1
     part = F.coalesce(F.floor((micros - F.lit(first or 0)) / F.lit(width)), F.lit(PARTS - 1))
 
+    parts = run_dir(spark, "stream-events-parts")
+    events.withColumn("_part", part).write.partitionBy("_part").parquet(parts)  # one scan; an arrival reads its own folder
+
     def arrival(number):
-        return lambda: events.where(part == number).write.mode("append").parquet(path)
+        mine = spark.read.schema(T.StructType([*events.schema.fields, T.StructField("_part", T.LongType())])).parquet(parts)
+        return lambda: mine.where(F.col("_part") == number).drop("_part").write.mode("append").parquet(path)
 
     events.limit(0).write.parquet(path)
     stream = streams.read_file_stream(spark, path, events.schema, None).withColumn("ts", F.col("ts").cast("timestamp"))

@@ -64,16 +64,21 @@ def read_file_stream(spark: SparkSession, path: str, schema: T.StructType, per_t
     return (reader if per_trigger is None else reader.option("maxFilesPerTrigger", per_trigger)).parquet(path)
 
 
-def drain(stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over everything available into the shared work folder and return the written rows."""
+def drain(stream: DataFrame, label: str, arrivals: Sequence[Callable[[], None]] = ()) -> DataFrame:
+    """Run a stream over everything available into the shared work folder and return the written rows.
+
+    Arrivals write files one after the other; after each the stream is started anew and goes on from its checkpoint.
+    """
     spark = stream.sparkSession
     base = run_dir(spark, label)
     out, mark = os.path.join(base, "rows"), os.path.join(base, "checkpoint")
-    query = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", out)
-        .option("checkpointLocation", mark).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    for arrive in arrivals or (lambda: None,):
+        arrive()
+        query = (
+            stream.writeStream.format("parquet").outputMode("append").option("path", out)
+            .option("checkpointLocation", mark).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
