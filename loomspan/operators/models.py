@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.stat import Correlation
+from pyspark.ml.linalg import DenseVector, Vectors
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.functions.expr import corr, finite
+from loomspan.operators import gram
 from loomspan.operators.evaluate import hit
-from loomspan.operators.stats import pair_stats
 from loomspan.session import materialise
 
 NOISE = 5e-5  # residual spread, relative to the column's, that rounding in a correlation can hide
@@ -22,64 +24,38 @@ def assemble(df: DataFrame, columns: list[str], out: str = "features") -> DataFr
     return VectorAssembler(inputCols=columns, outputCol=out, handleInvalid="skip").transform(df)
 
 
-def _candidate_pairs(df: DataFrame, columns: list[str], with_nulls: set[str], spread: dict[str, float],
-                     allowed: dict[str, float]) -> list[tuple[str, str]]:
-    """Column pairs whose largest residual can stay below what is allowed for the later column.
-
-    The root mean square residual, spread * sqrt(1 - r^2), is at most the largest one, so no pair that passes the
-    residual test is left out. Complete columns need one pass (a Gram matrix); columns with missing values are
-    paired by pairwise-complete aggregates."""
-    complete = [c for c in columns if c not in with_nulls]
-    found: set[tuple[str, str]] = set()
-
-    def close(r: float | None, later: str) -> bool:
-        return r is not None and spread[later] * math.sqrt(max(0.0, 1.0 - r * r)) <= allowed[later] + NOISE * spread[later]
-
-    if len(complete) > 1:
-        matrix = Correlation.corr(assemble(df.select(*complete), complete), "features").head()[0].toArray()
-        found |= {(a, b) for i, a in enumerate(complete) for j, b in enumerate(complete)
-                  if i < j and close(float(matrix[i, j]), b)}
-    if with_nulls:
-        for r in pair_stats(df, columns, {"c": corr}).where(F.col("c").isNotNull()).collect():
-            a, b = sorted((r["asset_i"], r["asset_j"]), key=columns.index)
-            if {a, b} & with_nulls and close(r["c"], b):
-                found.add((a, b))
-    return sorted(found, key=lambda ab: (columns.index(ab[0]), columns.index(ab[1])))
-
-
 def collinearity_filter(df: DataFrame, columns: list[str], tol: float = 1e-8, min_rows: int = 10) -> list[str]:
     """Keep a column unless it is an exact affine function of one kept column, in the given order.
 
-    Constant columns and columns with fewer than min_rows finite values stay. The data side is three
-    aggregates over all rows (spread, correlations, largest residual of the shortlisted pairs);
-    only column names and their statistics reach the driver.
+    Exact: the largest residual of the fit, relative to the column's largest value (1 at least), is under tol, on the
+    rows where both have a finite value. Constant columns and columns with fewer than min_rows finite values stay. The data side
+    is a pass for the moments, one for the products of all pairs in tiles, and two for each round of candidates; a column's
+    first candidate decides it unless that one has itself been dropped without being its equal.
     """
-    data = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in columns])
-    stats = data.agg(F.count("*").alias("_rows"), *[
-        e for c in columns for e in (F.count(c).alias(f"n_{c}"), F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"),
-                                  F.stddev_pop(c).alias(f"sd_{c}"))
-    ]).head().asDict()
-    usable = [c for c in columns if stats[f"n_{c}"] >= min_rows and stats[f"lo_{c}"] < stats[f"hi_{c}"]]
-    partial = {c for c in usable if stats[f"n_{c}"] < stats["_rows"]}
-    spread = {c: stats[f"sd_{c}"] for c in usable}
-    allowed = {c: tol * max(1.0, abs(stats[f"lo_{c}"]), abs(stats[f"hi_{c}"])) for c in usable}
-    pairs = _candidate_pairs(data, usable, partial, spread, allowed) if len(usable) > 1 else []
-    if not pairs:
-        return list(columns)
-    fits = data.agg(*[e for i, (a, b) in enumerate(pairs) for e in (
-        F.regr_slope(b, a).alias(f"s{i}"), F.regr_intercept(b, a).alias(f"i{i}"), F.regr_count(b, a).alias(f"n{i}"))]
-    ).head()
-    worst = data.agg(*[e for i, (a, b) in enumerate(pairs) for e in (
-        F.max(F.abs(F.col(b) - (F.col(a) * F.lit(fits[f"s{i}"]) + F.lit(fits[f"i{i}"])))).alias(f"r{i}"),
-        F.max(F.when(F.col(a).isNotNull(), F.abs(b))).alias(f"m{i}"))]).head()
-    exact = {(a, b) for i, (a, b) in enumerate(pairs)
-             if fits[f"n{i}"] >= min_rows and worst[f"r{i}"] is not None
-             and worst[f"r{i}"] / max(1.0, worst[f"m{i}"]) < tol}
-    kept: list[str] = []
-    for c in columns:
-        if not any((k, c) in exact for k in kept):
-            kept.append(c)
-    return kept
+    if not columns:
+        return []
+    of = gram.moments(df, columns)
+    usable = (of.n >= min_rows) & (of.low < of.high)
+    largest = np.maximum(1.0, np.maximum(np.abs(of.low), np.abs(of.high)))
+    bound = np.where(usable, tol * largest + NOISE * of.sd, -1.0)  # the mean residual is at most the largest one
+    candidates = {j: [i for i in found if usable[i]] for j, found in gram.close_pairs(df, columns, of, bound, min_rows).items()}
+    exact: dict[tuple[int, int], bool] = {}
+    while True:
+        dropped: set[int] = set()
+        ask = []
+        for j in range(len(columns)):
+            for i in candidates.get(j, []):
+                if i in dropped:
+                    continue
+                if (i, j) not in exact:
+                    ask.append((i, j))
+                if exact.get((i, j), True):  # taken for its equal until the residuals say otherwise
+                    dropped.add(j)
+                    break
+        if not ask:
+            return [c for j, c in enumerate(columns) if j not in dropped]
+        worst, size = gram.residuals(df, columns, of, ask)
+        exact |= {pair: bool(w / max(1.0, s) < tol) for pair, w, s in zip(ask, worst, size, strict=True)}
 
 
 def standard_scale(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
@@ -92,16 +68,39 @@ def standard_scale(df: DataFrame, columns: list[str], train: Column) -> DataFram
     return held.withColumns({c: (F.col(c) - F.col("_f")[f"m_{c}"]) / spread[c] for c in columns}).drop("_f")
 
 
-def fit_ridge(train: DataFrame, columns: list[str], alpha: float = 1.0, label: str = "Target"):
-    """Closed-form ridge regression with an unpenalised intercept.
+@dataclass
+class Ridge:
+    """Coefficients of the columns as they are, and the intercept."""
+
+    columns: list[str]
+    coefficients: DenseVector
+    intercept: float
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        terms = [F.col(c) * float(w) for c, w in zip(self.columns, self.coefficients.toArray(), strict=True)]
+        return df.withColumn("prediction", sum(terms, F.lit(self.intercept)))
 
-    Spark scales the label by its population deviation in the normal solver, so the penalty alpha of the
-    sum-of-squares form is alpha / n * deviation.
-    """
-    s = train.agg(F.count("*").alias("n"), F.stddev_pop(label).alias("sd")).head()
-    lr = LinearRegression(labelCol=label, featuresCol="features", elasticNetParam=0.0, standardization=False,
-                          solver="normal", regParam=alpha / s["n"] * s["sd"])
-    return lr.fit(assemble(train, columns))
+
+def _solve(total: np.ndarray, shift: np.ndarray, scale: np.ndarray, alpha: float, standardise: bool) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept from Z'Z of Z = [1, x, y] in shifted and scaled units; the intercept carries no penalty."""
+    n, sums, cross = total[0, 0], total[0, 1:], total[1:, 1:]
+    mean = sums / n
+    c = cross - n * np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(c)[:-1] / n, 0.0))
+    d = np.where(sd > 1e-12, 1.0 / np.maximum(sd, 1e-12), 1.0) if standardise else scale[:-1]  # units of the penalty
+    w = np.linalg.lstsq(c[:-1, :-1] * np.outer(d, d) + alpha * np.eye(len(d)), c[:-1, -1] * d * scale[-1], rcond=None)[0] * d / scale[:-1]
+    centre = shift + mean * scale
+    return w, float(centre[-1] - w @ centre[:-1])
+
+
+def fit_ridge(train: DataFrame, columns: list[str], alpha: float = 1.0, label: str = "Target") -> Ridge:
+    """Ridge regression with an unpenalised intercept, from the normal equations of one pass; incomplete rows take no part."""
+    rows = train.select(*columns, label).dropna()
+    of = gram.moments(rows, [*columns, label])
+    shift, scale = of.mean, np.where(of.sd > 0, of.sd, 1.0)
+    total = gram.products(rows, [], [*columns, label], shift, scale)[()]
+    w, level = _solve(total, shift, scale, alpha, standardise=False)
+    return Ridge(list(columns), Vectors.dense(w), level)
 
 
 def fit_forest(train: DataFrame, columns: list[str], label: str = "Target", trees: int = 20, depth: int = 5,
@@ -120,24 +119,60 @@ FITTERS = {"Ridge": fit_ridge, "RandomForest": fit_forest, "GradientBoosting": f
 
 
 def predict(model, df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    return model.transform(assemble(df, columns)).withColumnRenamed("prediction", "Predicted_Return").drop(
-        "features").withColumn("Model", F.lit(name))
+    made = model.transform(df.dropna(subset=columns) if isinstance(model, Ridge) else assemble(df, columns))
+    return made.withColumnRenamed("prediction", "Predicted_Return").drop("features").withColumn("Model", F.lit(name))
+
+
+def ridge_search(folds: DataFrame, columns: list[str], alphas: list[float], label: str = "Target") -> list[list[float]]:
+    """Validation error of every alpha (outer) in every fold (inner), columns scaled by the train rows of the fold.
+
+    A pass for the moments, one for the normal equations of all folds, from which every alpha is solved, and one for the errors
+    of all forecasts; folds x columns squared numbers reach the driver.
+    """
+    rows = folds.select("Fold", "Role", *columns, label).dropna()
+    of = gram.moments(rows, [*columns, label])
+    shift, scale = of.mean, np.where(of.sd > 0, of.sd, 1.0)
+    totals = gram.products(rows.where("Role = 'train'"), ["Fold"], [*columns, label], shift, scale)
+    solved = {}
+    for (fold,), total in totals.items():
+        found = [_solve(total, shift, scale, alpha, standardise=True) for alpha in alphas]
+        solved[fold] = np.stack([w for w, _ in found], axis=1), np.array([b for _, b in found])
+    sent = folds.sparkSession.sparkContext.broadcast(solved)
+
+    def errors(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            fold, x = np.array(batch.column(0)), gram.matrix(batch, 1)
+            for k in np.unique(fold).tolist():
+                part = x[fold == k]
+                w, b = sent.value[k]
+                off = np.abs(part[:, -1:] - (part[:, :-1] @ w + b)).sum(axis=0)
+                held[k] = held.get(k, 0.0) + np.append(off, len(part))
+        for k, total in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(total), pa.int32()), pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["fold", "place", "total"])
+
+    checked = rows.where("Role = 'validate'").select(F.col("Fold").cast("int"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate([*columns, label])])
+    found = {(r["fold"], r["place"]): r["total"] for r in checked.mapInArrow(errors, "fold int, place int, total double").groupBy("fold", "place").agg(F.sum("total").alias("total")).collect()}
+    ids = sorted({k for k, _ in found})
+    return [[found[k, a] / found[k, len(alphas)] for k in ids] for a in range(len(alphas))]
 
 
 def walk_forward_search(folds: DataFrame, columns: list[str], name: str, grid: list[dict], label: str = "Target") -> list[dict]:
-    """Mean validation error of each parameter set; the scaler is fitted and the rows are written once per fold.
+    """Mean validation error of each parameter set, columns scaled by the train rows of a fold. Sorted by error, best first.
 
-    `folds` has Fold and Role per row; the loop is over the few (fold, parameter set) pairs, each fit
-    is a distributed job. Sorted by error, best first.
+    `folds` has Fold and Role per row. All alphas of a ridge come from one pass; for trees the rows of a fold are scaled and written
+    once and the loop is over the few (fold, parameter set) pairs, each a distributed fit.
     """
-    ids = sorted(r["Fold"] for r in folds.select("Fold").distinct().collect())
-    errors: list[list[float]] = [[] for _ in grid]
-    for k in ids:
-        part = materialise(standard_scale(folds.where(F.col("Fold") == k), columns, F.col("Role") == "train"), "fold")
-        for of, params in zip(errors, grid, strict=True):
-            model = FITTERS[name](part.where("Role = 'train'"), columns, label=label, **params)
-            scored = predict(model, part.where("Role = 'validate'"), columns, name)
-            of.append(scored.agg(F.avg(F.abs(F.col(label) - F.col("Predicted_Return")))).head()[0])
+    if name == "Ridge":
+        errors = ridge_search(folds, columns, [p["alpha"] for p in grid], label)
+    else:
+        errors = [[] for _ in grid]
+        for k in sorted(r["Fold"] for r in folds.select("Fold").distinct().collect()):
+            part = materialise(standard_scale(folds.where(F.col("Fold") == k), columns, F.col("Role") == "train"), "fold")
+            for of, params in zip(errors, grid, strict=True):
+                model = FITTERS[name](part.where("Role = 'train'"), columns, label=label, **params)
+                scored = predict(model, part.where("Role = 'validate'"), columns, name)
+                of.append(scored.agg(F.avg(F.abs(F.col(label) - F.col("Predicted_Return")))).head()[0])
     log = [{"params": p, "fold_mae": e, "mean_mae": sum(e) / len(e)} for p, e in zip(grid, errors, strict=True)]
     return sorted(log, key=lambda e: e["mean_mae"])
 

@@ -689,9 +689,45 @@ def _fitted(spark, sf, name, **params):
     return evaluate.regression_metrics(scored_rows)
 
 
-@query("ridge_fit")
-def _(spark, sf):
-    return _fitted(spark, sf, "Ridge", alpha=1.0)
+def _normal_equations(rows: str, alphas: list[float], standard: str) -> str:
+    """CTEs of the ridge solutions per (Fold, alpha) over the rows (Fold, i, Role, x LIST, y): w, in units of the columns.
+
+    z holds the train rows centred and scaled, gm their products, and a recursion eliminates column after column.
+    """
+    p = len(MODEL_COLS)
+    return f"""mom AS (SELECT Fold, j, avg(x[j]) AS mu, {standard} AS sd FROM {rows}, range(1, {p + 1}) t(j) WHERE Role = 'train' GROUP BY Fold, j),
+ my AS (SELECT Fold, avg(y) AS my FROM {rows} WHERE Role = 'train' GROUP BY Fold),
+ z AS (SELECT r.Fold, r.i, m.j, (x[m.j] - mu) / sd AS v, y - my AS yc FROM {rows} r JOIN mom m ON m.Fold = r.Fold JOIN my ON my.Fold = r.Fold WHERE Role = 'train'),
+ gm AS (SELECT a.Fold, a.j, b.j AS k, sum(a.v * b.v) AS s FROM z a JOIN z b ON a.Fold = b.Fold AND a.i = b.i GROUP BY 1, 2, 3),
+ gy AS (SELECT Fold, j, sum(v * yc) AS s FROM z GROUP BY Fold, j),
+ rw AS (SELECT gm.Fold, alpha, gm.j, list_append(list(gm.s + CASE WHEN j = k THEN alpha ELSE 0 END ORDER BY k), any_value(gy.s)) AS r
+  FROM gm JOIN gy USING (Fold, j), (VALUES {', '.join(f'({x}::DOUBLE)' for x in alphas)}) t(alpha) GROUP BY gm.Fold, alpha, gm.j),
+ el AS (SELECT Fold, alpha, 1 AS k, list(r ORDER BY j) AS m FROM rw GROUP BY Fold, alpha
+  UNION ALL SELECT Fold, alpha, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / r[k])
+   ELSE list_transform(r, lambda v, c: v - r[k] * m[k][c] / m[k][k]) END) FROM el WHERE k <= {p}),
+ w AS (SELECT el.Fold, alpha, list(m[j][{p + 1}] / sd ORDER BY j) AS w, any_value(my) - sum(m[j][{p + 1}] / sd * mu) AS b
+  FROM el JOIN mom ON mom.Fold = el.Fold JOIN my ON my.Fold = el.Fold WHERE k = {p + 1} GROUP BY el.Fold, alpha)"""
+
+
+MODEL_SQL = f"""WITH RECURSIVE {BARS}, f0 AS (SELECT *, {LP} - lag({LP}) OVER ({SERIES}) AS r1, {LP} - lag({LP}, 5) OVER ({SERIES}) AS r5,
+  AdjClose / nullif({roll('avg', 'AdjClose', 20)}, 0) AS ps, (Volume - {roll('avg', 'Volume', 21)}) / nullif({roll('stddev_samp', 'Volume', 21)}, 0) AS vz,
+  lead({LP}) OVER ({SERIES}) - {LP} AS y FROM fx_bars),
+ f1 AS (SELECT *, {roll('stddev_samp', 'r1', 21)} * sqrt(252) AS vo FROM f0),
+ f2 AS (SELECT Date, Ticker, AdjClose, [r1, r5, ps, vo, vz] AS x, y FROM f1 WHERE r1 IS NOT NULL AND r5 IS NOT NULL AND ps IS NOT NULL AND vo IS NOT NULL AND vz IS NOT NULL AND y IS NOT NULL),
+ dn AS (SELECT Date, row_number() OVER (ORDER BY Date) - 1 AS di, count(*) OVER () AS nd FROM (SELECT DISTINCT Date FROM f2)),
+ ro AS (SELECT f2.*, CASE WHEN di < floor(nd * 7e-1) THEN 'train' WHEN di < floor(nd * 7e-1) + floor(nd * 15e-2) THEN 'val' ELSE 'test' END AS Split FROM f2 JOIN dn USING (Date)),"""
+
+
+@query("ridge_fit", MODEL_SQL + f""" sc AS (SELECT avg(x[1]) AS m1, avg(x[2]) AS m2, avg(x[3]) AS m3, avg(x[4]) AS m4, avg(x[5]) AS m5,
+  stddev_pop(x[1]) AS s1, stddev_pop(x[2]) AS s2, stddev_pop(x[3]) AS s3, stddev_pop(x[4]) AS s4, stddev_pop(x[5]) AS s5 FROM ro WHERE Split = 'train'),
+ nr AS (SELECT 0 AS Fold, row_number() OVER () AS i, Split AS Role, AdjClose,
+  [(x[1] - m1) / s1, (x[2] - m2) / s2, (x[3] - m3) / s3, (x[4] - m4) / s4, (x[5] - m5) / s5] AS x, y FROM ro, sc),
+ {_normal_equations('nr', [1.0], '1e0')},
+ pr AS (SELECT AdjClose, y, b + list_sum(list_transform(x, lambda v, j: v * w[j])) AS p FROM nr, w WHERE Role = 'test'),
+ mt AS (SELECT {metric_sql('y', 'p')} FROM pr)
+ SELECT 'Ridge' AS Model, N, {gcols(METRICS)} FROM mt""")
+def _(spark, sf):
+    return publish(_fitted(spark, sf, "Ridge", alpha=1.0), ["Model", "N"], METRICS)
 
 
 @query("forest_fit")
@@ -704,11 +740,18 @@ def _(spark, sf):
     return _fitted(spark, sf, "GradientBoosting", rounds=8, depth=3)
 
 
-@query("walk_forward_search")
+@query("walk_forward_search", MODEL_SQL + f""" tr AS (SELECT x, y, row_number() OVER (ORDER BY Date, Ticker) - 1 AS i, count(*) OVER () AS n FROM ro WHERE Split = 'train'),
+ kk AS (SELECT *, greatest(2, least(5, greatest(2, n // 400))) AS k FROM tr), ts AS (SELECT *, greatest(500, n // (k + 2)) AS t FROM kk),
+ fo AS (SELECT Fold, i, x, y, CASE WHEN i < n - (k - Fold) * t THEN 'train' WHEN i < n - (k - Fold) * t + t THEN 'validate' END AS Role FROM ts, range(5) q(Fold) WHERE Fold < k),
+ nr AS (SELECT * FROM fo WHERE Role IS NOT NULL),
+ {_normal_equations('nr', RIDGE_GRID['alpha'], 'stddev_pop(x[j])')},
+ er AS (SELECT w.Fold, alpha, avg(abs(y - b - list_sum(list_transform(x, lambda v, j: v * w[j])))) AS mae FROM nr JOIN w ON w.Fold = nr.Fold WHERE Role = 'validate' GROUP BY w.Fold, alpha)
+ SELECT alpha, {g('avg(mae)', 9)} AS mean_mae FROM er GROUP BY alpha""")
 def _(spark, sf):
     rows = materialise(labels.walk_forward_folds(model_rows(spark, sf).where("Split = 'train'"), n_splits=5, group_bound=6), "folds")
     log = models.walk_forward_search(rows, MODEL_COLS, "Ridge", labels.parameter_grid(RIDGE_GRID))
-    return spark.createDataFrame([(e["params"]["alpha"], e["mean_mae"]) for e in log], "alpha double, mean_mae double")
+    out = spark.createDataFrame([(e["params"]["alpha"], e["mean_mae"]) for e in log], "alpha double, mean_mae double")
+    return publish(out, ["alpha"], ["mean_mae"], {"mean_mae": 9})
 
 
 @query("ablation")
