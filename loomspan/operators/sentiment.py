@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomspan.config import SentimentConfig
 from loomspan.functions.expr import div
@@ -88,31 +86,94 @@ def lexicon_polarity(news: DataFrame, lexicon: DataFrame, key: str = "ArticleId"
         key, (s / F.sqrt(s * s + LEXICON_ALPHA)).alias("Sentiment_VADER"))
 
 
+RULES_LIMIT = 10_000
+
+
+def lexicon_scored(news: DataFrame, lexicon: DataFrame, rules: DataFrame, key: str = "ArticleId", text: str = "Text",
+                   reach: tuple[float, ...] = (1.0, 0.95, 0.9)) -> DataFrame:
+    """(key, Score): lexicon score with negation, boosters and contrast, as an automaton over the tokens of a text.
+
+    `rules` has (token, kind, weight), kind one of negation, booster, contrast. A valence is raised by the weights of boosters
+    among the len(reach) tokens before it, each times the reach of its distance and away from zero, then multiplied by the weight
+    of every negation among them. Behind the first contrast token of a text valences count its weight times, before it
+    2 - weight times. The sum s gives s / sqrt(s^2 + 15); no token of the lexicon gives 0.
+
+    The rules are a small table (RULES_LIMIT rows at most, else an error) and become sets inside the expression. What a token's
+    neighbours do to it is worked out on the arrays of a text, so tokens are exploded once, with two numbers, counted per key and
+    joined with the lexicon; a hot token is a row per text and needs no window.
+    """
+    known = rules.limit(RULES_LIMIT + 1).collect()
+    if len(known) > RULES_LIMIT:
+        raise ValueError(f"more than {RULES_LIMIT} rules")
+    of = {kind: {r["token"]: float(r["weight"]) for r in known if r["kind"] == kind} for kind in ("negation", "booster", "contrast")}
+
+    def weight(kind: str, t: Column, other: float) -> Column:
+        by: dict[float, list[str]] = {}
+        for token, w in of[kind].items():
+            by.setdefault(w, []).append(token)
+        out = F.lit(other)
+        for w, some in sorted(by.items()):
+            out = F.when(t.isin(some), w).otherwise(out)
+        return out
+
+    n = len(reach)
+    words = news.select(key, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("_t"))
+    marked = words.withColumns({
+        "_no": F.transform("_t", lambda t: weight("negation", t, 1.0)),
+        "_up": F.transform("_t", lambda t: weight("booster", t, 0.0)),
+        "_turn": F.transform("_t", lambda t: weight("contrast", t, 0.0)),
+    })
+    first = F.array_position(F.transform("_turn", lambda w: w > 0), True)  # 1-based, 0 without any
+    turn = marked.withColumn("_at", first).withColumn("_w", F.when(F.col("_at") > 0, F.get("_turn", (F.col("_at") - 1).cast("int"))))
+
+    def neighbours(t: Column, i: Column) -> Column:
+        no, up = F.lit(1.0), F.lit(0.0)
+        for d, r in enumerate(reach, 1):
+            no = no * F.when(i >= d, F.get("_no", i - d)).otherwise(1.0)
+            up = up + F.when(i >= d, F.get("_up", i - d) * r).otherwise(0.0)
+        side = F.when(F.col("_w").isNull(), 1.0).when(i + 1 < F.col("_at"), 2.0 - F.col("_w")).when(i + 1 > F.col("_at"), F.col("_w")).otherwise(1.0)
+        return F.struct(t.alias("token"), (no * side).alias("times"), up.alias("up"))
+
+    rows = turn.select(key, F.explode_outer(F.transform("_t", neighbours)).alias("_x")).groupBy(key, "_x").agg(F.count("*").alias("_c"))
+    matched = rows.select(key, "_x.*", "_c").join(lexicon.select("token", "valence"), "token", "left")
+    value = F.when(F.col("valence") != 0, (F.col("valence") + F.signum("valence") * F.col("up")) * F.col("times") * F.col("_c"))
+    s = F.col("_s")
+    return matched.groupBy(key).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_s")).select(key, (s / F.sqrt(s * s + LEXICON_ALPHA)).alias("Score"))
+
+
 def label_polarity(label: Column, score: Column) -> Column:
     """Sign of the label times its score; unknown or missing labels count 0."""
     sign = F.create_map(*[F.lit(x) for kv in LABEL_SIGN.items() for x in kv])
     return F.coalesce(F.try_element_at(sign, F.coalesce(label, F.lit(""))), F.lit(0.0)) * F.coalesce(score, F.lit(0.0))
 
 
-def batch_scorer(score: Callable[[list[str]], list[float]], batch_size: int = 32):
-    """Vectorised column function around a user-supplied batch text scorer; a failing batch scores 0."""
+def scored_batches(score: Callable[[list[str]], list[float]], batch_size: int = 32):
+    """Column function around a user's batch scorer: a struct of the score and whether it could be given.
 
-    @F.pandas_udf(T.DoubleType())
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = np.zeros(len(texts))
-            values = texts.fillna("").tolist()
-            for i in range(0, len(values), batch_size):
-                part = values[i:i + batch_size]
-                try:
-                    out[i:i + len(part)] = score(part)
-                except Exception:  # noqa: BLE001 - a scorer failure must not lose the other batches
-                    continue
-            yield pd.Series(out)
+    Texts go to the scorer in batches of at most batch_size; a batch on which it raises scores 0 and has scored = false, so failures
+    can be counted (F.count_if(~column.scored)).
+    """
+    def attempt(part: list[str]) -> tuple[list[float], bool]:
+        try:
+            return [float(v) for v in score(part)], True
+        except Exception:  # noqa: BLE001 - whatever the user's scorer raises; the rows say so
+            return [0.0] * len(part), False
+
+    @F.pandas_udf("score double, scored boolean")
+    def scored(texts: pd.Series) -> pd.DataFrame:
+        values = texts.fillna("").tolist()
+        parts = [attempt(values[i:i + batch_size]) for i in range(0, len(values), batch_size)]
+        return pd.DataFrame({"score": [v for given, _ in parts for v in given], "scored": [fine for given, fine in parts for _ in given]})
 
     return scored
 
 
+def batch_scorer(score: Callable[[list[str]], list[float]], batch_size: int = 32) -> Callable[[Column], Column]:
+    """The score alone of scored_batches; a failing batch scores 0."""
+    scored = scored_batches(score, batch_size)
+    return lambda text: scored(text)["score"]
+
+
 def aggregate_daily(scored: DataFrame, cfg: SentimentConfig = SentimentConfig()) -> DataFrame:
     """(Date, Ticker): mean scores, volume, momentum over news days, average volume and spike.
 

@@ -82,6 +82,25 @@ def _(spark, sf):
     return publish(sentiment.lexicon_polarity(articles(spark, sf), fx.lexicon(spark)), ["ArticleId"], ["Sentiment_VADER"])
 
 
+RULE_SQL = "ru AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{k}', CAST('{w}' AS DOUBLE))" for t, k, w in fx.RULES) + ") l(token, kind, weight))"
+LEARNED = r"""le AS (SELECT token, 2 * ln((sum(quality) + 1e0) / (sum(toxic) + 1e0)) AS valence
+ FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM documents) JOIN labels USING (doc_id) GROUP BY token HAVING count(*) >= 3)"""
+
+
+@query("lexicon_scored", NEWS_TEXT + f", {RULE_SQL}, {LEARNED}, " + r"""t0 AS (SELECT ArticleId, regexp_extract_all(lower(Text), '[\p{L}\p{N}]+') AS w FROM articles),
+ t1 AS (SELECT ArticleId, unnest(w) AS token, unnest(generate_series(1, len(w))) AS i FROM t0),
+ t2 AS (SELECT t1.*, coalesce(n.weight, 1) AS no, coalesce(b.weight, 0) AS up, c.weight AS turn FROM t1 LEFT JOIN ru n ON n.token = t1.token AND n.kind = 'negation'
+  LEFT JOIN ru b ON b.token = t1.token AND b.kind = 'booster' LEFT JOIN ru c ON c.token = t1.token AND c.kind = 'contrast'),
+ t3 AS (SELECT ArticleId, i, token, lag(no, 1, 1) OVER w * lag(no, 2, 1) OVER w * lag(no, 3, 1) OVER w AS no,
+  lag(up, 1, 0) OVER w + 95e-2 * lag(up, 2, 0) OVER w + 9e-1 * lag(up, 3, 0) OVER w AS up FROM t2 WINDOW w AS (PARTITION BY ArticleId ORDER BY i)),
+ ct AS (SELECT ArticleId, min(i) AS ta, arg_min(turn, i) AS tw FROM t2 WHERE turn IS NOT NULL GROUP BY ArticleId),
+ sm AS (SELECT t3.ArticleId, sum((valence + sign(valence) * up) * no * CASE WHEN ta IS NULL OR i = ta THEN 1 WHEN i < ta THEN 2 - tw ELSE tw END) AS s
+  FROM t3 JOIN le ON le.token = t3.token AND valence <> 0 LEFT JOIN ct ON ct.ArticleId = t3.ArticleId GROUP BY t3.ArticleId)""" + f"""
+ SELECT a.ArticleId, {g('coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0) + 15)')} AS Score FROM (SELECT DISTINCT ArticleId FROM articles) a LEFT JOIN sm ON sm.ArticleId = a.ArticleId""")
+def _(spark, sf):
+    return publish(sentiment.lexicon_scored(articles(spark, sf), fx.learned_lexicon(spark, sf), fx.rules(spark)), ["ArticleId"], ["Score"])
+
+
 def lexicon_scorer(texts: list[str]) -> list[float]:
     """Stand-in for a user's batch scorer: the lexicon score of each text."""
     valence = dict(fx.LEXICON)

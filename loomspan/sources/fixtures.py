@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomspan.config import EngineConfig, PortfolioConfig
 from loomspan.functions.expr import by_series
+from loomspan.functions.text import tokens
 from loomspan.sources.readers import spread, table
 
 BARS_CONFIG = EngineConfig(universe=("AF", "AO", "NF", "RF"), benchmark="NO", volatility_index="RO",
@@ -25,6 +26,11 @@ LEXICON = (
     ("die", -1.9), ("das", 1.1), ("que", -0.4), ("los", 0.7), ("las", -1.3), ("por", 1.5),
     ("never", -1.0), ("good", 1.9), ("bad", -2.5),
 )
+# Test rules of the lexicon automaton.
+RULES = tuple([(t, "negation", -0.74) for t in ("not", "no", "never", "nicht", "pas", "non")]
+              + [(t, "booster", 0.293) for t in ("more", "very", "as", "zu", "par")]
+              + [(t, "booster", -0.293) for t in ("at", "auf", "sur")]
+              + [(t, "contrast", 1.5) for t in ("but", "aber", "mais", "pero", "than")])
 # Portfolio weights used by the weight operators.
 TARGET_WEIGHTS = (("AF", 0.4), ("AO", 0.3), ("NF", 0.2), ("RF", 0.1))
 
@@ -195,6 +201,18 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LEXICON), "token string, valence double")
 
 
+def learned_lexicon(spark: SparkSession, sf_dir: str, least: int = 3) -> DataFrame:
+    """Valences from labelled documents: twice the log odds of good against toxic documents for every token in at least three of them."""
+    seen = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    counts = seen.distinct().join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id").groupBy("token").agg(
+        F.count("*").alias("n"), F.sum("quality").alias("good"), F.sum("toxic").alias("bad"))
+    return counts.where(F.col("n") >= least).select("token", (2.0 * F.ln((F.col("good") + 1.0) / (F.col("bad") + 1.0))).alias("valence"))
+
+
+def rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(RULES), "token string, kind string, weight double")
+
+
 def weights(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, w, 0.25) for a, w in TARGET_WEIGHTS],
                                  "Ticker string, Target_Weight double, Current_Weight double")
