@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import binary_rows, is_held_out, map_batches, may_learn, read
@@ -64,19 +64,42 @@ def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, values / norm if norm > 0 else values
 
 
-def cluster(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+class Rows:
+    """Sparse vectors laid end to end: places, values and where each vector starts; none is empty."""
+
+    def __init__(self, places: list[np.ndarray], values: list[np.ndarray]):
+        self.starts = np.cumsum([0, *map(len, places)])
+        self.places, self.values = np.concatenate(places), np.concatenate(values).astype(np.float64)
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def dots(self, centroids: np.ndarray) -> np.ndarray:
+        """Products of every vector with every centroid."""
+        return np.stack([np.add.reduceat(self.values * c[self.places], self.starts[:-1]) for c in centroids], axis=1)
+
+    def total(self, chosen: np.ndarray) -> np.ndarray:
+        """Dense sum of the vectors that are chosen."""
+        use = np.repeat(chosen, np.diff(self.starts))
+        return np.bincount(self.places[use], self.values[use], BUCKETS)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+
+
+def cluster(vectors: Rows, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit centroids by spherical k-means, and the cosine of each text with its own; starts at texts far apart."""
-    chosen = [vectors.sum(axis=0)]
-    while len(chosen) < k:
-        near = np.max(vectors @ np.stack([c / max(np.linalg.norm(c), 1e-12) for c in chosen]).T, axis=1)
-        chosen.append(vectors[int(np.argsort(near, kind="stable")[len(near) // 10])])
-    centroids = np.stack(chosen)
+    numbers = np.arange(len(vectors))
+    centroids = _unit(vectors.total(numbers >= 0)[None])
+    while len(centroids) < k:
+        near = vectors.dots(centroids).max(axis=1)
+        far = int(np.argsort(near, kind="stable")[len(near) // 10])
+        centroids = np.concatenate([centroids, _unit(vectors.total(numbers == far)[None])])
     for _ in range(8):
-        centroids = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
-        mine = np.argmax(vectors @ centroids.T, axis=1)
-        centroids = np.stack([vectors[mine == c].sum(axis=0) if (mine == c).any() else centroids[c] for c in range(k)])
-    centroids = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
-    return centroids, (vectors @ centroids.T).max(axis=1)
+        mine = np.argmax(vectors.dots(centroids), axis=1)
+        centroids = _unit(np.stack([vectors.total(mine == c) if (mine == c).any() else centroids[c] for c in range(k)]))
+    return centroids, vectors.dots(centroids).max(axis=1)
 
 
 def length(n_grams: int) -> int:
@@ -153,22 +176,33 @@ def fit(docs: DataFrame) -> Model:
 
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[x for lang, n in counts for x in (F.lit(lang), F.lit(min(1.0, SAMPLE / n)))])
-    sample = train.where(draw < share[F.col("lang")])
+    sample = train.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")])
+
+    def vectors(batch):
+        """Texts become sparse vectors here, so that no text is moved or gathered."""
+        columns = [[] for _ in range(4)]
+        for lang, raw, order in zip(batch.column(2).to_pylist(), binary_rows(batch, "text"), batch.column(3).to_pylist(), strict=True):
+            if raw and has_letter(text := raw.decode()):
+                at, values = vector(text, idf)
+                for column, value in zip(columns, (lang, order, at.astype("<u2").tobytes(), values.astype("<f4").tobytes()), strict=True):
+                    column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.float64(), pa.binary(), pa.binary()), strict=True)],
+                                          names=["lang", "draw", "places", "entries"])
 
     def centroids(rows: pd.DataFrame) -> pd.DataFrame:
-        texts = [t for _, t in sorted(zip(rows["doc_id"], rows["text"], strict=True)) if has_letter(t)][: 2 * SAMPLE]
-        if not texts:
-            return pd.DataFrame({"lang": [], "lengths": [], "scores": [], "centroids": []})
-        lengths, vectors = np.zeros(len(texts), np.uint8), np.zeros((len(texts), BUCKETS), np.float32)
-        for i, text in enumerate(texts):
-            at, values = vector(text, idf)
-            lengths[i], vectors[i, at] = length(len(at)), values
-        found, scores = cluster(vectors, min(CLUSTERS, len(texts)))
+        rows = rows.sort_values(["draw", "places", "entries"], kind="stable")
+        places = [np.frombuffer(p, "<u2").astype(np.int32) for p in rows["places"]]
+        found, scores = cluster(Rows(places, [np.frombuffer(v, "<f4") for v in rows["entries"]]), min(CLUSTERS, len(places)))
+        lengths = np.array([length(len(p)) for p in places], np.uint8)
         return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "lengths": [lengths.tobytes()], "scores": [scores.astype("<f4").tobytes()],
                              "centroids": [found.astype("<f4").tobytes()]})
 
+    # texts drawn together, as copies are, can be many: the first 2 * SAMPLE of a language in order of the draw are fitted on
+    first = Window.partitionBy("lang").orderBy("draw", "places", "entries")
+    sparse = map_batches(sample, vectors, "lang string, draw double, places binary, entries binary", rows=256)
+    bounded = sparse.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= 2 * SAMPLE).drop("_n")
     # a row per language: one byte and one float for each sampled text beside the centroids
-    rows = sorted(sample.groupBy("lang").applyInPandas(centroids, "lang string, lengths binary, scores binary, centroids binary").collect())
+    rows = sorted(bounded.groupBy("lang").applyInPandas(centroids, "lang string, lengths binary, scores binary, centroids binary").collect())
     if not rows:
         return Model(idf, [], np.zeros((0, BUCKETS)), [])
     stacked = [np.frombuffer(bytes(r["centroids"]), "<f4").reshape(-1, BUCKETS) for r in rows]
