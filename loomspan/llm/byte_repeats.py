@@ -1,9 +1,10 @@
-"""Suffix-array dedup on UTF-8 bytes by distributed prefix doubling.
+"""Repeated byte strings, by hashed names of growing prefixes.
 
-Strings of WINDOW bytes that start more than once are found by ranks of growing prefixes: Spark groups (rank, stretch)
-pairs of positions at 100 bytes, the positions left at 200, then at offsets that halve the rest, until they are unique or
-known as repeated to the full length. A rank is a 64-bit name instead of a place in the order, since only equality counts.
-Positions are handled in runs that share one sampled rank, see repeats.py.
+Strings of WINDOW bytes that start more than once are found level by level: Spark groups (name, stretch) pairs of positions at 100 bytes,
+the positions left at 200, then at lengths that halve the rest, until they are unique or known as repeated to the full length.
+This takes the place of prefix doubling on a suffix array: a name is a 64-bit hash instead of a place in the sorted order, as only equality
+counts, and only sampled positions (anchors, see repeats.py) have rows, since rank pairs of all positions would take over ten times the
+input on disk. No (rank, rank) rows are sorted.
 """
 
 from __future__ import annotations

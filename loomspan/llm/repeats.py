@@ -174,14 +174,14 @@ def repeated_windows(docs: DataFrame, units: Units, window: int, lengths: tuple[
         later = done if later is None else later.unionByName(done)
         if not last:
             source, read = parts.join(_lists(rows), F.col("part") == F.col("_key")).select("part", "body", "runs"), runs_of_parts
-    placed = later.join(parts.select("part", "text_key", "text_start"), F.col("_key") == F.col("part")).select(
+    placed = later.join(parts.select("part", "text_key", "text_start").distinct(), F.col("_key") == F.col("part")).select(
         F.col("text_key").alias("_key"), (F.col("text_start") + F.col("start")).alias("start"), "count")
     return found.unionByName(placed)
 
 
 def _lists(runs: DataFrame) -> DataFrame:
-    """The runs of each key in one row; a key is one text or a part of one."""
-    return runs.groupBy("_key").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
+    """The runs of each key in one row; a key is one text or a part of one. Equal rows share a key and have the same runs, each kept once."""
+    return runs.groupBy("_key").agg(F.collect_set(F.struct("start", "count")).alias("runs"))
 
 
 def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:

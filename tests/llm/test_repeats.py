@@ -54,6 +54,35 @@ def test_bytes(spark, window, lengths):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((str(d), n, x, s, h) for (d, _, _), (n, x, s, h) in zip(rows, want))
 
 
+def test_characters_of_many_bytes_and_groups_of_copies(spark):
+    """Passages that begin and end inside characters, passages just under and over the window, and groups of hundreds of copies."""
+    random.seed(3)
+    letters = "aé東😀 "
+
+    def text(n):
+        return "".join(random.choice(letters) for _ in range(n))
+
+    passages = [text(n) for n in (6, 8, 9, 12, 40)]
+    texts = [text(random.randint(0, 30)) + p + text(random.randint(0, 30)) for p in passages for _ in range(4)]
+    texts += ["€" + "é東" * 9, "¢" + "é東" * 9, "©東" * 12, "ê東" * 12]  # equal last bytes of unequal characters
+    texts += [texts[0]] * 300 + [texts[-1] + "x"] * 200
+    docs = spark.createDataFrame([(i % 250, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    got = byte_repeats.remove_byte_repeats(docs, 24, (6, 12, 18, 24)).collect()
+    want = Counter((i % 250, *w) for i, w in enumerate(brute([t.encode() for t in texts], 24, bytes)))
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
+def test_many_equal_rows(spark):
+    """Rows equal in id and text share a name; the work grows with their number, not with its square."""
+    line = " ".join(f"w{i}" for i in range(400))
+    docs = spark.range(20_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", f"'{line}' AS text").union(
+        spark.createDataFrame([(1, line + " end"), (2, "other words")], "doc_id long, text string"))
+    found = word_repeats.remove_word_repeats(docs, digest_only=True).groupBy("n_words", "n_removed").count().collect()
+    assert sorted(tuple(r) for r in found) == [(2, 0, 1), (400, 400, 20_000), (401, 400, 1)]
+    found = byte_repeats.remove_byte_repeats(docs, digest_only=True).groupBy("n_removed").count().collect()
+    assert sorted(tuple(r) for r in found) == [(0, 1), (len(line), 20_001)]
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert word_repeats.remove_word_repeats(empty).count() == 0
