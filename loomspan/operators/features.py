@@ -319,10 +319,11 @@ def sequence_windows(features: DataFrame, columns: list[str], length: int, horiz
 
 def feature_table(panel: DataFrame, context: DataFrame, cross: DataFrame, sentiment: DataFrame | None,
                   cfg: EngineConfig) -> DataFrame:
-    """Universe rows: families, per-date context (broadcast: one row per session), label, sentiment, warm-up."""
+    """Universe rows: families, per-date context (broadcast: one row per session of fixed width), cross-sectional columns
+    (one row per session, as wide as the universe, so the planner chooses the join), label, sentiment, warm-up."""
     mine = panel.where(F.col("Ticker").isin(list(cfg.universe)))
     out = series_features(mine, cfg.features)
-    out = out.join(F.broadcast(context), "Date", "left").join(F.broadcast(cross), "Date", "left")
+    out = out.join(F.broadcast(context), "Date", "left").join(cross, "Date", "left")
     out = forward_target(out, cfg.target_kind, cfg.horizon)
     if sentiment is not None:
         out = out.join(sentiment, ["Date", "Ticker"], "left")

@@ -85,6 +85,15 @@ def walk_forward_folds(df: DataFrame, n_splits: int = 5, max_rows: int | None =
         "_n", "_at", "_k", "_test", "Pos", "Total")
 
 
+def feasible_folds(rows: int, wanted: int = 5) -> int:
+    """Most folds up to `wanted` that walk_forward_folds can place over so many rows: each takes 500 rows or more and the first needs rows before it."""
+    for k in range(wanted, 1, -1):
+        used = max(2, min(k, max(2, rows // 400)))
+        if used * max(500, rows // (used + 2)) < rows:
+            return k
+    raise ValueError(f"{rows} rows are too few for two folds")
+
+
 def parameter_grid(spec: dict[str, list]) -> list[dict]:
     """All combinations of a parameter spec, in the order of its keys."""
     return [dict(zip(spec, values)) for values in product(*spec.values())]

@@ -13,7 +13,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.operators import gram
+from loomspan.operators import boosting, gram
 from loomspan.operators.evaluate import hit
 from loomspan.session import materialise
 
@@ -115,11 +115,23 @@ def fit_gbt(train: DataFrame, columns: list[str], label: str = "Target", rounds:
     return model.fit(assemble(train, columns))
 
 
-FITTERS = {"Ridge": fit_ridge, "RandomForest": fit_forest, "GradientBoosting": fit_gbt}
+def fit_hist_gbt(train: DataFrame, columns: list[str], label: str = "Target", rounds: int = 400, rate: float = 0.1, depth: int = 5,
+                 subsample: float = 0.7, bins: int = 64, held_out: float = 0.15, patience: int = 20, seed: int = 42) -> boosting.Boosted:
+    """Histogram boosting that stops by the error on the last `held_out` share of the dates (0: all rounds)."""
+    valid = None
+    if held_out > 0:
+        days = train.agg(F.sort_array(F.collect_set("Date")).alias("d"))  # bounded by civil days
+        cut = days.select(F.get("d", F.floor(F.size("d") * (1.0 - held_out)).cast("int"))).head()[0]
+        valid = F.col("Date") >= F.lit(cut)
+    keys = [c for c in ("Date", "Ticker") if c in train.columns] or None
+    return boosting.fit(train, columns, label, rounds, rate, depth, subsample, bins, seed, valid, patience, keys)
+
+
+FITTERS = {"Ridge": fit_ridge, "RandomForest": fit_forest, "GradientBoosting": fit_gbt, "HistGradientBoosting": fit_hist_gbt}
 
 
 def predict(model, df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    made = model.transform(df.dropna(subset=columns) if isinstance(model, Ridge) else assemble(df, columns))
+    made = model.transform(df.dropna(subset=columns) if isinstance(model, (Ridge, boosting.Boosted)) else assemble(df, columns))
     return made.withColumnRenamed("prediction", "Predicted_Return").drop("features").withColumn("Model", F.lit(name))
 
 
@@ -178,8 +190,8 @@ def walk_forward_search(folds: DataFrame, columns: list[str], name: str, grid: l
 
 
 def ablation(df: DataFrame, base: list[str], extra: list[str], min_sessions: int = 60, train_share: float = 0.70,
-             label: str = "Target", **gbt) -> DataFrame:
-    """One row: error and direction with and without `extra` on identical rows, 70/30 by date.
+             label: str = "Target", name: str = "GradientBoosting", **params) -> DataFrame:
+    """One row: error and direction with and without `extra` on identical rows, 70/30 by date, of the model `name`.
 
     Fewer than min_sessions dates gives Status 'NOT RUN'.
     """
@@ -193,7 +205,7 @@ def ablation(df: DataFrame, base: list[str], extra: list[str], min_sessions: int
     rows = df.dropna(subset=[*base, *extra, label])
     scores = {}
     for arm, cols in (("without", base), ("with", base + extra)):
-        model = fit_gbt(rows.where(F.col("Date") < F.lit(cut)), cols, label=label, **gbt)
+        model = FITTERS[name](rows.where(F.col("Date") < F.lit(cut)), cols, label=label, **params)
         got = predict(model, rows.where(F.col("Date") >= F.lit(cut)), cols, arm)
         scores[arm] = got.agg(
             F.avg(F.abs(F.col(label) - F.col("Predicted_Return"))).alias("mae"),

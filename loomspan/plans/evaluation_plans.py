@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspan.operators import checks, evaluate, features, labels, models, portfolio, signals, stats
 from loomspan.plans.cleaning_plans import KEYS
-from loomspan.plans.feature_plans import ASSETS, CFG, FOLD_SQL, WIDE_SQL, rank_sql, wide
+from loomspan.plans.feature_plans import ASSETS, CFG, FOLD_SQL, WIDE_SQL, model_table, rank_sql, wide
 from loomspan.plans.registry import (BAR_SENTIMENT, BARS, CALM, CALM_PREDICTIONS, PREDICTIONS, SERIES, WEIGHTS, WIDE_BARS, WIDE_PREDICTIONS, g, gcols,
                                      lag, over0, publish, query, roll)
 from loomspan.session import materialise
@@ -732,12 +732,18 @@ def _(spark, sf):
 
 @query("forest_fit")
 def _(spark, sf):
-    return _fitted(spark, sf, "RandomForest", trees=10, depth=5)
+    return _fitted(spark, sf, "RandomForest", trees=150, depth=6)
 
 
 @query("gbt_fit")
 def _(spark, sf):
-    return _fitted(spark, sf, "GradientBoosting", rounds=8, depth=3)
+    return _fitted(spark, sf, "GradientBoosting", rounds=200, depth=3)
+
+
+@query("hist_gbt_fit")
+def _(spark, sf):
+    """400 rounds at most on seven tenths of the rows each; the error on the last dates of the train rows ends them."""
+    return _fitted(spark, sf, "HistGradientBoosting", rounds=400, depth=5, subsample=0.7)
 
 
 @query("walk_forward_search", MODEL_SQL + f""" tr AS (SELECT x, y, row_number() OVER (ORDER BY Date, Ticker) - 1 AS i, count(*) OVER () AS n FROM ro WHERE Split = 'train'),
@@ -757,30 +763,83 @@ def _(spark, sf):
 @query("ablation")
 def _(spark, sf):
     rows = materialise(model_rows(spark, sf).join(fx.bar_sentiment(spark, sf), KEYS), "ablation-rows")
-    return models.ablation(rows, MODEL_COLS, ["Sentiment_FinBERT"], rounds=4, depth=3)
+    return models.ablation(rows, MODEL_COLS, ["Sentiment_FinBERT"], name="HistGradientBoosting", rounds=300, rate=0.2, depth=3)
 
 
+# from features to recommendations on fitted models ------------------------------------------------------------
 
-@query("model_run")
-def _(spark, sf):
-    """All features -> split -> redundant columns dropped -> ridge search over five folds -> fits on train -> test forecasts ->
-    ensemble -> scores of every model on the test rows, best first."""
-    feats = features.series_features(fx.bars(spark, sf))
+SETTINGS = {
+    "RandomForest": {"trees": 150, "depth": 6}, "GradientBoosting": {"rounds": 200, "depth": 3},
+    "HistGradientBoosting": {"rounds": 400, "depth": 5, "subsample": 0.7},
+}
+
+
+MOST_MISSING = 0.1  # share of rows without a value, beyond which a column is left out of the models
+_FITTED: dict[tuple[str, str], tuple] = {}
+
+
+def fitted_forecasts(spark, sf):
+    """fit_all, whose written tables serve both queries of a session."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _FITTED:
+        _FITTED[key] = fit_all(spark, sf)
+    return _FITTED[key]
+
+
+def fit_all(spark, sf):
+    """Test forecasts of every model over the whole feature table, and their leaderboard.
+
+    Split -> redundant columns dropped -> ridge search over the folds -> fits on the train rows -> forecasts and their mean ->
+    scores beside the zero forecast.
+    """
+    feats = materialise(model_table(spark, sf), "model-features")
     names = sorted(features.numeric_columns(feats))
-    rows = labels.with_split(features.drop_missing(features.forward_target(feats), names))
+    total = feats.count()
+    sparse = {r["Column"] for r in features.null_report(feats, names).where(F.col("Nulls") > MOST_MISSING * total).collect()}
+    names = [c for c in names if c not in sparse]
+    rows = labels.with_split(features.drop_missing(feats, names))
     rows = materialise(rows.select(*KEYS, "AdjClose", "Split", *names, "Target"), "model-table")
     train = rows.where("Split = 'train'")
     columns = models.collinearity_filter(train, names)
-    splits = max(2, min(5, train.count() // 600 - 1))  # five, unless folds of 500 rows would leave nothing to train on
-    folds = materialise(labels.walk_forward_folds(train, n_splits=splits, group_bound=6), "model-folds")
+    folds = materialise(labels.walk_forward_folds(train, n_splits=labels.feasible_folds(train.count()), group_bound=len(CFG.universe)), "model-folds")
     best = models.walk_forward_search(folds, columns, "Ridge", labels.parameter_grid(RIDGE_GRID))[0]["params"]
     scaled = materialise(models.standard_scale(rows, columns, F.col("Split") == "train"), "model-scaled")
     test = scaled.where("Split = 'test'")
-    settings = {"Ridge": best, "RandomForest": {"trees": 150, "depth": 6}, "GradientBoosting": {"rounds": 200, "depth": 3}}
     forecasts = []
-    for name, params in settings.items():
+    for name, params in ({"Ridge": best} | SETTINGS).items():
         model = models.FITTERS[name](scaled.where("Split = 'train'"), columns, **params)
         forecasts.append(models.predict(model, test, columns, name).select(*KEYS, "AdjClose", "Model", "Predicted_Return", F.col("Target").alias("Actual_Return")))
     every = materialise(evaluate.union_blocks(forecasts), "model-forecasts")
-    mean = evaluate.ensemble_mean(every, list(settings)).select(*every.columns)
-    return evaluate.leaderboard([evaluate.regression_metrics(every.unionByName(mean))])
+    members = ["Ridge", *SETTINGS]
+    metrics = evaluate.regression_metrics(every).withColumns({"Family": F.lit("ML"), "Converged": F.lit("yes")})
+    mean = evaluate.ensemble_mean(every, members).select(*every.columns)
+    ensemble = evaluate.regression_metrics(mean).withColumns({"Family": F.lit("ML"), "Converged": F.lit("yes")})
+    base = evaluate.naive_baseline(evaluate.outcomes(every)).withColumns({
+        "Model": F.lit("Naive random walk"), "Family": F.lit(evaluate.BASELINE_FAMILY), "Converged": F.lit("yes")})
+    return every.unionByName(mean), materialise(evaluate.leaderboard([metrics, base, ensemble]), "model-board")
+
+
+@query("model_run")
+def _(spark, sf):
+    """Scores of every fitted model, their mean and the zero forecast on the test rows, best first."""
+    return fitted_forecasts(spark, sf)[1]
+
+
+@query("model_recommendations")
+def _(spark, sf):
+    """The run to its end: the declared model's forecasts give expected returns, these with shrunk covariances the weights, and
+    forecasts, sentiment and risk the recommendations, each with the declared model and what it was declared by."""
+    forecasts, table = fitted_forecasts(spark, sf)
+    panel = materialise(fx.bars(spark, sf).where(F.col("Ticker").isin(ASSETS)), "model-panel")
+    declared = evaluate.declare_best(table).select("Status", F.col("Model").alias("Declared"), "Beats_MAE").head()
+    own = forecasts.where(F.col("Model") == F.lit(declared["Declared"]))
+    returns = stats.log_returns(panel)
+    cut = forecasts.agg(F.min("Date")).head()[0]
+    past = materialise(returns.where(F.col("Date") < F.lit(cut)).groupBy("Date").pivot("Ticker", ASSETS).agg(F.max("r")).dropna(), "model-returns")
+    mu = portfolio.blended_mu(portfolio.historical_mu(past, ASSETS), portfolio.model_mu(own, PF), PF.model_weight)
+    found = portfolio.weight_search(portfolio.score_candidates(portfolio.candidate_weights(spark, ASSETS, PF), ASSETS, mu, portfolio.ledoit_wolf(past, ASSETS), PF.risk_free), ASSETS)
+    weights = found.where("Goal = 'max_sharpe'").unpivot([], [f"w_{a}" for a in ASSETS], "Ticker", "Target_Weight").select(
+        F.substring("Ticker", 3, 100).alias("Ticker"), "Target_Weight", F.lit(1.0 / len(ASSETS)).alias("Current_Weight"))
+    feats = features.series_features(panel, only=["rolling_vol"])
+    recs_ = signals.recommendations(own, feats, fx.bar_sentiment(spark, sf), weights, CFG)
+    return recs_.withColumns({"Model": F.lit(declared["Declared"]), "Status": F.lit(declared["Status"]), "Beats_MAE": F.lit(declared["Beats_MAE"])})

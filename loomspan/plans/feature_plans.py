@@ -10,7 +10,7 @@ from loomspan.operators import cleaning, context, features, labels, signals, sta
 from loomspan.operators.portfolio import drawdown_curve
 from loomspan.operators.ranking import normalise, quantiles, rank_pct
 from loomspan.plans.cleaning_plans import ASOF_SQL, CALENDAR, KEYS, SPLIT_SQL, macro_grid
-from loomspan.plans.registry import (BARS, CALM, FLAGGED, IMPUTED, RAW, SERIES, SPARSE, WIDE_BARS, aligned, g, gcols,
+from loomspan.plans.registry import (BAR_SENTIMENT, BARS, CALM, REGISTRY, FLAGGED, IMPUTED, RAW, SERIES, SPARSE, WIDE_BARS, aligned, g, gcols,
                                      lag, over0, publish, query, roll)
 from loomspan.sources import fixtures as fx
 
@@ -259,19 +259,27 @@ def _(spark, sf):
                    [*BREADTH, "Idiosyncratic_Mean", "Beta_AF", "Idiosyncratic_RF_5d"])
 
 
-TABLE_COLS = ["Return_5d", "SMA_200", "Vol_21d", "Market_Return_1d", "Yield_Spread_10Y_3M", "Universe_Breadth", "Beta_AF", "Target", "Target_Price"]
+NAME_COLS = {"Beta": "Beta_{t}", "Idiosyncratic": "Idiosyncratic_{t}", "Idiosyncratic_5d": "Idiosyncratic_{t}_5d", "Relative_Strength": "Relative_Strength_{t}"}
+CROSS_COLS = [*BREADTH, "Peer_Mean_Return_5d", "Universe_Dispersion_5d", *MOMENTS, *[n.format(t=t) for n in NAME_COLS.values() for t in CFG.universe]]
+TABLE_COLS = [*[c for f in FAMILIES.values() for c in f], *MARKET, *MACRO_COLS, *CROSS_COLS, "Sentiment_FinBERT", "Target", "Target_Price"]
+NAME_SQL = ", ".join(f"max(CASE WHEN Ticker = '{t}' THEN {c} END) AS {n.format(t=t)}" for c, n in NAME_COLS.items() for t in CFG.universe)
 
 
-@query("feature_table", MARKET_SQL + ", " + XS.removeprefix(f"WITH {BARS}, ") + f""", pv AS (SELECT Date, max(CASE WHEN Ticker = 'AF' THEN Beta END) AS Beta_AF FROM idi GROUP BY Date),
- a0 AS (SELECT *, {LP} - {lag(LP)} AS r, row_number() OVER ({SERIES}) AS rn FROM fx_bars WHERE Ticker IN ('AF','AO','NF','RF')),
- ft AS (SELECT Date, Ticker, rn, {LP} - {lag(LP, 5)} AS Return_5d, {roll('avg', 'AdjClose', 200)} AS SMA_200, {roll('stddev_samp', 'r', 21)} * {YEAR} AS Vol_21d,
-  lead({LP}) OVER ({SERIES}) - {LP} AS Target, lead(AdjClose) OVER ({SERIES}) AS Target_Price FROM a0)
- SELECT ft.Date, ft.Ticker, {gcols(TABLE_COLS)} FROM ft LEFT JOIN ctx ON ctx.Date = ft.Date LEFT JOIN br ON br.Date = ft.Date LEFT JOIN pv ON pv.Date = ft.Date
- WHERE rn >= 200 AND Target IS NOT NULL AND Target_Price IS NOT NULL""")
-def _(spark, sf):
-    """The assembled model table: families, market and cross-sectional context, label, warm-up removed."""
+def model_table(spark, sf):
     p = fx.bars(spark, sf)
-    return publish(features.feature_table(p, market(spark, sf), context.cross_sectional_context(p, CFG), None, CFG), KEYS, TABLE_COLS)
+    return features.feature_table(p, market(spark, sf), context.cross_sectional_context(p, CFG), fx.bar_sentiment(spark, sf), CFG)
+
+
+@query("feature_table", f"""WITH {BARS}, {BAR_SENTIMENT}, a0 AS (SELECT *, row_number() OVER ({SERIES}) AS rn FROM fx_bars WHERE Ticker IN ('AF','AO','NF','RF')),
+ ft AS (SELECT Date, Ticker, rn, {g(f'lead({LP}) OVER ({SERIES}) - {LP}')} AS Target, {g(f'lead(AdjClose) OVER ({SERIES})')} AS Target_Price FROM a0)
+ SELECT ft.Date, ft.Ticker, {', '.join(c for c in TABLE_COLS if c != 'Sentiment_FinBERT')}, {g('Sentiment_FinBERT')} AS Sentiment_FinBERT FROM ft """
+       + " ".join(f"JOIN ({FAMILY_SQL[f]}) f{i} ON f{i}.Date = ft.Date AND f{i}.Ticker = ft.Ticker" for i, f in enumerate(FAMILIES))
+       + " ".join(f" LEFT JOIN ({REGISTRY[q].sql}) {q} ON {q}.Date = ft.Date" for q in ("market_context", "breadth_dispersion", "rsum_peer", "xs_moments"))
+       + f""" LEFT JOIN (SELECT Date, {NAME_SQL} FROM ({REGISTRY['idiosyncratic'].sql}) i GROUP BY Date) pn ON pn.Date = ft.Date
+ LEFT JOIN fx_sent s ON s.Date = ft.Date AND s.Ticker = ft.Ticker WHERE rn >= 200 AND Target IS NOT NULL AND Target_Price IS NOT NULL""")
+def _(spark, sf):
+    """The assembled model table with every column: families, market and cross-sectional context, sentiment, label, warm-up removed."""
+    return publish(model_table(spark, sf), KEYS, TABLE_COLS)
 
 
 # ranks, labels and folds ------------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from loomspan.operators import gram, models
+from loomspan.operators import gram, labels, models
 
 
 @pytest.fixture()
@@ -111,3 +111,16 @@ def test_filter_over_many_columns(spark):
     x = np.concatenate([base, base * 3 + 1, -base], axis=1)
     names = [f"c{i}" for i in range(600)]
     assert models.collinearity_filter(frame(spark, x, names), names) == names[:200]
+
+
+def test_feasible_folds():
+    """What the rule for folds makes of the answer leaves rows to train on, and one fold more would not (or the wish is met)."""
+    def needed(n, wanted):
+        k = max(2, min(wanted, max(2, n // 400)))
+        return k * max(500, n // (k + 2))
+
+    for n in (1001, 1200, 1614, 1999, 2001, 2400, 2600, 5000, 100_000):
+        k = labels.feasible_folds(n)
+        assert needed(n, k) < n and (k == 5 or needed(n, k + 1) >= n)
+    with pytest.raises(ValueError, match="too few"):
+        labels.feasible_folds(1000)
