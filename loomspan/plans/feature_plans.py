@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.expr import ERF_A, ERF_P, corr, div, normal_cdf
-from loomspan.operators import cleaning, context, features, labels, signals, stats
+from loomspan.operators import cleaning, context, features, labels, signals, sketches, stats
 from loomspan.operators.portfolio import drawdown_curve
 from loomspan.operators.ranking import normalise, quantiles, rank_pct
 from loomspan.plans.cleaning_plans import ASOF_SQL, CALENDAR, KEYS, SPLIT_SQL, macro_grid
 from loomspan.plans.registry import (BAR_SENTIMENT, BARS, CALM, REGISTRY, FLAGGED, IMPUTED, RAW, SERIES, SPARSE, WIDE_BARS, aligned, g, gcols,
                                      lag, over0, publish, query, roll)
+from loomspan.session import run_dir
 from loomspan.sources import fixtures as fx
 
 CFG = fx.BARS_CONFIG
@@ -409,6 +410,29 @@ def _(spark, sf):
     return publish(stats.var_cvar(stats.log_returns(fx.wide_bars(spark, sf)), []), [], ["var", "cvar"])
 
 
+def month_sketches(spark, sf):
+    """Written month by month, then the last month once more, as after a corrected day."""
+    rows = sketches.by_month(stats.log_returns(fx.wide_bars(spark, sf)))
+    path = run_dir(spark, "month-sketches")
+    sketches.write(rows, path)
+    last = rows.agg(F.max("Month")).head()[0]
+    if last is not None:
+        sketches.write(rows.where(F.col("Month") == F.lit(last)), path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@query("moments_merged", WIDE_RETURNS + f" SELECT Ticker, count(*) AS n, {g('avg(r)')} AS mean, {g('var_pop(r)')} AS variance, {g('min(r)')} AS low, {g('max(r)')} AS high FROM rr GROUP BY Ticker")
+def _(spark, sf):
+    return publish(sketches.merged(month_sketches(spark, sf)), ["Ticker", "n"], ["mean", "variance", "low", "high"])
+
+
+@query("var_sketch")
+def _(spark, sf):
+    """Value at risk and tail mean of every series from merged sketches; their rank error is tested, not their digits."""
+    out = sketches.merged(month_sketches(spark, sf))
+    return publish(out.select("Ticker", "n", sketches.quantile(0.05).alias("var"), sketches.tail_mean(0.05).alias("cvar")), ["Ticker", "n"], ["var", "cvar"])
+
+
 ASSETS = list(CFG.universe)
 WIDE_SQL = f"""WITH {CALM}, pw AS (SELECT Date, max(CASE WHEN Ticker = 'AF' THEN AdjClose END) AS AF, max(CASE WHEN Ticker = 'AO' THEN AdjClose END) AS AO,
  max(CASE WHEN Ticker = 'NF' THEN AdjClose END) AS NF, max(CASE WHEN Ticker = 'RF' THEN AdjClose END) AS RF, max(CASE WHEN Ticker = 'NO' THEN AdjClose END) AS NOB FROM fx_calm GROUP BY Date),
