@@ -240,8 +240,9 @@ def backtest_actions(rows: DataFrame, cfg: RecommendConfig, skill: float, group_
                   .drop("_nf", "_nr", "_Forecast", "_Risk").withColumn("_neg", F.lit(0.0)).select(*rows.columns, "f", "r", "_neg", "fc", "rc"))
     out = ranked.withColumn("action_buy_and_hold", F.lit(1))
     for arm, gate in (("gated", skill), ("ungated", 1.0)):
-        score = fuse([(F.lit(cfg.forecast * gate), F.col("fc")), (F.lit(cfg.sentiment), F.lit(0.0)),
-                      (F.lit(cfg.risk), F.col("rc"))])
+        # the fixed weights are added first, so a score that ties with a threshold rounds as w + (sentiment + risk) does
+        score = fuse([(F.lit(cfg.risk), F.col("rc")), (F.lit(cfg.sentiment), F.lit(0.0)),
+                      (F.lit(cfg.forecast * gate), F.col("fc"))])
         act = threshold_action(score, cfg.sell, cfg.buy)
         out = out.withColumn(f"action_{arm}", F.when(act == "BUY", 1).when(act == "SELL", -1).otherwise(0))
     return out.drop("f", "r", "fc", "rc", "_neg")
