@@ -30,8 +30,11 @@ def by_month(returns: DataFrame, k: int = SIZE) -> DataFrame:
 
 
 def write(months: DataFrame, path: str) -> None:
-    """Rows of by_month for some months take the place of these months' partitions; all others stay."""
-    months.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("Month").parquet(path)
+    """Rows of by_month for some months take the place of these months' partitions; all others stay.
+
+    Rows of a month go to few tasks, as many as its size asks for, so files follow the data and not tasks times months.
+    """
+    months.hint("rebalance", "Month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("Month").parquet(path)
 
 
 def merged(months: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from loomspan.operators.ranking import normalise, quantiles, rank_pct
 from loomspan.plans.cleaning_plans import ASOF_SQL, CALENDAR, KEYS, SPLIT_SQL, macro_grid
 from loomspan.plans.registry import (BAR_SENTIMENT, BARS, CALM, REGISTRY, FLAGGED, IMPUTED, RAW, SERIES, SPARSE, WIDE_BARS, aligned, g, gcols,
                                      lag, over0, publish, query, roll)
-from loomspan.session import run_dir
+from loomspan.session import materialise, run_dir
 from loomspan.sources import fixtures as fx
 
 CFG = fx.BARS_CONFIG
@@ -412,7 +412,7 @@ def _(spark, sf):
 
 def month_sketches(spark, sf):
     """Written month by month, then the last month once more, as after a corrected day."""
-    rows = sketches.by_month(stats.log_returns(fx.wide_bars(spark, sf)))
+    rows = materialise(sketches.by_month(stats.log_returns(fx.wide_bars(spark, sf))), "month-rows")
     path = run_dir(spark, "month-sketches")
     sketches.write(rows, path)
     last = rows.agg(F.max("Month")).head()[0]
