@@ -192,8 +192,6 @@ def trailing_risk(panel: DataFrame, group_bound: int | None = None) -> DataFrame
     b = a.withColumns({"sd": full(F.stddev_samp, F.col("r"), 21), "gap": div(p, full(F.avg, p, 50)) - 1.0})
     c = b.select("Date", "Ticker", full(F.avg, F.col("sd"), 63).alias("level"),
                  F.coalesce(full(F.avg, F.col("gap"), 10), F.lit(0.0)).alias("stretch"))
-    if group_bound is None:  # the ranged rank reads its input twice: compute the windows once
-        c = materialise(c, "trailing-risk")
     ranked = rank_pct(c, ["Date"], "level", "pct", group_bound)
     return ranked.select("Date", "Ticker", (-(F.col("pct") - 0.5) * 2.0 - F.col("stretch") * 4.0).alias("Risk"))
 

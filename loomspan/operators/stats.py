@@ -54,6 +54,8 @@ def histogram(returns: DataFrame, bins: int) -> DataFrame:
 
 def var_cvar(returns: DataFrame, by: list[str], alpha: float = 0.05, group_bound: int | None = None) -> DataFrame:
     """Empirical value at risk (linear interpolation) and the mean of the returns at or below it."""
+    if group_bound is None:  # read for the quantile and for the tail
+        returns = materialise(returns.select(*by, "r"), "tail-rows")
     var = quantiles(returns, by, "r", {"var": alpha}, group_bound)
     if not by:
         cut = var.select("var").scalar()
