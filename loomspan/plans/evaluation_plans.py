@@ -676,7 +676,8 @@ MODEL_COLS = ["Return_1d", "Return_5d", "Price_to_SMA_20", "Vol_21d", "Volume_Z"
 
 
 def model_rows(spark, sf):
-    feats = features.series_features(fx.bars(spark, sf), only=["log_returns", "sma", "rolling_vol", "volume_z"])
+    panel = materialise(fx.bars(spark, sf), "model-bars")  # six series over the calendar; read for the split, the scales and the rows
+    feats = features.series_features(panel, only=["log_returns", "sma", "rolling_vol", "volume_z"])
     rows = features.drop_missing(features.forward_target(feats), MODEL_COLS)
     return labels.with_split(rows).select(*KEYS, "AdjClose", "Split", *MODEL_COLS, "Target")
 
@@ -830,7 +831,8 @@ def _(spark, sf):
     """The run to its end: the declared model's forecasts give expected returns, these with shrunk covariances the weights, and
     forecasts, sentiment and risk the recommendations, each with the declared model and what it was declared by."""
     forecasts, table = fitted_forecasts(spark, sf)
-    panel = materialise(fx.bars(spark, sf).where(F.col("Ticker").isin(ASSETS)), "model-panel")
+    bars = materialise(fx.bars(spark, sf), "model-bars")
+    panel = bars.where(F.col("Ticker").isin(ASSETS))
     declared = evaluate.declare_best(table).select("Status", F.col("Model").alias("Declared"), "Beats_MAE").head()
     own = forecasts.where(F.col("Model") == F.lit(declared["Declared"]))
     returns = stats.log_returns(panel)
@@ -841,5 +843,5 @@ def _(spark, sf):
     weights = found.where("Goal = 'max_sharpe'").unpivot([], [f"w_{a}" for a in ASSETS], "Ticker", "Target_Weight").select(
         F.substring("Ticker", 3, 100).alias("Ticker"), "Target_Weight", F.lit(1.0 / len(ASSETS)).alias("Current_Weight"))
     feats = features.series_features(panel, only=["rolling_vol"])
-    recs_ = signals.recommendations(own, feats, fx.bar_sentiment(spark, sf), weights, CFG)
+    recs_ = signals.recommendations(own, feats, fx.bar_sentiment_of(bars), weights, CFG)
     return recs_.withColumns({"Model": F.lit(declared["Declared"]), "Status": F.lit(declared["Status"]), "Beats_MAE": F.lit(declared["Beats_MAE"])})

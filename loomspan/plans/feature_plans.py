@@ -186,10 +186,10 @@ MARKET_SQL = ASOF_SQL + f""", i0 AS (SELECT Date, Ticker, AdjClose, {LP} - {lagd
   (c / {lagd('c', 252)} - 1) * 100 AS CPI_Mom_12m, (c / {lagd('c', 21)} - 1) * 100 AS CPI_Mom_1m FROM mm)"""
 
 
-def market(spark, sf):
+def market(spark, sf, bars=None):
     names = F.create_map(*[F.lit(x) for x in ("F", "DGS10", "O", "DGS3MO", "P", "CPIAUCSL")])
     grid = macro_grid(spark, sf).withColumn("Series", names[F.col("Series")])
-    return context.market_context(fx.bars(spark, sf), CFG, grid)
+    return context.market_context(fx.bars(spark, sf) if bars is None else bars, CFG, grid)
 
 
 @query("market_context", MARKET_SQL + f" SELECT Date, {gcols(MARKET + MACRO_COLS)} FROM ctx")
@@ -267,8 +267,9 @@ NAME_SQL = ", ".join(f"max(CASE WHEN Ticker = '{t}' THEN {c} END) AS {n.format(t
 
 
 def model_table(spark, sf):
-    p = fx.bars(spark, sf)
-    return features.feature_table(p, market(spark, sf), context.cross_sectional_context(p, CFG), fx.bar_sentiment(spark, sf), CFG)
+    """The panel, six series over the calendar, is written once: every part reads that instead of the lines it is made of."""
+    p = materialise(fx.bars(spark, sf), "model-bars")
+    return features.feature_table(p, market(spark, sf, p), context.cross_sectional_context(p, CFG), fx.bar_sentiment_of(p), CFG)
 
 
 @query("feature_table", f"""WITH {BARS}, {BAR_SENTIMENT}, a0 AS (SELECT *, row_number() OVER ({SERIES}) AS rn FROM fx_bars WHERE Ticker IN ('AF','AO','NF','RF')),

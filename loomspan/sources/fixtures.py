@@ -173,9 +173,14 @@ def predictions_over(panel: DataFrame) -> DataFrame:
 
 
 def bar_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily score of each bar series: where the close sits between open and range, in [-1, 1]."""
+    """bar_sentiment_of all bar series."""
+    return bar_sentiment_of(bars(spark, sf_dir))
+
+
+def bar_sentiment_of(panel: DataFrame) -> DataFrame:
+    """Daily score of each series: where the close sits between open and range, in [-1, 1]."""
     span = F.nullif(F.col("High") - F.col("Low"), F.lit(0.0))
-    return bars(spark, sf_dir).select(
+    return panel.select(
         "Date", "Ticker", F.coalesce((F.col("Close") - F.col("Open")) / span, F.lit(0.0)).alias("Sentiment_FinBERT"))
 
 
@@ -202,9 +207,14 @@ def lexicon(spark: SparkSession) -> DataFrame:
 
 
 def learned_lexicon(spark: SparkSession, sf_dir: str, least: int = 3) -> DataFrame:
-    """Valences from labelled documents: twice the log odds of good against toxic documents for every token in at least three of them."""
-    seen = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    counts = seen.distinct().join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id").groupBy("token").agg(
+    """Valences from labelled documents: twice the log odds of good against toxic documents for every token in at least three of them.
+
+    Only texts with a label are taken apart.
+    """
+    marks = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    known = table(spark, sf_dir, "documents").select("doc_id", "text").join(marks.select("doc_id"), "doc_id", "left_semi")
+    seen = known.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    counts = seen.distinct().join(marks, "doc_id").groupBy("token").agg(
         F.count("*").alias("n"), F.sum("quality").alias("good"), F.sum("toxic").alias("bad"))
     return counts.where(F.col("n") >= least).select("token", (2.0 * F.ln((F.col("good") + 1.0) / (F.col("bad") + 1.0))).alias("valence"))
 

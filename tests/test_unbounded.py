@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.config import RecommendConfig
-from loomspan.operators import ranking, signals, stats
-from loomspan.plans import feature_plans
+from loomspan.operators import models, ranking, signals, stats
+from loomspan.plans import evaluation_plans, feature_plans
 from loomspan.sources import fixtures as fx
 
 
@@ -109,3 +109,22 @@ def test_month_sketches_and_tails_take_the_panel_apart_once(spark, sf, monkeypat
     read.value = 0
     stats.var_cvar(stats.log_returns(feature_plans.fx.wide_bars()), []).collect()
     assert read.value == len(panel)
+
+
+def test_model_rows_take_the_lines_apart_once(spark, sf, monkeypatch):
+    """Split, scales and rows of the fits, and every part of the model table, come from one pass over the bars."""
+    panel = fx.bars(spark, sf).toPandas()
+    read, base = spark.sparkContext.accumulator(0), spark.createDataFrame(panel)
+
+    def count(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    monkeypatch.setattr(fx, "bars", lambda *_: base.mapInPandas(count, base.schema))
+    rows = evaluation_plans.model_rows(spark, sf)
+    models.standard_scale(rows, evaluation_plans.MODEL_COLS, F.col("Split") == "train").collect()
+    assert read.value == len(panel)
+    read.value = 0
+    feature_plans.model_table(spark, sf).count()
+    assert read.value == len(panel)
