@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomspan.config import SentimentConfig
 from loomspan.functions.expr import div
 from loomspan.functions.text import clean_text, concat_text, mood_label, tokens
+from loomspan.session import materialise
 
 # Sign of each classifier label; any other label counts 0.
 LABEL_SIGN = {
@@ -99,9 +100,12 @@ def lexicon_scored(news: DataFrame, lexicon: DataFrame, rules: DataFrame, key: s
     2 - weight times. The sum s gives s / sqrt(s^2 + 15); no token of the lexicon gives 0.
 
     The rules are a small table (RULES_LIMIT rows at most, else an error) and become sets inside the expression. What a token's
-    neighbours do to it is worked out on the arrays of a text, so tokens are exploded once, with two numbers, counted per key and
-    joined with the lexicon; a hot token is a row per text and needs no window.
+    neighbours do to it is worked out on the arrays of a text, so tokens are exploded once, with two numbers, and matched with the
+    lexicon. That is written once and broadcast behind a check of its size, so one partial sum per text is shuffled; for a larger
+    one tokens are counted per key first, so a hot token is a row per text.
     """
+    lexicon = materialise(lexicon.select("token", "valence"), "lexicon")
+    small = lexicon.count() <= BROADCAST_ROWS
     known = rules.limit(RULES_LIMIT + 1).collect()
     if len(known) > RULES_LIMIT:
         raise ValueError(f"more than {RULES_LIMIT} rules")
@@ -134,8 +138,11 @@ def lexicon_scored(news: DataFrame, lexicon: DataFrame, rules: DataFrame, key: s
         side = F.when(F.col("_w").isNull(), 1.0).when(i + 1 < F.col("_at"), 2.0 - F.col("_w")).when(i + 1 > F.col("_at"), F.col("_w")).otherwise(1.0)
         return F.struct(t.alias("token"), (no * side).alias("times"), up.alias("up"))
 
-    rows = turn.select(key, F.explode_outer(F.transform("_t", neighbours)).alias("_x")).groupBy(key, "_x").agg(F.count("*").alias("_c"))
-    matched = rows.select(key, "_x.*", "_c").join(lexicon.select("token", "valence"), "token", "left")
+    rows = turn.select(key, F.explode_outer(F.transform("_t", neighbours)).alias("_x"))
+    if small:
+        matched = rows.select(key, "_x.*", F.lit(1).alias("_c")).join(F.broadcast(lexicon), "token", "left")
+    else:
+        matched = rows.groupBy(key, "_x").agg(F.count("*").alias("_c")).select(key, "_x.*", "_c").join(lexicon, "token", "left")
     value = F.when(F.col("valence") != 0, (F.col("valence") + F.signum("valence") * F.col("up")) * F.col("times") * F.col("_c"))
     s = F.col("_s")
     return matched.groupBy(key).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_s")).select(key, (s / F.sqrt(s * s + LEXICON_ALPHA)).alias("Score"))

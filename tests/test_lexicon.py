@@ -58,3 +58,21 @@ def test_failures_are_marked(spark):
     df = spark.createDataFrame([("a",), ("b",), ("boom",), ("c",), (None,)], "t string").coalesce(1)
     got = [tuple(r[0]) for r in df.select(sentiment.scored_batches(fragile, 2)(F.col("t"))).collect()]
     assert got == [(1.0, True), (1.0, True), (0.0, False), (0.0, False), (1.0, True)]
+
+
+def test_tokens_meet_a_small_lexicon_without_a_shuffle(spark):
+    """What is shuffled is a partial sum per text, not the tokens."""
+    docs = spark.createDataFrame([(1, "good but bad")], "ArticleId long, Text string")
+    lexicon = spark.createDataFrame(list(LEXICON.items()), "token string, valence double")
+    rules = spark.createDataFrame(RULES, "token string, kind string, weight double")
+    plan = sentiment.lexicon_scored(docs, lexicon, rules)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(ArticleId") == 1 and "SortMergeJoin" not in plan
+
+
+def test_large_lexicons_are_joined_by_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "good but bad"), (2, "x"), (3, None)], "ArticleId long, Text string")
+    lexicon = spark.createDataFrame(list(LEXICON.items()), "token string, valence double")
+    rules = spark.createDataFrame(RULES, "token string, kind string, weight double")
+    monkeypatch.setattr(sentiment, "BROADCAST_ROWS", 2)
+    got = {r["ArticleId"]: r["Score"] for r in sentiment.lexicon_scored(docs, lexicon, rules).collect()}
+    assert got == {1: pytest.approx(plain("good but bad")), 2: 0.0, 3: 0.0}
