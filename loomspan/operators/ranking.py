@@ -64,6 +64,11 @@ def _attach(df: DataFrame, one_per_group: DataFrame, by: list[str]) -> DataFrame
     return df.withColumns({c: one_per_group.select(c).scalar() for c in one})
 
 
+def largest_group(df: DataFrame, by: list[str]) -> int:
+    """Rows of the largest group: a bound for whatever keeps or drops rows of `df`."""
+    return df.groupBy(*by).agg(F.count("*").alias("_d")).agg(F.max("_d")).first()[0] or 0
+
+
 def rank_pct(df: DataFrame, by: list[str], value: str, out: str, group_bound: int | None = None,
              ranges: int = RANGES) -> DataFrame:
     """Percentile rank with average ties over the non-null values of each group, NULL for NULL.
@@ -77,7 +82,7 @@ def rank_pct(df: DataFrame, by: list[str], value: str, out: str, group_bound: in
     if group_bound is not None and group_bound <= WINDOW_BOUND:
         return df.withColumn(out, rank_pct_window(F.col(value), by))
     rows = materialise(df, "ranked")
-    if (rows.groupBy(*by).agg(F.count("*").alias("_d")).agg(F.max("_d")).first()[0] or 0) <= RANGE_ROWS:
+    if largest_group(rows, by) <= RANGE_ROWS:
         return rows.withColumn(out, rank_pct_window(F.col(value), by))
     ranked = counted_ranks(rows, by, value, ranges).select(
         *by, value, ((F.col("_before") + (F.col("_c") + 1) / 2.0) / F.col("_n")).alias(out))

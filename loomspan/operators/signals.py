@@ -179,30 +179,31 @@ def action_counts(recs: DataFrame, column: str = "Recommendation") -> DataFrame:
     return recs.groupBy(column).agg(F.count("*").alias("n"))
 
 
-def forward_outcome(panel: DataFrame) -> DataFrame:
-    """(Date, Ticker, realised): log return to the next row of the same series."""
+def forward_outcome(panel: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(Date, Ticker, keep, realised): log return to the next row of the same series, next to columns of the panel to keep."""
     lp = F.ln("AdjClose")
-    return panel.select("Date", "Ticker", (F.lead(lp).over(by_series()) - lp).alias("realised"))
+    return panel.select("Date", "Ticker", *keep, (F.lead(lp).over(by_series()) - lp).alias("realised"))
 
 
-def trailing_risk(panel: DataFrame, group_bound: int | None = None) -> DataFrame:
-    """(Date, Ticker, Risk): -2*(rank of smoothed volatility - 0.5) - 4*stretch above the 50-row mean."""
+def trailing_risk(panel: DataFrame, group_bound: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(Date, Ticker, keep, Risk): -2*(rank of smoothed volatility - 0.5) - 4*stretch above the 50-row mean."""
     lp, p = F.ln("AdjClose"), F.col("AdjClose")
-    a = panel.select("Date", "Ticker", "AdjClose", (lp - F.lag(lp).over(by_series())).alias("r"))
+    a = panel.select("Date", "Ticker", *keep, "AdjClose", (lp - F.lag(lp).over(by_series())).alias("r"))
     b = a.withColumns({"sd": full(F.stddev_samp, F.col("r"), 21), "gap": div(p, full(F.avg, p, 50)) - 1.0})
-    c = b.select("Date", "Ticker", full(F.avg, F.col("sd"), 63).alias("level"),
+    c = b.select("Date", "Ticker", *keep, full(F.avg, F.col("sd"), 63).alias("level"),
                  F.coalesce(full(F.avg, F.col("gap"), 10), F.lit(0.0)).alias("stretch"))
     ranked = rank_pct(c, ["Date"], "level", "pct", group_bound)
-    return ranked.select("Date", "Ticker", (-(F.col("pct") - 0.5) * 2.0 - F.col("stretch") * 4.0).alias("Risk"))
+    return ranked.select("Date", "Ticker", *keep, (-(F.col("pct") - 0.5) * 2.0 - F.col("stretch") * 4.0).alias("Risk"))
 
 
-def signal_outcome(forecasts: DataFrame, risk: DataFrame, outcome: DataFrame) -> DataFrame:
-    """Forecast, risk and outcome on (Date, Ticker), rows missing any of them dropped."""
-    return (
-        forecasts.select("Date", "Ticker", F.col("Predicted_Return").alias("Forecast"))
-        .join(risk, ["Date", "Ticker"]).join(outcome, ["Date", "Ticker"])
-        .dropna(subset=["Forecast", "Risk", "realised"])
-    )
+def signal_outcome(forecasts: DataFrame, risk: DataFrame | None = None, outcome: DataFrame | None = None) -> DataFrame:
+    """Forecast, risk and outcome on (Date, Ticker), rows missing any of them, or a part of the key, dropped.
+
+    What the forecasts carry along (Risk, realised) needs no table of its own: such rows are met already and not moved for a join.
+    """
+    for other in (risk, outcome):
+        forecasts = forecasts if other is None else forecasts.join(other, ["Date", "Ticker"])
+    return forecasts.select("Date", "Ticker", F.col("Predicted_Return").alias("Forecast"), "Risk", "realised").dropna()
 
 
 def ranked_signals(rows: DataFrame, signals: tuple[str, ...]) -> DataFrame:
@@ -224,8 +225,8 @@ def backtest_actions(rows: DataFrame, cfg: RecommendConfig, skill: float, group_
         ranked = ranked.withColumn("_neg", -F.col("r")).withColumns(
             {c: 2.0 * normalise_window(F.col(v), day) - 1.0 for c, v in (("fc", "f"), ("rc", "_neg"))})
     else:
-        rows = materialise(rows, "outcomes")
-        places = materialise(ranked_signals(rows, ("Forecast", "Risk")), "places")
+        rows = materialise(rows, "outcomes", lean=True)
+        places = materialise(ranked_signals(rows, ("Forecast", "Risk")), "places", lean=True)
 
         def side(signal: str, place: str, last: str) -> DataFrame:
             return places.where(F.col("Signal") == signal).select("Date", F.col("Value").alias(signal), F.col("_place").alias(place), F.col("_n").alias(last))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspan.operators import checks, evaluate, features, labels, models, portfolio, signals, stats
+from loomspan.operators import checks, evaluate, features, labels, models, portfolio, ranking, signals, stats
 from loomspan.plans.cleaning_plans import KEYS
 from loomspan.plans.feature_plans import ASSETS, CFG, FOLD_SQL, WIDE_SQL, model_table, rank_sql, wide
 from loomspan.plans.registry import (BAR_SENTIMENT, BARS, CALM, CALM_PREDICTIONS, PREDICTIONS, SERIES, WEIGHTS, WIDE_BARS, WIDE_PREDICTIONS, g, gcols,
@@ -649,10 +649,17 @@ def _(spark, sf):
  n2 AS (SELECT *, CASE WHEN ff THEN 5e-1 ELSE pf / n END AS f2, CASE WHEN fr THEN 5e-1 ELSE (n + 1 - pr) / n END AS r2 FROM n1)
  SELECT Date, Ticker, 1 AS action_buy_and_hold, {_act('15e-2')} AS action_gated, {_act('5e-1')} AS action_ungated FROM n2""")
 def _(spark, sf):
-    """The same actions over all supplier series, without a bound on the series per date."""
-    p = fx.wide_bars(spark, sf)
-    rows = signals.signal_outcome(fx.predictions_over(p).where("Model = 'rev'"), signals.trailing_risk(p), signals.forward_outcome(p))
-    return signals.backtest_actions(rows, CFG.recommend, 0.3).select(*KEYS, "action_buy_and_hold", "action_gated", "action_ungated")
+    """The same actions over all supplier series; the series per date are counted.
+
+    The bars are written once. A bar takes its outcome and forecast along to the ranks of its date, so bars are moved twice,
+    by series and by date, and not joined again.
+    """
+    p = materialise(fx.wide_bars(spark, sf).select(*KEYS, "AdjClose"), "action-bars", lean=True)
+    bound = ranking.largest_group(p, ["Date"])
+    outcome = signals.forward_outcome(p.repartition("Ticker"), keep=("AdjClose",))
+    forecasts = fx.predictions_over(outcome, keep=("realised",), whole=True).where("Model = 'rev'")
+    rows = signals.signal_outcome(signals.trailing_risk(forecasts, bound, keep=("Predicted_Return", "realised")))
+    return signals.backtest_actions(rows, CFG.recommend, 0.3, bound).select(*KEYS, "action_buy_and_hold", "action_gated", "action_ungated")
 
 
 @query("rec_backtest", ACT_SQL + f""", lo AS (SELECT 'buy_and_hold' AS Arm, action_buy_and_hold AS a, realised FROM act UNION ALL SELECT 'gated', action_gated, realised FROM act UNION ALL SELECT 'ungated', action_ungated, realised FROM act)

@@ -38,12 +38,12 @@ TARGET_WEIGHTS = (("AF", 0.4), ("AO", 0.3), ("NF", 0.2), ("RF", 0.1))
 def _lineitem_bars(spark: SparkSession, sf_dir: str, ticker) -> DataFrame:
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     px = F.col("l_extendedprice") / 1000.0
-    close = F.max_by(px, order)
+    close = F.max(order)["l_extendedprice"] / 1000.0  # the price is in the order already: no second copy in the shuffle
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.to_date("l_shipdate").alias("Date"), ticker.alias("Ticker"))
         .agg(
-            F.min_by(px, order).alias("Open"),
+            (F.min(order)["l_extendedprice"] / 1000.0).alias("Open"),
             F.max(px).alias("High"),
             F.min(px).alias("Low"),
             close.alias("Close"),
@@ -155,21 +155,22 @@ def calm_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions_over(calm_bars(spark, sf_dir))
 
 
-def predictions_over(panel: DataFrame) -> DataFrame:
-    """Three forecast models over the daily log returns of a panel, with the next return as outcome."""
+def predictions_over(panel: DataFrame, keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+    """Three forecast models over the daily log returns of a panel, with the next return as outcome.
+
+    Columns to keep follow the others. `whole` also keeps the rows without a forecast or an outcome, with NULLs.
+    """
     lp = F.ln("AdjClose")
-    r = (
-        panel
-        .select("Date", "Ticker", "AdjClose", (lp - F.lag(lp).over(by_series())).alias("r"),
-                (F.lead(lp).over(by_series()) - lp).alias("Actual_Return"))
-        .where(F.col("r").isNotNull() & F.col("Actual_Return").isNotNull())
-    )
+    r = panel.select("Date", "Ticker", "AdjClose", *keep, (lp - F.lag(lp).over(by_series())).alias("r"),
+                     (F.lead(lp).over(by_series()) - lp).alias("Actual_Return"))
+    if not whole:
+        r = r.where(F.col("r").isNotNull() & F.col("Actual_Return").isNotNull())
     models = F.array(*[
         F.struct(F.lit(m).alias("Model"), (F.col("r") * c).alias("Predicted_Return"))
         for m, c in (("mom", 0.1), ("rev", -0.1), ("zero", 0.0))
     ])
-    return r.select("Date", "Ticker", "AdjClose", "Actual_Return", F.explode(models).alias("m")).select(
-        "Date", "Ticker", "AdjClose", "Actual_Return", "m.Model", "m.Predicted_Return")
+    return r.select("Date", "Ticker", "AdjClose", "Actual_Return", *keep, F.explode(models).alias("m")).select(
+        "Date", "Ticker", "AdjClose", "Actual_Return", "m.Model", "m.Predicted_Return", *keep)
 
 
 def bar_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
